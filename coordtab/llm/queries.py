@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, sharding
+from . import decontam, mixing, neardup, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(table(spark, sf_dir, "documents"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the group of documents whose sets of word pairs are 0.8 alike or more."""
+    out = neardup.grouped(table(spark, sf_dir, "documents"), n=2)
+    kept = F.coalesce(F.col("_id") == F.col("_component"), F.lit(True))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), kept.alias("kept"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated so that every source has the same share of bytes."""
     out = mixing.replicated(table(spark, sf_dir, "documents"))
@@ -53,6 +60,7 @@ def queries():
     return {
         "op4_decontamination": op4_decontamination,
         "op6_sharding": op6_sharding,
+        "op7_neardup": op7_neardup,
         "op8_mixing": op8_mixing,
         "op10_quality": op10_quality,
     }

@@ -5,9 +5,27 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors (once an application), so that Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    target = f"{tempfile.mkdtemp(prefix='coordtab-')}/coordtab.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            z.write(file, file.relative_to(PACKAGE.parent))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a new one."""
