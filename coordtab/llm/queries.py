@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality, sharding
+from . import decontam, langid, mixing, neardup, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms, and how many of each kind were replaced."""
+    out = pii.pseudonymised(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("_found", lambda x: x["kind"] == kind))
+    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return out.select("doc_id", "text", *counts)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, log-likelihood ratio and verdict of every document."""
     out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -69,6 +77,7 @@ def queries():
         "op6_sharding": op6_sharding,
         "op7_neardup": op7_neardup,
         "op8_mixing": op8_mixing,
+        "op9_pii": op9_pii,
         "op10_quality": op10_quality,
     }
 
