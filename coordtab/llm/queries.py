@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, pii, quality, sharding
+from . import decontam, langid, mixing, neardup, pii, quality, sharding, suffixdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages of 400 bytes."""
+    out = suffixdedup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) with at least 0.8 of the item's five-word shingles in the document."""
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -73,6 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_langid": op1_langid,
+        "op3_suffixdedup": op3_suffixdedup,
         "op4_decontamination": op4_decontamination,
         "op6_sharding": op6_sharding,
         "op7_neardup": op7_neardup,
