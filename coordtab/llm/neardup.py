@@ -191,21 +191,20 @@ class Search:
         only pairs whose signatures agree; so neither a bucket's members nor its pairs are gathered anywhere."""
         size = left.groupBy("_k", "_c").count()
         most = size.groupBy("_k").agg(F.max_by("_c", "count").alias("_large"), F.sum("count").alias("_all"))
-        placed = left.join(most, "_k").join(self.reps.select("_id", "_sig"), "_id")
+        placed = store.written(left.join(most, "_k").join(self.reps.select("_id", "_sig"), "_id"), "unplaced")
         outer = placed.where(F.col("_c") != F.col("_large"))
         n_outer = outer.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("_i"))
         n_inner = most.select("_k", F.ceil(F.col("_all") / 4096).cast("int").alias("_j"))
         o = outer.join(n_outer, "_k").join(n_inner, "_k").withColumn("_bi", F.pmod(F.xxhash64("_id"), F.col("_i")).cast("int")).withColumn("_bj", F.explode(F.sequence(F.lit(0), F.col("_j") - 1)))
         i = placed.join(n_outer, "_k").join(n_inner, "_k").withColumn("_bj", F.pmod(F.xxhash64("_id"), F.col("_j")).cast("int")).withColumn("_bi", F.explode(F.sequence(F.lit(0), F.col("_i") - 1)))
-        key = ["_k", "_bi", "_bj"]
-        cols = [*key, "_id", "_c", "_sig"]
-        return o.select(cols).groupBy(key).cogroup(i.select(cols).groupBy(key)).applyInArrow(block_pairs, PAIR_DDL)
+        o = o.select("_k", "_bi", "_bj", "_id", "_c", "_sig")
+        i = i.select("_k", "_bi", "_bj", "_id", "_c", "_sig").toDF("_k2", "_bi2", "_bj2", "_id2", "_c2", "_sig2")
+        return o.groupBy("_k", "_bi", "_bj").cogroup(i.groupBy("_k2", "_bi2", "_bj2")).applyInArrow(block_pairs, PAIR_DDL)
 
 
 def block_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    ids = [np.asarray(t.column("_id")) for t in (left, right)]
-    comps = [np.asarray(t.column("_c")) for t in (left, right)]
-    sigs = [np.frombuffer(b"".join(t.column("_sig").to_pylist()), np.uint8).reshape(-1, MINIMA) for t in (left, right)]
+    ids, comps = ([np.asarray(t.column(k)) for t in (left, right)] for k in (3, 4))
+    sigs = [np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, MINIMA) for t in (left, right)]
     a, b = [], []
     for k in range(len(ids[0])):
         hit = np.flatnonzero(((sigs[1] == sigs[0][k]).sum(axis=1) >= SURE * MINIMA) & (comps[1] != comps[0][k]))
