@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, pii, quality, sharding, suffixdedup
+from . import decontam, langid, lmscore, mixing, neardup, pii, quality, sharding, suffixdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ FROM common JOIN sizes USING (item_id) WHERE 10 * n_common >= 8 * n_item
 """
 
 
+def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean log score of every document under the three-gram counts of all other documents."""
+    out = lmscore.scored(table(spark, sf_dir, "documents"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_words").alias("n_words"), F.col("_logprob").alias("logprob"), F.col("_score").alias("score"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return sharding.shard_slots(table(spark, sf_dir, "documents"))
@@ -81,6 +87,7 @@ def queries():
         "op1_langid": op1_langid,
         "op3_suffixdedup": op3_suffixdedup,
         "op4_decontamination": op4_decontamination,
+        "op5_lmscore": op5_lmscore,
         "op6_sharding": op6_sharding,
         "op7_neardup": op7_neardup,
         "op8_mixing": op8_mixing,
