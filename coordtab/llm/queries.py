@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, mixing, neardup, pii, quality, sharding, suffixdedup
+from . import decontam, htmltext, langid, lmscore, mixing, neardup, pii, quality, sharding, suffixdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op2_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = htmltext.extracted(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
 def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated passages of 400 bytes."""
     out = suffixdedup.deduplicated(table(spark, sf_dir, "documents"))
@@ -85,6 +91,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_langid": op1_langid,
+        "op2_htmltext": op2_htmltext,
         "op3_suffixdedup": op3_suffixdedup,
         "op4_decontamination": op4_decontamination,
         "op5_lmscore": op5_lmscore,
