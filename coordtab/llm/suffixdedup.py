@@ -30,7 +30,9 @@ from . import bytestream, store, words
 
 WIDTH, KEY = 400, 100
 BATCHES = 4
-HOT = 20_000
+#: Bytes that are indexed at once.
+CHUNK = 1 << 20
+HOT = 4_000
 #: The documents whose text is fetched again are marked in so many bits (8 MB), which are broadcast. With more documents
 #: than bits, some are fetched in vain.
 BITS = 1 << 26
@@ -94,10 +96,10 @@ def entries_of(texts: list[bytes], width: int, key: int):
 
     def long(k: int):
         seen = -1
-        for a in range(0, max(1, len(texts[k]) - width + 1), bytestream.CHUNK):
+        for a in range(0, max(1, len(texts[k]) - width + 1), CHUNK):
             low = max(0, a - width)
-            part = np.frombuffer(texts[k], np.uint8)[low : a + bytestream.CHUNK + 2 * width]
-            found = anchors(part, np.array([0]), np.array([len(part)]), a - low, a - low + bytestream.CHUNK, width, key)
+            part = np.frombuffer(texts[k], np.uint8)[low : a + CHUNK + 2 * width]
+            found = anchors(part, np.array([0]), np.array([len(part)]), a - low, a - low + CHUNK, width, key)
             if found is not None:
                 doc, at, *rest = found
                 new = at + low > seen
@@ -108,10 +110,10 @@ def entries_of(texts: list[bytes], width: int, key: int):
     for k, t in enumerate(texts):
         if len(t) < width:
             continue
-        if len(t) > bytestream.CHUNK:
+        if len(t) > CHUNK:
             long(k)
             continue
-        if size + len(t) > bytestream.CHUNK:
+        if size + len(t) > CHUNK:
             many(group)
             group, size = [], 0
         group.append(k)
