@@ -53,7 +53,7 @@ BODY_WORDS = frozenset("article-body articlebody article-content post-content po
 _ATTRS = r"""(?:[^>"']{1,2000}+|"[^"]{0,4000}"|'[^']{0,4000}'){0,200}+"""
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]{{0,60}})(?P<attrs>{_ATTRS})>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]{{0,60}})(?P<attrs2>[^>]{{0,100000}})>"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]{{0,60}})(?P<attrs>{_ATTRS})>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]{{0,60}})(?P<attrs2>[^<>]{{0,5000}}+)>"
     r"|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
