@@ -45,6 +45,11 @@ def bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
     return ((g >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(BITS - 16)
 
 
+def bucket_start(b: int, buckets: int) -> np.uint64:
+    """No hash of the partition is smaller."""
+    return np.uint64((((b << (BITS - 16)) + buckets - 1) // buckets) << 16)
+
+
 def packed_hashes(g: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Ascending hashes as 4-byte steps; a wide gap takes steps that stand for no n-gram. Also which steps are real."""
     steps = np.diff(g, prepend=np.uint64(0))
@@ -97,7 +102,7 @@ def ask(order: int, buckets: int):
         distinct, count = np.unique(np.concatenate(grams), return_counts=True)
         chunk, rows = group.column("_chunk")[0].as_py(), []
         for b, i, j in parts_of(distinct, buckets):
-            data, real = packed_hashes(distinct[i:j])
+            data, real = packed_hashes(distinct[i:j] - bucket_start(b, buckets))
             c = np.zeros(len(real), np.int64)
             c[real] = count[i:j]
             rows.append((chunk, b, data, *packed_counts(c)))
@@ -127,44 +132,64 @@ def totals_of(distinct: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarr
     given = {b: x for b, *x in zip(*(answers.column(k).to_pylist() for k in (1, 3, 4)))}
     out = np.zeros(len(distinct), np.int64)
     for b, i, j in parts_of(distinct, buckets):
-        _, real = packed_hashes(distinct[i:j])
+        _, real = packed_hashes(distinct[i:j] - bucket_start(b, buckets))
         out[i:j] = unpacked_counts(*given[b])[real]
     return out
 
 
+def firsts(sorted_: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    out = np.ones(len(sorted_), bool)
+    out[1:] = sorted_[1:] != sorted_[:-1]
+    return out
+
+
+def others(flat: np.ndarray, owner: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:
+    """For each n-gram at a place: how often all documents but its own hold it."""
+    if not len(owner) or owner[-1] < 1 << (64 - BITS):  # hash and document fit into one number
+        order = np.argsort((flat << np.uint64(64 - BITS)) | owner.astype(np.uint64))
+    else:
+        order = np.lexsort((owner, flat))
+    g, d = flat[order], owner[order]
+    new = firsts(g)
+    place = np.cumsum(new) - 1
+    total = totals_of(g[new], answers, buckets)
+    own = new | firsts(d)
+    run = np.cumsum(own) - 1
+    length = np.diff(np.append(np.flatnonzero(own), len(g)))
+    out = np.empty(len(flat), np.int64)
+    out[order] = total[place] - length[run]
+    return out
+
+
 def score(order: int, buckets: int, n_total: int, backoff: float, floor: float):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids = docs.column(1)
         grams = grams_of(docs.column(2).to_pylist(), order)
         lengths = np.array([len(g[0]) for g in grams], np.int64)
-        flat = [np.concatenate([g[k] for g in grams] + [np.empty(0, np.uint64)]) for k in range(order)]
-        distinct = np.unique(np.concatenate(flat))
-        total = totals_of(distinct, answers, buckets)
-        # counts without the document's own, laid out by the place where the n-gram starts
-        rest = []
-        for k in range(order):
-            owner = np.repeat(np.arange(len(grams)), np.maximum(lengths - k, 0))
-            place = np.searchsorted(distinct, flat[k])
-            _, inverse, own = np.unique(owner * np.int64(len(distinct) + 1) + place, return_inverse=True, return_counts=True)
-            full = np.zeros(int(lengths.sum()), np.int64)
-            offset = np.cumsum(lengths) - lengths
-            inside = np.arange(len(flat[k])) - np.repeat(np.cumsum(np.maximum(lengths - k, 0)) - np.maximum(lengths - k, 0), np.maximum(lengths - k, 0))
-            full[offset[owner] + inside] = total[place] - own[inverse]
-            rest.append(full)
+        counts = [np.maximum(lengths - k, 0) for k in range(order)]
+        flat = np.concatenate([g[k] for g in grams for k in range(order)] or [np.empty(0, np.uint64)])
+        per_doc = np.sum(counts, axis=0)
+        rest = others(flat, np.repeat(np.arange(len(grams)), per_doc), answers, buckets)
         n = int(lengths.sum())
         owner = np.repeat(np.arange(len(grams)), lengths)
         inside = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        others = np.maximum(n_total - lengths, 1)[owner]
-        found = np.where(rest[0] > 0, rest[0], floor) / others
+        base = np.cumsum(per_doc) - per_doc
+
+        def at(k: int, where: np.ndarray) -> np.ndarray:
+            """Counts of the (k + 1)-grams that start at the given words."""
+            d = owner[where]
+            return rest[base[d] + sum((counts[x][d] for x in range(k)), np.zeros(len(d), np.int64)) + inside[where]]
+
+        every = np.arange(n)
+        one = at(0, every)
+        found = np.where(one > 0, one, floor) / np.maximum(n_total - lengths, 1)[owner]
         for k in range(1, order):  # the k + 1 words that end here start k places before
-            at = np.arange(k, n)
-            at = at[inside[at] >= k]
-            whole, history = rest[k][at - k], rest[k - 1][at - k]
-            higher = found * backoff
-            higher[inside < k] = found[inside < k]
+            end = np.flatnonzero(inside >= k)
+            whole = at(k, end - k)
             hit = whole > 0
-            higher[at[hit]] = whole[hit] / history[hit]
-            found = higher
+            found[end] *= backoff
+            found[end[hit]] = whole[hit] / at(k - 1, end[hit] - k)
         sums = np.bincount(owner, np.log(found), len(grams))
         mean = pa.array(np.divide(sums, lengths, out=np.zeros(len(grams)), where=lengths > 0), mask=lengths == 0)
         return pa.table({"_id": ids.cast(pa.int64()), "_words": pa.array(lengths), "_logprob": pa.array(sums), "_score": mean})
@@ -180,9 +205,9 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, floor:
     its words take the floor. An empty table gives an empty one; other columns are ignored."""
     spark = docs.sparkSession
     store.ship(spark)
-    sums = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("b"), F.sum(F.size(words.words(F.col(text)))).alias("w")).first()
+    sums = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text)).cast("long")).alias("b"), F.sum(F.size(words.words(F.col(text)))).alias("w")).first()
     n_total = int(sums["w"] or 0)
-    groups = max(1, -(-int(sums["b"] or 0) // chunk_bytes))
+    groups = max(1, -(-int(sums["b"] or 0) // chunk_bytes), sums["n"] // 20_000)
     chunk = F.pmod(F.xxhash64(F.col(ident), F.col(text)), F.lit(groups)).cast("int")
     dealt = docs.select(chunk.alias("_chunk"), F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text"))
     asked = dealt.groupBy("_chunk").applyInArrow(ask(order, groups), PACKED_DDL)
