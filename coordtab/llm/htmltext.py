@@ -181,13 +181,14 @@ def blocks_of(source: str | None) -> tuple[bool, list[str]]:
     return False, [t for t, _, links in found if links <= 0.5]
 
 
-PARSED_DDL = "_key long, _host string, _clear boolean, _blocks array<string>"
+PARSED_DDL = "clear boolean, text string, blocks array<string>"
+PARSED = pa.struct([("clear", pa.bool_()), ("text", pa.string()), ("blocks", pa.list_(pa.string()))])
 
 
-def parse(batches):
-    for batch in batches:
-        rows = [blocks_of(h) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["_key", "_host", "_clear", "_blocks"])
+def parsed(html: pa.Array) -> pa.Array:
+    """Of each page whether its article is clear, then its text, or else its blocks."""
+    rows = [blocks_of(h) for h in html.to_pylist()]
+    return pa.array([{"clear": c, "text": " ".join(b) if c else None, "blocks": None if c else b} for c, b in rows], PARSED)
 
 
 def token_stream(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,14 +246,15 @@ def extracted(pages: DataFrame, length: int = LENGTH, ident: str = "page_id", ur
     store.ship(pages.sparkSession)
     key = F.xxhash64(F.col(ident), F.col(url), F.col(html))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    parsed = pages.select(key.alias("_key"), host.alias("_host"), html).mapInArrow(parse, PARSED_DDL)
-    parsed = store.written(parsed, "parsed")
-    clear = parsed.where("_clear").select("_key", F.array_join("_blocks", " ").alias("_text"))
-    open_ = parsed.where(~F.col("_clear"))
-    if not open_.isEmpty():
-        index = open_.select("_key", "_host", "_blocks").mapInArrow(suffixes(length), "_h long, _key long, _at int")
-        twice = index.groupBy("_h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where(F.col("_a") != F.col("_b")).select("_h")
-        places = index.join(twice, "_h", "left_semi").groupBy("_key").agg(F.collect_set("_at").alias("_places"))
-        cut = open_.select("_key", "_blocks").join(places, "_key", "left").select("_key", "_blocks", "_places").mapInArrow(unique_runs(length), "_key long, _cut string")
-        clear = clear.unionByName(cut.select("_key", F.col("_cut").alias("_text")))
-    return pages.withColumn("_key", key).join(clear.dropDuplicates(["_key"]), "_key", "left").withColumn("_text", F.coalesce("_text", F.lit(""))).drop("_key")
+    cut_up = pages.withColumn("_p", F.arrow_udf(parsed, PARSED_DDL)(F.col(html)))
+    open_ = store.written(cut_up.where(~F.col("_p.clear")).select(key.alias("_key"), host.alias("_host"), F.col("_p.blocks").alias("_blocks")), "open")
+    if open_.isEmpty():  # pages whose markup is clear pass without any shuffle
+        return cut_up.withColumn("_text", F.col("_p.text")).drop("_p")
+    index = open_.mapInArrow(suffixes(length), "_h long, _key long, _at int")
+    twice = index.groupBy("_h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where(F.col("_a") != F.col("_b")).select("_h")
+    places = index.join(twice, "_h", "left_semi").groupBy("_key").agg(F.collect_set("_at").alias("_places"))
+    runs = open_.select("_key", "_blocks").dropDuplicates(["_key"]).join(places, "_key", "left").select("_key", "_blocks", "_places")
+    cut = store.written(runs.mapInArrow(unique_runs(length), "_key long, _cut string"), "runs")
+    clear = cut_up.where("_p.clear").withColumn("_text", F.col("_p.text")).drop("_p")
+    rest = cut_up.where(~F.col("_p.clear")).drop("_p").withColumn("_key", key).join(cut, "_key").withColumn("_text", F.col("_cut")).drop("_key", "_cut")
+    return clear.unionByName(rest)
