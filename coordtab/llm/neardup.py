@@ -32,6 +32,8 @@ MINIMA = ROWS * BANDS
 #: on average with a deviation of 0.028.
 SURE = 0.65
 SMALL = 32
+#: Rounds of pivots at most.
+TURNS = 2
 _rng = np.random.Generator(np.random.PCG64(7))
 _a = (_rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _b = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -180,38 +182,56 @@ class Search:
                 break
             pivot = left.groupBy("_k").agg(F.min_by(F.struct("_id", "_c"), F.xxhash64("_id", F.lit(turn))).alias("_v"))
             near = left.join(pivot, "_k").where(F.col("_c") != F.col("_v._c")).select(F.col("_v._id").alias("_x"), F.col("_id").alias("_y"))
-            if self.test(self.ordered(near)).isEmpty():
+            if self.test(self.ordered(near)).isEmpty() or turn == TURNS:
                 self.test(self.rest(left))
                 break
         return components(self.links, "_a", "_b")
 
     def rest(self, left: DataFrame) -> DataFrame:
-        """What pivots didn't settle, exactly: in each bucket the members outside its largest component, against all
-        others of other components. The sides meet in blocks of 512 and 4,096 members within a worker, which returns
-        only pairs whose signatures agree; so neither a bucket's members nor its pairs are gathered anywhere."""
+        """What pivots didn't settle: candidates for links between components within large buckets, none left out.
+
+        The members' shingles are put into one order, rare ones (among the members) first. Sets of sizes x and y that are
+        alike enough share c(x, y) shingles or more, so the first x - c + 1 of one and y - c + 1 of the other have one in
+        common. An outlier of a crowd of near copies differs from it in its rarest shingles; where these are its alone,
+        it meets nobody. Only members outside the largest component of a bucket seek, and only among other components,
+        so the crowd isn't compared with itself. To keep the common shingles of a crowd from meeting at all, each entry
+        names the classes of sizes (4 % wide) that it may meet."""
+        members = left.select("_id", "_c").distinct()
         size = left.groupBy("_k", "_c").count()
-        most = size.groupBy("_k").agg(F.max_by("_c", "count").alias("_large"), F.sum("count").alias("_all"))
-        placed = store.written(left.join(most, "_k").join(self.reps.select("_id", "_sig"), "_id"), "unplaced")
-        outer = placed.where(F.col("_c") != F.col("_large"))
-        n_outer = outer.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("_i"))
-        n_inner = most.select("_k", F.ceil(F.col("_all") / 4096).cast("int").alias("_j"))
-        o = outer.join(n_outer, "_k").join(n_inner, "_k").withColumn("_bi", F.pmod(F.xxhash64("_id"), F.col("_i")).cast("int")).withColumn("_bj", F.explode(F.sequence(F.lit(0), F.col("_j") - 1)))
-        i = placed.join(n_outer, "_k").join(n_inner, "_k").withColumn("_bj", F.pmod(F.xxhash64("_id"), F.col("_j")).cast("int")).withColumn("_bi", F.explode(F.sequence(F.lit(0), F.col("_i") - 1)))
-        o = o.select("_k", "_bi", "_bj", "_id", "_c", "_sig")
-        i = i.select("_k", "_bi", "_bj", "_id", "_c", "_sig").toDF("_k2", "_bi2", "_bj2", "_id2", "_c2", "_sig2")
-        return o.groupBy("_k", "_bi", "_bj").cogroup(i.groupBy("_k2", "_bi2", "_bj2")).applyInArrow(block_pairs, PAIR_DDL)
-
-
-def block_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    ids, comps = ([np.asarray(t.column(k)) for t in (left, right)] for k in (3, 4))
-    sigs = [np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, MINIMA) for t in (left, right)]
-    a, b = [], []
-    for k in range(len(ids[0])):
-        hit = np.flatnonzero(((sigs[1] == sigs[0][k]).sum(axis=1) >= SURE * MINIMA) & (comps[1] != comps[0][k]))
-        a.append(np.minimum(ids[0][k], ids[1][hit]))
-        b.append(np.maximum(ids[0][k], ids[1][hit]))
-    none = np.empty(0, np.int64)
-    return pa.table({"_a": pa.array(np.concatenate([none, *a])), "_b": pa.array(np.concatenate([none, *b]))})
+        most = size.groupBy("_k").agg(F.max_by("_c", F.struct("count", "_c")).alias("_large"))
+        seekers = left.join(most, "_k").where(F.col("_c") != F.col("_large")).select("_id").distinct().withColumn("_seeks", F.lit(True))
+        each = self.texts.join(members, "_id", "left_semi").mapInArrow(listed(self.n), "_id long, _s long, _n int")
+        each = store.written(each, "shingles")
+        rare = each.groupBy("_s").agg(F.count(F.lit(1)).alias("_df"))
+        t = self.num / self.den
+        n = F.col("_n")
+        by = each.join(rare, "_s").groupBy("_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_s"))).alias("_o"))
+        prefix = by.select("_id", "_n", F.posexplode(F.slice("_o", F.lit(1), n - F.ceil(t * n).cast("int") + 1)).alias("_i", "_e"))
+        entry = prefix.where(F.col("_e._df") > 1).select("_id", "_n", "_i", F.col("_e._s").alias("_s"), F.floor(F.log(n.cast("double")) / np.log(1.04)).cast("int").alias("_class"))
+        entry = entry.join(members, "_id").join(seekers, "_id", "left")
+        # from c(x, y) <= x - i: y may have (1 + t) / t * (x - i) - x shingles at most, and t * x at least
+        low = F.floor(F.log(t * n) / np.log(1.04) - 1e-9).cast("int")
+        high = F.floor(F.log((1 + t) / t * (n - F.col("_i")) - n + 1e-9) / np.log(1.04) + 1e-9).cast("int")
+        asks = entry.where(F.col("_seeks")).where(((1 + t) / t * (n - F.col("_i")) - n > 0)).withColumn("_low", low).withColumn("_high", high).where(F.col("_low") <= F.col("_high"))
+        asks = asks.select("_s", F.explode(F.sequence("_low", "_high")).alias("_class"), F.col("_id").alias("_x"), F.col("_c").alias("_cx"), n.alias("_nx"), F.col("_i").alias("_ix"))
+        has = entry.select("_s", "_class", F.col("_id").alias("_y"), F.col("_c").alias("_cy"), n.alias("_ny"), F.col("_i").alias("_iy"))
+        need = F.ceil((F.col("_nx") + F.col("_ny")) * (t / (1 + t)) - 1e-9)
+        fits = (F.col("_cx") != F.col("_cy")) & (F.col("_ix") <= F.col("_nx") - need) & (F.col("_iy") <= F.col("_ny") - need)
+        return self.ordered(asks.join(has, ["_s", "_class"]).where(fits).select("_x", "_y"))
+
+
+def listed(n: int):
+    """A row for each shingle of a text, with their number."""
+
+    def work(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(1).to_pylist(), n)
+            sizes = np.array([len(s) for s in sets], np.int32)
+            if not sizes.sum():
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes))], names=["_id", "_s", "_n"])
+
+    return work
 
 
 def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, ident: str = "doc_id", text: str = "text") -> DataFrame:
