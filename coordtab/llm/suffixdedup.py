@@ -127,11 +127,18 @@ def encoded(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches, rows: int = 200):
+    """Smaller batches, for work that turns rows into Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def index_entries(width: int, key: int):
     schema = pa.schema([("_h", pa.int64()), ("_c", pa.int64()), ("_key", pa.int64()), ("_pos", pa.int64()), ("_l", pa.int32()), ("_r", pa.int32())])
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches, 2_000):
             found = entries_of(encoded(batch.column(1)), width, key)
             if found is None:
                 continue
@@ -194,7 +201,7 @@ def marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def surroundings(batches):
     """_key, _text, _want (list of _h, _c, _pos, _l, _r, _n): the bytes around each wanted entry."""
     schema = pa.schema([("_h", pa.int64()), ("_c", pa.int64()), ("_key", pa.int64()), ("_pos", pa.int64()), ("_l", pa.int32()), ("_single", pa.bool_()), ("_bytes", pa.binary())])
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for key, text, want in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2).to_pylist()):
             for w in want:
@@ -279,7 +286,7 @@ def all_windows(width: int, key: int):
 def removed(batches):
     """_key, _text, _spans: what is left of each text."""
     schema = pa.schema([("_key", pa.int64()), ("_removed", pa.int64()), ("_runs", pa.int64()), ("_sha_left", pa.string()), ("_left", pa.binary())])
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for key, text, spans in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2).to_pylist()):
             merged: list[list[int]] = []
