@@ -28,7 +28,8 @@ SMOOTHING = 0.02
 PART = 24
 LONGEST = 16
 #: Distinct words that a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
+LOT = 100_000
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,24 +169,24 @@ class Model:
 
     def likelihoods(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of each text under each language."""
-        split = [t.lower().split() for t in texts]
         out = np.zeros((len(texts), len(self.languages)))
         k = 0
-        while k < len(split):
-            end, size = k, 0
-            while end < len(split) and (size == 0 or size + len(split[end]) < 200_000):
-                size += len(split[end])
-                end += 1
-            new = {w for ws in split[k:end] for w in ws if w not in self.number}
+        while k < len(texts):  # some LOT words at a time, as lists of words take ten times the room of a text
+            split: list[list[str]] = []
+            size = 0
+            while k + len(split) < len(texts) and (not split or size < LOT):
+                split.append(texts[k + len(split)].lower().split())
+                size += len(split[-1])
+            new = {w for ws in split for w in ws if w not in self.number}
             if new:
                 if len(self.number) + len(new) > CACHE:
                     self.number, self.scores = {}, None
-                    new = {w for ws in split[k:end] for w in ws}
+                    new = {w for ws in split for w in ws}
                 self.add(sorted(new))
-            for j in range(k, end):
-                if split[j]:
-                    out[j] = self.scores[[self.number[w] for w in split[j]]].sum(axis=0)
-            k = end
+            for ws in split:
+                if ws:
+                    out[k] = self.scores[[self.number[w] for w in ws]].sum(axis=0)
+                k += 1
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
