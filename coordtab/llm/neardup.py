@@ -32,8 +32,6 @@ MINIMA = ROWS * BANDS
 #: on average with a deviation of 0.028.
 SURE = 0.65
 SMALL = 32
-#: Rounds of pivots at most.
-TURNS = 2
 _rng = np.random.Generator(np.random.PCG64(7))
 _a = (_rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _b = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -134,8 +132,7 @@ class Search:
         bands = self.reps.select("_id", F.explode("_bands").alias("_k"))
         shared = bands.groupBy("_k").agg(F.min("_id").alias("_p"), F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1)
         self.members = store.written(bands.join(shared, "_k"), "members")  # _k, _id, _p, _m
-        self.tested = None
-        self.links = None
+        self.tested = self.links = self.known = None
 
     def test(self, pairs: DataFrame) -> DataFrame:
         """Links among the pairs (_a < _b), each tested once in the whole run."""
@@ -148,19 +145,25 @@ class Search:
         signed = pairs.join(sig.toDF("_a", "_sig_a"), "_a").join(sig.toDF("_b", "_sig_b"), "_b").select("_a", "_b", "_sig_a", "_sig_b")
         likely = store.written(signed.mapInArrow(agreeing, PAIR_DDL), "likely")
         ids = likely.select(F.col("_a").alias("_id")).union(likely.select("_b")).distinct()
-        sets = store.written(self.texts.join(ids, "_id", "left_semi").mapInArrow(packed(self.n), "_id long, _set binary"), "sets")
+        ids = store.written(ids, "ids")
+        near = store.marked(self.texts, F.col("_id"), ids).join(ids, "_id", "left_semi")
+        sets = store.written(near.mapInArrow(packed(self.n), "_id long, _set binary"), "sets")
         joined = likely.join(sets.toDF("_b", "_set_b"), "_b").join(sets.toDF("_a", "_set_a"), "_a").select("_a", "_b", "_set_a", "_set_b")
         found = store.written(joined.mapInArrow(confirm(self.num, self.den), PAIR_DDL), "links")
         self.links = found if self.links is None else self.links.unionByName(found)
         return found
 
-    def unsettled(self) -> DataFrame:
-        """_k, _id, _m, _c: the members of buckets that hold more than one component, and three members at least."""
-        c = components(self.links, "_a", "_b")
-        at = self.members.where(F.col("_m") > 2).join(c, "_id", "left").select("_k", "_id", "_m", F.coalesce("_component", "_id").alias("_c"))
-        at = store.written(at, "placed")
-        mixed = at.groupBy("_k").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")).where(F.col("_x") != F.col("_y")).select("_k")
-        return store.written(at.join(mixed, "_k", "left_semi"), "unsettled")
+    def place(self) -> None:
+        """Components so far, and of each bucket (of three members or more) the members of each: `placed` is _k, _m, _id,
+        _c, and `mixed` has _k, _m, _c, _n (members), _low and _high (ids) for buckets of several components, and the
+        bucket's _main component, that of most members."""
+        links = self.links if self.known is None else self.links.unionByName(self.known)
+        self.known = components(links, "_a", "_b").select(F.col("_component").alias("_a"), F.col("_id").alias("_b"))
+        of = self.known.select(F.col("_b").alias("_id"), F.col("_a").alias("_component"))
+        self.placed = self.members.where(F.col("_m") > 2).join(of, "_id", "left").select("_k", "_m", "_id", F.coalesce("_component", "_id").alias("_c"))
+        each = store.written(self.placed.groupBy("_k", "_m", "_c").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_low"), F.max("_id").alias("_high")), "placed")
+        main = each.groupBy("_k").agg(F.count(F.lit(1)).alias("_comps"), F.max_by("_c", F.struct("_n", "_c")).alias("_main")).where(F.col("_comps") > 1)
+        self.mixed = store.written(each.join(main.select("_k", "_main"), "_k"), "mixed")
 
     @staticmethod
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -170,37 +173,36 @@ class Search:
         """_id, _component of the classes' smallest ids."""
         star = self.members.where(F.col("_id") != F.col("_p"))
         self.test(self.ordered(star.select(F.col("_p").alias("_x"), F.col("_id").alias("_y"))))
-        left = self.unsettled()
-        small = left.where(F.col("_m") <= SMALL)
+        self.place()
+        small = self.placed.join(self.mixed.where(F.col("_m") <= SMALL).select("_k").distinct(), "_k", "left_semi")
         x, y = small.select("_k", F.col("_id").alias("_x"), F.col("_c").alias("_cx")), small.select("_k", F.col("_id").alias("_y"), F.col("_c").alias("_cy"))
-        self.test(self.ordered(x.join(y, "_k").where((F.col("_x") < F.col("_y")) & (F.col("_cx") != F.col("_cy"))).select("_x", "_y")))
-        turn = 0
-        while True:
-            turn += 1
-            left = self.unsettled().where(F.col("_m") > SMALL)
-            if left.isEmpty():
-                break
-            pivot = left.groupBy("_k").agg(F.min_by(F.struct("_id", "_c"), F.xxhash64("_id", F.lit(turn))).alias("_v"))
-            near = left.join(pivot, "_k").where(F.col("_c") != F.col("_v._c")).select(F.col("_v._id").alias("_x"), F.col("_id").alias("_y"))
-            if self.test(self.ordered(near)).isEmpty() or turn == TURNS:
-                self.test(self.rest(left))
-                break
-        return components(self.links, "_a", "_b")
-
-    def rest(self, left: DataFrame) -> DataFrame:
-        """What pivots didn't settle: candidates for links between components within large buckets, none left out.
+        pairs = x.join(y, "_k").where((F.col("_x") < F.col("_y")) & (F.col("_cx") != F.col("_cy"))).select("_x", "_y")
+        # in large buckets: the members outside the main component with its largest member (the smallest was the star's)
+        large = self.mixed.where(F.col("_m") > SMALL)
+        pivot = large.where(F.col("_c") == F.col("_main")).select("_k", F.col("_high").alias("_x"))
+        outer = self.placed.join(large.where(F.col("_c") != F.col("_main")).select("_k", "_c"), ["_k", "_c"], "left_semi").select("_k", F.col("_id").alias("_y"))
+        self.test(self.ordered(pairs.unionByName(pivot.join(outer, "_k").select("_x", "_y"))))
+        self.place()
+        large = self.mixed.where(F.col("_m") > SMALL)
+        if not large.isEmpty():
+            self.test(self.rest(large))
+            self.place()
+        return self.known.select(F.col("_b").alias("_id"), F.col("_a").alias("_component"))
+
+    def rest(self, large: DataFrame) -> DataFrame:
+        """What pivots didn't settle: candidates for links between components that meet in large buckets, none left out.
 
         The members' shingles are put into one order, rare ones (among the members) first. Sets of sizes x and y that are
         alike enough share c(x, y) shingles or more, so the first x - c + 1 of one and y - c + 1 of the other have one in
         common. An outlier of a crowd of near copies differs from it in its rarest shingles; where these are its alone,
-        it meets nobody. Only members outside the largest component of a bucket seek, and only among other components,
+        it meets nobody. Only members of components other than a bucket's main one seek, and only among other components,
         so the crowd isn't compared with itself. To keep the common shingles of a crowd from meeting at all, each entry
         names the classes of sizes (4 % wide) that it may meet."""
-        members = left.select("_id", "_c").distinct()
-        size = left.groupBy("_k", "_c").count()
-        most = size.groupBy("_k").agg(F.max_by("_c", F.struct("count", "_c")).alias("_large"))
-        seekers = left.join(most, "_k").where(F.col("_c") != F.col("_large")).select("_id").distinct().withColumn("_seeks", F.lit(True))
-        each = self.texts.join(members, "_id", "left_semi").mapInArrow(listed(self.n), "_id long, _s long, _n int")
+        of = self.reps.select("_id").join(self.known.select(F.col("_b").alias("_id"), F.col("_a").alias("_component")), "_id", "left").select("_id", F.coalesce("_component", "_id").alias("_c"))
+        comps = large.groupBy("_c").agg(F.max((F.col("_c") != F.col("_main")).cast("int")).alias("_s"))
+        members = store.written(of.join(comps, "_c").select("_id", "_c", (F.col("_s") == 1).alias("_seeks")), "members")
+        near = store.marked(self.texts, F.col("_id"), members.select("_id")).join(members.select("_id"), "_id", "left_semi")
+        each = near.mapInArrow(listed(self.n), "_id long, _s long, _n int")
         each = store.written(each, "shingles")
         rare = each.groupBy("_s").agg(F.count(F.lit(1)).alias("_df"))
         t = self.num / self.den
@@ -208,7 +210,7 @@ class Search:
         by = each.join(rare, "_s").groupBy("_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_s"))).alias("_o"))
         prefix = by.select("_id", "_n", F.posexplode(F.slice("_o", F.lit(1), n - F.ceil(t * n).cast("int") + 1)).alias("_i", "_e"))
         entry = prefix.where(F.col("_e._df") > 1).select("_id", "_n", "_i", F.col("_e._s").alias("_s"), F.floor(F.log(n.cast("double")) / np.log(1.04)).cast("int").alias("_class"))
-        entry = entry.join(members, "_id").join(seekers, "_id", "left")
+        entry = entry.join(members, "_id")
         # from c(x, y) <= x - i: y may have (1 + t) / t * (x - i) - x shingles at most, and t * x at least
         low = F.floor(F.log(t * n) / np.log(1.04) - 1e-9).cast("int")
         high = F.floor(F.log((1 + t) / t * (n - F.col("_i")) - n + 1e-9) / np.log(1.04) + 1e-9).cast("int")

@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -60,3 +61,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys are marked in so many bits (8 MB), which are broadcast. With more keys than bits, some rows pass in vain.
+BITS = 1 << 26
+
+
+def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key (a long) is in the only column of keys, and some others: a test of one of BITS bits, made
+    before rows are shuffled to a join that settles it."""
+    bit = lambda k: F.pmod(k, F.lit(BITS)) + 1
+    name = keys.columns[0]
+    places = keys.where(F.col(name).isNotNull()).select(bit(F.col(name)).alias("_x"))
+    maps = places.groupBy(F.expr("bitmap_bucket_number(_x)").alias("_m")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_x))").alias("_map"))
+    at = df.withColumn("_x", bit(key)).withColumn("_m", F.expr("bitmap_bucket_number(_x)"))
+    byte = F.conv(F.hex(F.substr("_map", (F.floor(F.expr("bitmap_bit_position(_x)") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.expr("shiftright(_byte, cast(bitmap_bit_position(_x) % 8 as int)) & 1") == 1
+    return at.join(F.broadcast(maps), "_m").withColumn("_byte", byte).where(set_).select(*df.columns)

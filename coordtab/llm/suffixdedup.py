@@ -33,9 +33,6 @@ BATCHES = 4
 #: Bytes that are indexed at once.
 CHUNK = 1 << 20
 HOT = 4_000
-#: The documents whose text is fetched again are marked in so many bits (8 MB), which are broadcast. With more documents
-#: than bits, some are fetched in vain.
-BITS = 1 << 26
 ENTRY = "_h long, _c long, _key long, _pos long, _l int, _r int"
 
 
@@ -187,17 +184,6 @@ class Family:
         return every.join(hit.distinct(), "_h", "left_semi")
 
 
-def marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents (_key, _text) whose key is among keys, and some others: a test of one of BITS bits."""
-    bit = lambda key: F.pmod(key, F.lit(BITS)) + 1
-    maps = keys.select(bit(F.col("_key")).alias("_x")).groupBy(F.expr("bitmap_bucket_number(_x)").alias("_m")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_x))").alias("_map"))
-    pos = F.expr("bitmap_bit_position(_x)")
-    byte = F.conv(F.hex(F.substr("_map", (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    one = F.expr("shiftright(_byte, cast(bitmap_bit_position(_x) % 8 as int)) & 1") == 1
-    at = docs.withColumn("_x", bit(F.col("_key"))).withColumn("_m", F.expr("bitmap_bucket_number(_x)"))
-    return at.join(F.broadcast(maps), "_m").withColumn("_byte", byte).where(one).select("_key", "_text")
-
-
 def surroundings(batches):
     """_key, _text, _want (list of _h, _c, _pos, _l, _r, _n): the bytes around each wanted entry."""
     schema = pa.schema([("_h", pa.int64()), ("_c", pa.int64()), ("_key", pa.int64()), ("_pos", pa.int64()), ("_l", pa.int32()), ("_single", pa.bool_()), ("_bytes", pa.binary())])
@@ -326,7 +312,7 @@ def spans_of(rows: DataFrame, width: int, key: int, batches: int, hot: int) -> D
     open_ = wholes.where((F.col("_k") > 1) & (F.col("_least") == 1) & (F.col("_e._l") + F.col("_e._r") >= width))
     want = open_.groupBy(F.col("_e._key").alias("_key")).agg(F.collect_list(F.struct("_h", "_c", "_e._pos", "_e._l", "_e._r", "_n")).alias("_want"))
     want = store.written(want, "want")  # a row for each text, as long as its number of entries
-    texts = marked(rows, want.select("_key")).join(want, "_key").dropDuplicates(["_key"])
+    texts = store.marked(rows, F.col("_key"), want.select("_key")).join(want, "_key").dropDuplicates(["_key"])
     ctx = texts.select("_key", "_text", "_want").mapInArrow(surroundings, "_h long, _c long, _key long, _pos long, _l int, _single boolean, _bytes binary")
     ctx = store.written(ctx, "surroundings")
     large = groups.where(F.col("_k") > hot).select("_h")
@@ -351,7 +337,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, key: int = KEY, batches: i
     rows = docs.select(row_key(ident, text).alias("_key"), t.alias("_text"))
     spans = store.written(spans_of(rows, width, key, batches, hot), "spans")
     listed = store.written(spans.groupBy("_key").agg(F.collect_set(F.struct("_a", "_b")).alias("_spans")), "listed")
-    texts = marked(rows, listed.select("_key")).join(listed, "_key").dropDuplicates(["_key"])
+    texts = store.marked(rows, F.col("_key"), listed.select("_key")).join(listed, "_key").dropDuplicates(["_key"])
     cut = texts.select("_key", "_text", "_spans").mapInArrow(removed, "_key long, _removed long, _runs long, _sha_left string, _left binary")
     base = docs.withColumn("_key", row_key(ident, text)).withColumn("_n_bytes", F.octet_length(t).cast("long")).withColumn("_sha_all", F.sha2(t.cast("binary"), 256))
     return (
