@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from enum import StrEnum
 
 from .errors import HeaderError, IncompatibleError, SizeError
@@ -120,7 +120,7 @@ class Meta:
     field: Field = Field.REAL
     symmetry: Symmetry = Symmetry.GENERAL
     precision: Precision = Precision.DOUBLE
-    comments: tuple[str, ...] = field(default_factory=tuple)
+    comments: tuple[str, ...] = ()
 
     @property
     def data_lines(self) -> int:

@@ -1,9 +1,362 @@
-"""Every registered query of the matrix operators with the SQL that must return the same rows."""
+"""Every registered query of the matrix operators, with the SQL that must return the same rows.
 
+The driver's tables serve as matrices: lineitem is sparse (order x part, quantity), orders gives a list of entries with
+positions, part and orders give vectors. Values are whole numbers where sums are compared, so that the order of additions
+doesn't matter.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import storage
+from ..functions import cplx, morton
+from ..meta import Field, Kind, Layout, Meta
+from ..operators import entries as en
+from ..operators import generate, graphs, integers, products, solver, spy
+from ..operators import partitioning as pt
+from ..operators import permutations as pe
+from ..operators import vectors as ve
+from ..sources import mtx
+from ..streaming import assemble as streaming
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+#: Common table expressions that the SQL uses.
+VIEWS = """
+e AS (SELECT o_orderkey AS k, o_custkey % 100 + 1 AS i, o_orderkey % 7 + 1 AS j, CAST(floor(o_totalprice) AS BIGINT) AS a FROM orders),
+s AS (SELECT k, greatest(i, j * 9) AS i, least(i, j * 9) AS j, CAST(a AS DOUBLE) AS a FROM e),
+l AS (SELECT l_orderkey + 1 AS i, l_partkey + 1 AS j, l_quantity AS a FROM lineitem),
+x AS (SELECT p_partkey + 1 AS i, CAST(p_size AS DOUBLE) AS a FROM part),
+y AS (SELECT o_orderkey AS i, floor(o_totalprice) AS a FROM orders),
+p AS (SELECT o_orderkey AS i, CAST(o_custkey AS DOUBLE) AS a FROM orders WHERE o_orderpriority = '1-URGENT'),
+z AS (SELECT l_orderkey + 1 AS i, l_partkey + 1 AS j, l_quantity AS re, CAST(l_linenumber AS DOUBLE) AS im FROM lineitem),
+c AS (SELECT o_orderkey AS i, CAST(o_custkey % 50 AS DOUBLE) AS re, CAST(o_orderkey % 11 AS DOUBLE) - 5 AS im FROM orders),
+r AS (SELECT o_orderkey AS src, (o_orderkey * 7 + 3) % (SELECT count(*) FROM orders) AS dst FROM orders),
+v AS (SELECT l_partkey AS value, l_returnflag AS f FROM lineitem)
+"""
+
+
+class Tables:
+    """The same relations as frames."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def n_orders(self) -> int:
+        return self.read("orders").count()
+
+    @property
+    def e(self) -> DataFrame:
+        return self.read("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 100 + 1).alias("i"), (F.col("o_orderkey") % 7 + 1).alias("j"), F.floor("o_totalprice").cast("long").alias("a"))
+
+    @property
+    def s(self) -> DataFrame:
+        return self.e.select("k", F.greatest(F.col("i"), F.col("j") * 9).alias("i"), F.least(F.col("i"), F.col("j") * 9).alias("j"), F.col("a").cast("double").alias("a"))
+
+    @property
+    def l(self) -> DataFrame:  # noqa: E743
+        return en.matrix(self.read("lineitem"), "l_orderkey", "l_partkey", "l_quantity")
+
+    @property
+    def x(self) -> DataFrame:
+        return ve.vector(self.read("part"), F.col("p_partkey") + 1, F.col("p_size").cast("double"))
+
+    @property
+    def y(self) -> DataFrame:
+        return ve.vector(self.read("orders"), "o_orderkey", F.floor("o_totalprice").cast("double"))
+
+    @property
+    def p(self) -> DataFrame:
+        return ve.vector(self.read("orders").where(F.col("o_orderpriority") == "1-URGENT"), "o_orderkey", F.col("o_custkey").cast("double"))
+
+    @property
+    def z(self) -> DataFrame:
+        return self.read("lineitem").select((F.col("l_orderkey") + 1).alias("i"), (F.col("l_partkey") + 1).alias("j"), cplx.cx(F.col("l_quantity"), F.col("l_linenumber").cast("double")).alias("a"))
+
+    @property
+    def c(self) -> DataFrame:
+        return self.read("orders").select(F.col("o_orderkey").alias("i"), cplx.cx((F.col("o_custkey") % 50).cast("double"), (F.col("o_orderkey") % 11).cast("double") - 5).alias("a"))
+
+    @property
+    def r(self) -> DataFrame:
+        return self.read("orders").select(F.col("o_orderkey").alias("src"), ((F.col("o_orderkey") * 7 + 3) % self.n_orders).alias("dst"))
+
+    def v(self, flag: str) -> DataFrame:
+        return integers.values(self.read("lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_partkey") % 3 != {"A": 0, "R": 1, "N": 2}[flag])), "l_partkey")
+
+
+def parts(df: DataFrame) -> DataFrame:
+    """A complex column as two."""
+    return df.select("*", F.col("a.re").alias("re"), F.col("a.im").alias("im")).drop("a")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of Tables; the SQL may use VIEWS, unless it brings its own WITH."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            _SQL[name] = sql if sql.lstrip().startswith("WITH") else f"WITH {VIEWS.strip()} {sql}"
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- products
+
+query("gemv_n", "SELECT l.i, sum(l.a * x.a) AS a FROM l JOIN x ON l.j = x.i GROUP BY l.i")(lambda t: products.gemv(t.l, t.x))
+query("gemv_t", "SELECT l.j AS i, sum(l.a * y.a) AS a FROM l JOIN y ON l.i = y.i + 1 GROUP BY l.j")(lambda t: products.gemv(t.l, t.y.withColumn("i", F.col("i") + 1), trans="trans"))
+query("gemv_alpha_beta", "SELECT o_orderkey + 1 AS i, 2 * coalesce(g.a, 0) + 3 * floor(o_totalprice) AS a FROM orders LEFT JOIN (SELECT l.i, sum(l.a * x.a) AS a FROM l JOIN x ON l.j = x.i GROUP BY l.i) AS g ON g.i = o_orderkey + 1")(
+    lambda t: products.gemv(t.l, t.x, t.y.withColumn("i", F.col("i") + 1), alpha=2.0, beta=3.0)
+)
+query("gemv_symmetric", "SELECT f.i, sum(f.a * (f.j % 10)) AS a FROM (SELECT i, j, a FROM s UNION ALL SELECT j, i, a FROM s WHERE i <> j) AS f GROUP BY f.i")(
+    lambda t: products.gemv(t.s, t.spark.range(1, 101).select(F.col("id").alias("i"), (F.col("id") % 10).cast("double").alias("a")), symmetry="symmetric")
+)
+query("gemv_skew", "SELECT f.i, sum(f.a * (f.j % 10)) AS a FROM (SELECT i, j, a FROM s UNION ALL SELECT j, i, -a FROM s WHERE i <> j) AS f GROUP BY f.i")(
+    lambda t: products.gemv(t.s, t.spark.range(1, 101).select(F.col("id").alias("i"), (F.col("id") % 10).cast("double").alias("a")), symmetry="skew-symmetric")
+)
+query("gemv_integer", "SELECT i, CAST(2 * sum(a * j) AS BIGINT) AS a FROM e GROUP BY i")(
+    lambda t: products.gemv(t.e, t.spark.range(1, 8).select(F.col("id").alias("i"), F.col("id").alias("a")), alpha=2)
+)
+query("gemv_pattern", "SELECT l.i, sum(x.a) AS a FROM l JOIN x ON l.j = x.i GROUP BY l.i")(lambda t: products.gemv(t.l.drop("a"), t.x))
+query("gemv_complex", "SELECT z.i, 2 * sum(z.re * c.re - z.im * c.im) - 3 * sum(z.re * c.im + z.im * c.re) AS re, 2 * sum(z.re * c.im + z.im * c.re) + 3 * sum(z.re * c.re - z.im * c.im) AS im FROM z JOIN c ON z.j = c.i + 1 GROUP BY z.i")(
+    lambda t: parts(products.gemv(t.z, t.c.withColumn("i", F.col("i") + 1), alpha=2 + 3j))
+)
+query("gemv_complex_h", "SELECT z.j AS i, sum(z.re * c.re + z.im * c.im) AS re, sum(z.re * c.im - z.im * c.re) AS im FROM z JOIN c ON z.i = c.i + 1 GROUP BY z.j")(
+    lambda t: parts(products.gemv(t.z, t.c.withColumn("i", F.col("i") + 1), trans="conjtrans"))
+)
+query("gemm_sparse", "SELECT a.i, b.i AS j, sum(a.a * b.a) AS a FROM (SELECT l_suppkey + 1 AS i, l_partkey + 1 AS j, l_quantity AS a FROM lineitem) AS a JOIN (SELECT l_suppkey + 1 AS i, l_partkey + 1 AS j, l_quantity AS a FROM lineitem) AS b USING (j) GROUP BY a.i, b.i")(
+    lambda t: products.gemm(m := en.matrix(t.read("lineitem"), "l_suppkey", "l_partkey", "l_quantity"), m, trans_b="trans")
+)
+query("gemm_beta", "SELECT i, j, 2 * coalesce(g, 0) + 3 * coalesce(c, 0) AS a FROM (SELECT a.j AS i, b.j, CAST(sum(a.a * b.a) AS DOUBLE) AS g FROM e AS a JOIN (SELECT i, j, CAST(sum(1) AS BIGINT) AS a FROM e GROUP BY i, j) AS b ON a.i = b.i GROUP BY a.j, b.j) AS p FULL JOIN (SELECT n_nationkey + 1 AS i, n_regionkey + 1 AS j, CAST(n_nationkey AS DOUBLE) AS c FROM nation) AS q USING (i, j)")(
+    lambda t: products.gemm(t.e.withColumn("a", F.col("a").cast("double")), en.assemble(t.e.withColumn("a", F.lit(1.0))), en.matrix(t.read("nation"), "n_nationkey", "n_regionkey", F.col("n_nationkey").cast("double")), alpha=2.0, beta=3.0, trans_a="trans")
+)
+query("gemm_dense", "WITH m AS (SELECT p_partkey % 96 + 1 AS i, p_size AS j, CAST(sum(p_partkey % 13 + 1) AS DOUBLE) AS a FROM part GROUP BY ALL) SELECT x.j AS i, y.j, sum(x.a * y.a) AS a FROM m AS x JOIN m AS y USING (i) GROUP BY x.j, y.j")(
+    lambda t: products.gemm_dense(m := en.assemble(en.matrix(t.read("part"), F.col("p_partkey") % 96, F.col("p_size") - 1, (F.col("p_partkey") % 13 + 1).cast("double"))), m, trans_a="trans", tile=32)
+)
+query("gemv_dense_embeddings", "SELECT vec_id + 1 AS i, round(sum(e), 4) AS a FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings) GROUP BY vec_id")(
+    lambda t: products.gemv(en.from_dense(t.read("embeddings"), "vec_id", "embedding").withColumn("a", F.col("a").cast("double")), ve.constant(t.spark, 64, 1.0).withColumn("i", F.col("i") + 1)).withColumn("a", F.round("a", 4))
+)
+query("flops", "SELECT 'gemv' AS operation, CAST(3 * count(*) AS BIGINT) AS flops FROM lineitem UNION ALL SELECT 'dot', CAST(2 * count(*) AS BIGINT) FROM orders")(
+    lambda t: t.spark.createDataFrame([("gemv", products.flops("gemv", t.l.count())), ("dot", products.flops("dot", t.y.count()))], "operation string, flops long")
+)
+
+# ---------------------------------------------------------------- entries
+
+query("assemble", "SELECT i, j, sum(a) AS a FROM l GROUP BY i, j")(lambda t: en.assemble(t.l))
+query("assemble_sorted", "SELECT row_number() OVER (ORDER BY i, j) - 1 AS k, i, j, CAST(sum(a) AS BIGINT) AS a FROM e GROUP BY i, j")(lambda t: en.assemble(t.e.drop("k"), "row-major"))
+query("assemble_pattern", "SELECT DISTINCT i, j FROM l")(lambda t: en.assemble(t.l.drop("a")))
+query("assemble_complex", "SELECT i, j, sum(re) AS re, sum(im) AS im FROM z GROUP BY i, j")(lambda t: parts(en.assemble(t.z)))
+RUNS = "t AS (SELECT *, CASE WHEN i = lag(i) OVER (ORDER BY k) AND j = lag(j) OVER (ORDER BY k) THEN 0 ELSE 1 END AS f FROM (SELECT o_orderkey AS k, o_orderkey // 3 % 5 + 1 AS i, o_orderkey // 4 % 2 + 1 AS j, a FROM orders JOIN e ON o_orderkey = k)), u AS (SELECT *, sum(f) OVER (ORDER BY k) AS run FROM t)"
+
+
+def runs(t: Tables) -> DataFrame:
+    return t.e.select("k", (F.expr("k div 3") % 5 + 1).alias("i"), (F.expr("k div 4") % 2 + 1).alias("j"), "a")
+
+
+query("compact", f"WITH {VIEWS.strip()}, {RUNS} SELECT CAST(run - 1 AS BIGINT) AS k, min(i) AS i, min(j) AS j, CAST(sum(a) AS BIGINT) AS a, count(*) AS lines FROM u GROUP BY run")(lambda t: en.compact(runs(t)))
+query("compact_map", f"WITH {VIEWS.strip()}, {RUNS} SELECT k, CAST(run AS BIGINT) AS dst FROM u")(lambda t: en.compact_map(runs(t)))
+query("sort_row_major", "SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS k, i, j, a, k AS src FROM e")(lambda t: en.sort(t.e, "row-major").select("k", "i", "j", "a", "src"))
+query("sort_column_major", "SELECT row_number() OVER (ORDER BY j, i, k) - 1 AS k, i, j, a, k AS src FROM e")(lambda t: en.sort(t.e, "column-major").select("k", "i", "j", "a", "src"))
+
+
+def spread_sql(x: str) -> str:
+    for shift, mask in morton.SPREAD:
+        x = f"((({x}) | (({x}) << {shift})) & {mask})" if shift == 16 else f"(SELECT (q | (q << {shift})) & {mask} FROM (SELECT {x} AS q))"
+    return x
+
+
+MORTON = f"(({spread_sql('i - 1')}) << 1) | ({spread_sql('j - 1')})"
+query("sort_morton", f"SELECT row_number() OVER (ORDER BY m, k) - 1 AS k, i, j, a, k AS src FROM (SELECT *, {MORTON} AS m FROM e)")(lambda t: en.sort(t.e, "morton").select("k", "i", "j", "a", "src"))
+query("sort_permute", "SELECT dst AS k, i, j, a, k AS src FROM e JOIN r ON k = r.src")(lambda t: en.sort(t.e, "permute", t.r.toDF("k", "dst")).select("k", "i", "j", "a", "src"))
+query("sort_permutation", "SELECT k, row_number() OVER (ORDER BY i, j, k) - 1 AS dst FROM e")(lambda t: en.sort_permutation(t.e, "row-major"))
+query("transpose", "SELECT k, j AS i, i AS j, a FROM e")(lambda t: en.transpose(t.e))
+query("transpose_conjugate", "SELECT j AS i, i AS j, re, -im AS im FROM z")(lambda t: parts(en.transpose(t.z, conjugate=True)))
+query("transpose_array", "SELECT o_orderkey % 5 * (SELECT count(*) // 5 FROM orders) + o_orderkey // 5 AS k, o_custkey AS a FROM orders")(lambda t: en.transpose_array(t.read("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a")), t.n_orders // 5, 5))
+for kind, sign in (("symmetric", ""), ("skew-symmetric", "-")):
+    query(f"expand_{kind[:4]}", f"SELECT i, j, a FROM s UNION ALL SELECT j, i, {sign}a FROM s WHERE i <> j")(lambda t, kind=kind: en.expand_symmetry(t.s, kind))
+query("expand_hermitian", "SELECT i, j, re, im FROM z UNION ALL SELECT j, i, re, -im FROM z WHERE i <> j")(lambda t: parts(en.expand_symmetry(t.z, "hermitian")))
+query("nonzeros", "SELECT count(*) AS stored, count(*) FILTER (i = j) AS diagonal, 2 * count(*) - count(*) FILTER (i = j) AS nonzeros FROM s")(lambda t: en.nonzeros(t.s, "symmetric"))
+query("diagonal", "SELECT i, j, a FROM l WHERE i = j")(lambda t: en.diagonal(t.l))
+query("in_bounds", "SELECT k, i, j, a FROM e")(lambda t: en.in_bounds(t.e, 100, 7))
+query("set_constant", "SELECT k, i, j, CAST(5 AS BIGINT) AS a FROM e")(lambda t: en.set_constant(t.e, 5))
+query("set_zero", "SELECT i, j, 0.0::DOUBLE AS a FROM l")(lambda t: en.set_zero(t.l))
+query("set_values", "SELECT k, i, j, o_custkey AS a FROM e JOIN orders ON k = o_orderkey")(lambda t: en.set_values(t.e, t.read("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"))).select("k", "i", "j", "a"))
+query("gather_lines", "SELECT r.src AS k, i, j, a FROM r JOIN e ON r.dst = e.k")(lambda t: en.gathered(t.e, t.r.toDF("k", "src")).select("k", "i", "j", "a"))
+query("dense", "SELECT (i - 1) * 7 + j - 1 AS k, i, j, CAST(coalesce(q.a, 0) AS BIGINT) AS a FROM (SELECT unnest(range(1, 101)) AS i) CROSS JOIN (SELECT unnest(range(1, 8)) AS j) LEFT JOIN (SELECT i, j, sum(a) AS a FROM e GROUP BY i, j) AS q USING (i, j)")(lambda t: en.dense(t.e, 100, 7))
+query("from_dense", "SELECT vec_id + 1 AS i, unnest(range(1, 65)) AS j, unnest(embedding) AS a FROM embeddings")(lambda t: en.from_dense(t.read("embeddings"), "vec_id", "embedding"))
+query("array_places", "SELECT o_orderkey // 12 + 1 AS i, o_orderkey % 12 + 1 AS j, o_custkey AS a FROM orders")(lambda t: en.array_places(t.read("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a")), 12))
+query("triangular_places", "SELECT q.i, o_orderkey - q.i * (q.i - 1) // 2 + 1 AS j, o_custkey AS a FROM orders JOIN (SELECT unnest(range(1, 2000)) AS i) AS q ON o_orderkey >= q.i * (q.i - 1) // 2 AND o_orderkey < q.i * (q.i + 1) // 2")(lambda t: en.triangular_places(t.read("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"))))
+query("row_pointers", "SELECT i, CAST(sum(n) OVER (ORDER BY i) - n AS BIGINT) AS first, CAST(sum(n) OVER (ORDER BY i) AS BIGINT) AS last FROM (SELECT o_orderkey + 1 AS i, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)")(lambda t: en.pointers(t.l, t.n_orders))
+query("column_pointers", "SELECT i, CAST(sum(n) OVER (ORDER BY i) - n AS BIGINT) AS first, CAST(sum(n) OVER (ORDER BY i) AS BIGINT) AS last FROM (SELECT p_partkey + 1 AS i, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)")(lambda t: en.pointers(t.l, t.read("part").count(), "j"))
+query("compressed_rows", "SELECT row_number() OVER (ORDER BY i, k) - 1 AS k, i, j, a, k AS src FROM e")(lambda t: en.compressed(t.e).select("k", "i", "j", "a", "src"))
+query("from_compressed", "SELECT row_number() OVER (ORDER BY i, k) - 1 AS k, i, j, a FROM e")(lambda t: en.from_compressed(en.pointers(t.e, 100), en.compressed(t.e).select("k", "j", "a")))
+query("local_numbers", "SELECT DISTINCT l_orderkey + 1 AS src, dense_rank() OVER (ORDER BY l_orderkey) AS dst FROM lineitem")(lambda t: en.local_numbers(t.l))
+query("relabel", "SELECT k, 101 - i AS i, j + 10 AS j, a FROM e")(lambda t: en.relabelled(t.e, t.spark.range(1, 101).select(F.col("id").alias("src"), (101 - F.col("id")).alias("dst")), t.spark.range(1, 8).select(F.col("id").alias("src"), (F.col("id") + 10).alias("dst"))).select("k", "i", "j", "a"))
+
+# ---------------------------------------------------------------- vectors
+
+query("scal", "SELECT i, 2.5 * a AS a FROM y")(lambda t: ve.scal(t.y, 2.5))
+query("scal_integer", "SELECT k, i, j, CAST(trunc(a * 0.5::DOUBLE) AS BIGINT) AS a FROM e")(lambda t: ve.scal(t.e, 0.5))
+query("scal_complex", "SELECT i, 2 * re - 3 * im AS re, 2 * im + 3 * re AS im FROM c")(lambda t: parts(ve.scal(t.c, 2 + 3j)))
+query("axpy", "SELECT y.i, 2 * o_custkey + y.a AS a FROM y JOIN orders ON y.i = o_orderkey")(lambda t: ve.axpy(ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double")), t.y, 2.0))
+query("axpy_complex", "SELECT c.i, 1 * c.re - 2 * c.im + c.re AS re, c.im + 2 * c.re + c.im AS im FROM c")(lambda t: parts(ve.axpy(t.c, t.c, 1 + 2j)))
+query("axpy_matrix", "SELECT i, j, 3 * sum(a) AS a FROM l GROUP BY i, j")(lambda t: ve.axpy(m := en.assemble(t.l), m, 2.0))
+query("aypx", "SELECT y.i, 3 * y.a + o_custkey AS a FROM y JOIN orders ON y.i = o_orderkey")(lambda t: ve.aypx(ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double")), t.y, 3.0))
+query("add_patterns", "SELECT i, sum(a) AS a FROM (SELECT i, 2 * a AS a FROM p UNION ALL SELECT i, a FROM y WHERE i % 3 = 0) GROUP BY i")(lambda t: ve.added(t.p, t.y.where(F.col("i") % 3 == 0), 2.0))
+query("copy", "SELECT i, CAST(o_custkey AS DOUBLE) AS a FROM y JOIN orders ON i = o_orderkey")(lambda t: ve.copy(ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double")), t.y))
+query("swap", "SELECT 'x' AS name, i, a FROM y UNION ALL SELECT 'y', i, a FROM p")(lambda t: (s := ve.swap(t.p, t.y))[0].select(F.lit("x").alias("name"), "i", "a").unionByName(s[1].select(F.lit("y").alias("name"), "i", "a")))
+query("dot", "SELECT sum(y.a * o_custkey) AS dot FROM y JOIN orders ON y.i = o_orderkey")(lambda t: ve.dot(t.y, ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double"))))
+query("dot_frobenius", "SELECT sum(q.a * q.a) AS dot FROM (SELECT i, j, sum(a) AS a FROM l GROUP BY i, j) AS q")(lambda t: ve.dot(m := en.assemble(t.l), m))
+query("dotu", "SELECT sum(re * re - im * im) AS re, sum(2 * re * im) AS im FROM c")(lambda t: ve.dotu(t.c, t.c))
+query("dotc", "SELECT sum(c.re * d.re + c.im * d.im) AS re, sum(c.re * d.im - c.im * d.re) AS im FROM c JOIN (SELECT o_orderkey AS i, CAST(o_orderkey % 3 AS DOUBLE) AS re, 1.0::DOUBLE AS im FROM orders) AS d USING (i)")(lambda t: ve.dotc(t.c, t.read("orders").select(F.col("o_orderkey").alias("i"), cplx.cx((F.col("o_orderkey") % 3).cast("double"), 1.0).alias("a"))))
+query("nrm2", "SELECT sqrt(sum(a * a)) AS nrm2 FROM y")(lambda t: ve.nrm2(t.y))
+query("nrm2_complex", "SELECT sqrt(sum(re * re + im * im)) AS nrm2 FROM c")(lambda t: ve.nrm2(t.c))
+query("asum", "SELECT sum(abs(a - 100000)) AS asum FROM y")(lambda t: ve.asum(t.y.withColumn("a", F.col("a") - 100000)))
+query("asum_complex", "SELECT sum(abs(re) + abs(im)) AS asum FROM c")(lambda t: ve.asum(t.c))
+query("iamax", "SELECT i AS iamax FROM y ORDER BY abs(a) DESC, i LIMIT 1")(lambda t: ve.iamax(t.y))
+query("iamax_complex", "SELECT i AS iamax FROM c ORDER BY abs(re) + abs(im) DESC, i LIMIT 1")(lambda t: ve.iamax(t.c))
+query("usdot", "SELECT sum(p.a * y.a) AS dot FROM p JOIN y USING (i)")(lambda t: ve.usdot(t.p, t.y))
+query("usdotc", "SELECT sum(p.a * c.re) AS re, sum(p.a * c.im) AS im FROM p JOIN c USING (i)")(lambda t: ve.usdotc(t.p.withColumn("a", cplx.cx(F.col("a"), 0.0)), t.c))
+query("usaxpy", "SELECT y.i, y.a + 2 * coalesce(p.a, 0) AS a FROM y LEFT JOIN p USING (i)")(lambda t: ve.usaxpy(t.p, t.y, 2.0))
+query("usga", "SELECT p.i, y.a FROM p JOIN y USING (i)")(lambda t: ve.usga(t.p, t.y))
+query("usgz", "SELECT y.i, CASE WHEN p.i IS NULL THEN y.a ELSE 0 END AS a FROM y LEFT JOIN p USING (i)")(lambda t: ve.usgz(t.p, t.y)[1])
+query("ussc", "SELECT y.i, coalesce(p.a, y.a) AS a FROM y LEFT JOIN p USING (i)")(lambda t: ve.ussc(t.p, t.y))
+query("usscga", "SELECT o_orderkey AS i, coalesce(p.a, 0) AS a FROM orders LEFT JOIN p ON p.i = o_orderkey WHERE o_orderkey % 2 = 0")(lambda t: ve.usscga(t.p, t.y.where(F.col("i") % 2 == 0)))
+query("constant_vector", "SELECT unnest(range(0, 1000)) AS i, 1.0::DOUBLE AS a")(lambda t: ve.constant(t.spark, 1000, 1.0))
+query("get_values", "SELECT string_agg(r_regionkey * 10, ',' ORDER BY r_regionkey) AS values FROM region")(lambda t: ve.get_values(ve.vector(t.read("region"), "r_regionkey", (F.col("r_regionkey") * 10).cast("int"))).select(F.array_join("values", ",").alias("values")))
+
+# ---------------------------------------------------------------- partitions and splits
+
+query("partition_block", "SELECT o_orderkey AS idx, CAST(o_orderkey // CAST(ceil((SELECT count(*) FROM orders) / 7) AS BIGINT) AS INTEGER) AS part FROM orders")(lambda t: t.read("orders").select(F.col("o_orderkey").alias("idx"), pt.part_of(F.col("o_orderkey"), "block", t.n_orders, 7).alias("part")))
+query("partition_block_sizes", "SELECT o_orderkey AS idx, CAST(CASE WHEN o_orderkey < 10 THEN 0 WHEN o_orderkey < 600 THEN 1 ELSE 2 END AS INTEGER) AS part FROM orders")(lambda t: t.read("orders").select(F.col("o_orderkey").alias("idx"), pt.part_of(F.col("o_orderkey"), "block", t.n_orders, 3, sizes=[10, 590, t.n_orders - 600]).alias("part")))
+query("partition_cyclic", "SELECT o_orderkey AS idx, CAST(o_orderkey % 7 AS INTEGER) AS part FROM orders")(lambda t: t.read("orders").select(F.col("o_orderkey").alias("idx"), pt.part_of(F.col("o_orderkey"), "cyclic", t.n_orders, 7).alias("part")))
+query("partition_block_cyclic", "SELECT o_orderkey AS idx, CAST(o_orderkey // 16 % 7 AS INTEGER) AS part FROM orders")(lambda t: t.read("orders").select(F.col("o_orderkey").alias("idx"), pt.part_of(F.col("o_orderkey"), "block-cyclic", t.n_orders, 7, block=16).alias("part")))
+query("partition_custom", "SELECT c_custkey AS idx, c_nationkey AS k, n_regionkey AS part FROM customer JOIN nation ON n_nationkey = c_nationkey")(lambda t: pt.custom(t.read("customer").select(F.col("c_custkey").alias("idx"), F.col("c_nationkey").alias("k")), F.col("k"), t.read("nation").select(F.col("n_nationkey").alias("idx"), F.col("n_regionkey").alias("part"))))
+query("partition_nonzeros", "SELECT k, i, j, a, CAST(k // CAST(ceil((SELECT count(*) FROM orders) / 4) AS BIGINT) AS INTEGER) AS part FROM e")(lambda t: pt.partition(t.e, "nonzeros", 100, 7, t.n_orders, nonzeros={"how": "block", "parts": 4}))
+query("partition_rows", "SELECT k, i, j, a, CAST((i - 1) // 25 AS INTEGER) AS part FROM e")(lambda t: pt.partition(t.e, "rows", 100, 7, 0, rows={"how": "block", "parts": 4}))
+query("partition_columns", "SELECT k, i, j, a, CAST((j - 1) % 3 AS INTEGER) AS part FROM e")(lambda t: pt.partition(t.e, "columns", 100, 7, 0, columns={"how": "cyclic", "parts": 3}))
+query("partition_2d", "SELECT k, i, j, a, CAST((i - 1) // 25 * 3 + (j - 1) % 3 AS INTEGER) AS part FROM e")(lambda t: pt.partition(t.e, "2d", 100, 7, 0, rows={"how": "block", "parts": 4}, columns={"how": "cyclic", "parts": 3}))
+query("part_sizes", "SELECT CAST(q.part AS INTEGER) AS part, count(k) AS size FROM (SELECT unnest(range(0, 8)) AS part) AS q LEFT JOIN e ON (j - 1) % 3 * 2 = q.part GROUP BY q.part")(lambda t: pt.sizes(t.e.withColumn("part", ((F.col("j") - 1) % 3 * 2).cast("int")), 8))
+query("split", "SELECT k, i, j, a, (i - 1) // 25 AS file FROM e")(lambda t: [p.withColumn("file", F.lit(n).cast("long")) for n, p in enumerate(pt.split(pt.partition(t.e, "rows", 100, 7, 0, rows={"how": "block", "parts": 4}), 4))] and _union([p.withColumn("file", F.lit(n).cast("long")) for n, p in enumerate(pt.split(pt.partition(t.e, "rows", 100, 7, 0, rows={"how": "block", "parts": 4}), 4))]))
+query("split_vector", "SELECT i, a, i % 3 AS piece FROM y")(lambda t: _union([p.withColumn("piece", F.lit(n).cast("long")) for n, p in enumerate(ve.split(t.y, t.y.select("i", (F.col("i") % 3).alias("part")), 3))]))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+# ---------------------------------------------------------------- permutations, sets, sorts, codes
+
+query("permutation_identity", "SELECT range AS src, range AS dst FROM range(0, 500)")(lambda t: pe.identity(t.spark, 500))
+query("permutation_invert", "SELECT dst AS src, src AS dst FROM r")(lambda t: pe.invert(t.r))
+query("permutation_compose", "SELECT a.src, b.dst FROM r AS a JOIN r AS b ON a.dst = b.src")(lambda t: pe.compose(t.r, t.r))
+query("permutation_apply", "SELECT dst AS i, a FROM y JOIN r ON i = src")(lambda t: pe.apply(t.r, t.y))
+query("permute_scatter", "SELECT k, 101 - i AS i, j, a FROM e")(lambda t: pe.scatter(t.e, t.spark.range(1, 101).select(F.col("id").alias("src"), (101 - F.col("id")).alias("dst"))))
+query("permute_gather", "SELECT k, (i + 97) % 100 + 1 AS i, j, a FROM e")(lambda t: pe.gather(t.e, t.spark.range(1, 101).select(F.col("id").alias("src"), ((F.col("id") + 1) % 100 + 1).alias("dst"))))
+query("permutation_by_parts", "SELECT o_orderkey + 1 AS src, row_number() OVER (ORDER BY o_orderkey % 7, o_orderkey) AS dst FROM orders")(lambda t: pe.by_parts(t.read("orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % 7).alias("part"))))
+
+A, B = "(SELECT value FROM v WHERE f = 'A' AND value % 3 <> 0)", "(SELECT value FROM v WHERE f = 'R' AND value % 3 <> 1)"
+NUMBERED = "SELECT row_number() OVER (ORDER BY value) - 1 AS k, value FROM"
+query("set_merge", f"{NUMBERED} ({A} UNION ALL {B})")(lambda t: integers.merge(t.v("A"), t.v("R")))
+query("set_compact", f"{NUMBERED} (SELECT DISTINCT value FROM {A})")(lambda t: integers.compact(t.v("A")))
+query("set_union", f"{NUMBERED} ({A} UNION {B})")(lambda t: integers.union(t.v("A"), t.v("R")))
+query("set_intersection", f"{NUMBERED} ({A} INTERSECT {B})")(lambda t: integers.intersection(t.v("A"), t.v("R")))
+query("set_difference", f"{NUMBERED} ({A} EXCEPT {B})")(lambda t: integers.difference(t.v("A"), t.v("R")))
+query("set_destinations", f"SELECT a.value, coalesce(q.k, -1) AS dst FROM {A} AS a LEFT JOIN ({NUMBERED} ({A} INTERSECT {B})) AS q USING (value)")(lambda t: integers.destinations(t.v("A"), integers.intersection(t.v("A"), t.v("R"))))
+query("sort_integers", "SELECT o_orderkey AS k, o_custkey AS a, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS dst FROM orders")(lambda t: integers.sort(t.read("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a")), ["a"]))
+query("sort_pairs", "SELECT k, i, j, row_number() OVER (ORDER BY i, j, k) - 1 AS dst FROM e")(lambda t: integers.sort(t.e.select("k", "i", "j"), ["i", "j"]))
+query("sort_unsigned", "SELECT o_orderkey AS k, o_custkey - 500 AS a, row_number() OVER (ORDER BY o_custkey < 500, o_custkey, o_orderkey) - 1 AS dst FROM orders")(lambda t: integers.sort_unsigned(t.read("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") - 500).alias("a")), ["a"]))
+query("morton_encode", f"SELECT k, {MORTON} AS code FROM (SELECT o_orderkey AS k, o_orderkey * 7919 % 1000003 + 1 AS i, o_custkey * 104729 % 1000003 + 1 AS j FROM orders)")(lambda t: t.read("orders").select(F.col("o_orderkey").alias("k"), morton.encode32(F.col("o_orderkey") * 7919 % 1000003, F.col("o_custkey") * 104729 % 1000003).alias("code")))
+query("morton_decode", "SELECT o_orderkey AS k, o_orderkey * 7919 % 1000003 AS i, o_custkey * 104729 % 1000003 AS j FROM orders")(lambda t: t.read("orders").select("o_orderkey", morton.encode32(F.col("o_orderkey") * 7919 % 1000003, F.col("o_custkey") * 104729 % 1000003).alias("m")).select(F.col("o_orderkey").alias("k"), morton.decode32(F.col("m"))[0].alias("i"), morton.decode32(F.col("m"))[1].alias("j")))
+query("morton_64", "SELECT o_orderkey AS k, o_orderkey * 7919000000 AS i, o_custkey * 10472900000 AS j FROM orders")(
+    lambda t: (m := t.read("orders").select(F.col("o_orderkey").alias("k"), *(c.alias(n) for c, n in zip(morton.encode64(F.col("o_orderkey") * 7919000000, F.col("o_custkey") * 10472900000), ("h", "l"))))).select("k", *(c.alias(n) for c, n in zip(morton.decode64(F.col("h"), F.col("l")), ("i", "j"))))
+)
+
+# ---------------------------------------------------------------- graphs, solver, generators, pictures, files, streams
+
+EDGES = "g AS (SELECT DISTINCT i AS src, j AS dst FROM s WHERE i <> j UNION SELECT DISTINCT j, i FROM s WHERE i <> j)"
+query("graph_adjacency", f"WITH {VIEWS.strip()}, {EDGES} SELECT src, dst FROM g")(lambda t: graphs.adjacency(t.s, 100, 100).select("src", "dst"))
+query("graph_degrees", f"WITH {VIEWS.strip()}, {EDGES} SELECT q.v, count(src) AS degree FROM (SELECT unnest(range(1, 101)) AS v) AS q LEFT JOIN g ON src = q.v GROUP BY q.v")(lambda t: graphs.degrees(graphs.adjacency(t.s, 100, 100), 100))
+query("graph_levels", "WITH RECURSIVE g AS (SELECT DISTINCT o_custkey % 100 + 1 AS src, o_custkey % 97 + 101 AS dst FROM orders WHERE o_custkey < 120), h AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), q AS (SELECT 1::BIGINT AS v, 0 AS level UNION SELECT h.dst, q.level + 1 FROM q JOIN h ON q.v = h.src WHERE q.level < 60) SELECT v, min(level) AS level FROM q GROUP BY v")(
+    lambda t: graphs.levels(graphs.adjacency(t.read("orders").where("o_custkey < 120").select((F.col("o_custkey") % 100 + 1).alias("i"), (F.col("o_custkey") % 97 + 1).alias("j")), 100, 97), 1)
+)
+query("reorder_rcm")(lambda t: graphs.reorder(t.s, 100, 100, "rcm")[0])
+query("reorder_nd")(lambda t: graphs.reorder(t.s, 100, 100, "nd")[0])
+query("reorder_parts")(lambda t: graphs.reorder(t.s, 100, 100, "metis", parts=4)[0])
+query("partition_graph")(lambda t: graphs.partition(t.s, 100, 100, 4))
+query("edge_cut", f"WITH {VIEWS.strip()}, {EDGES} SELECT count(*) FILTER (src % 4 <> dst % 4) AS edge_cut FROM g WHERE src < dst")(lambda t: graphs.edge_cut(t.s, 100, 100, t.spark.range(1, 101).select(F.col("id").alias("v"), (F.col("id") % 4).alias("part"))))
+query("bandwidth", "SELECT max(abs(i - j)) AS bandwidth FROM s")(lambda t: graphs.bandwidth(t.s))
+
+
+@query("conjugate_gradients", "SELECT n_nationkey + 1 AS i, CAST(n_regionkey AS DOUBLE) AS a FROM nation")
+def _cg(t: Tables) -> DataFrame:
+    """A = tridiagonal (-1, 4, -1) over nations, b = A x for a known x; the solution is rounded back to x."""
+    x = ve.vector(t.read("nation"), F.col("n_nationkey") + 1, F.col("n_regionkey").cast("double"))
+    n = x.count()
+    a = t.spark.range(1, n + 1).select(F.explode(F.array(*(F.struct(F.col("id").alias("i"), (F.col("id") + d).alias("j"), F.lit(v).alias("a")) for d, v in ((0, 4.0), (-1, -1.0), (1, -1.0))))).alias("e")).select("e.*").where(F.col("j").between(1, n))
+    b = products.gemv(a, x)
+    return solver.cg(a, b, rtol=1e-12).x.withColumn("a", F.round("a", 6) + 0.0)
+
+
+query("random_uniform")(lambda t: generate.uniform_matrix(t.spark, 1000, 500, 20_000, "integer", low=1, high=9, seed=7))
+query("random_block_diagonal", "SELECT range AS k, range // 12 * 4 + range % 12 // 3 + 1 AS i, range // 12 * 3 + range % 3 + 1 AS j FROM range(0, 1200)")(lambda t: generate.block_diagonal(t.spark, 100, 4, 3, field="pattern"))
+query("spy_pixels", "SELECT DISTINCT CAST(floor((j - 0.5) / (SELECT count(*) FROM part) * 40) AS INTEGER) AS x, CAST(floor((i - 0.5) / (SELECT count(*) FROM orders) * 40) AS INTEGER) AS y FROM l WHERE i % 50 = 1")(
+    lambda t: t.l.where(F.col("i") % 50 == 1).select(F.floor((F.col("j") - 0.5) / t.read("part").count() * 40).cast("int").alias("x"), F.floor((F.col("i") - 0.5) / t.n_orders * 40).cast("int").alias("y")).distinct()
+)
+
+
+@query("spy_picture", "SELECT DISTINCT CAST(floor((j - 0.5) / 7 * 7) AS INTEGER) AS x, CAST(floor((i - 0.5) / 100 * 40) AS INTEGER) AS y FROM e")
+def _spy(t: Tables) -> DataFrame:
+    return spy.pixels(t.e, 100, 7, 40, 40)
+
+
+def round_trip(t: Tables, m: Meta, data: DataFrame, **options) -> tuple[Meta, DataFrame]:
+    path = f"{storage.shared_dir(t.spark).rstrip('/')}/coordtab/{t.spark.sparkContext.applicationId}/mtx-{uuid.uuid4().hex}"
+    mtx.write(m, data, path, **options)
+    return mtx.read(t.spark, path)
+
+
+query("mtx_matrix", "SELECT k, i, j, a FROM e")(lambda t: round_trip(t, Meta(100, 7, t.n_orders, field=Field.INTEGER, comments=("% orders\n",)), t.e)[1])
+query("mtx_matrix_real", "SELECT k, i, j, a FROM s")(lambda t: round_trip(t, Meta(100, 100, t.n_orders), t.s, fmt="%.17g", compression="gzip")[1])
+query("mtx_vector", "SELECT i AS k, a FROM y")(lambda t: round_trip(t, Meta(t.n_orders, kind=Kind.VECTOR, layout=Layout.ARRAY), t.y.select(F.col("i").alias("k"), "a"), fmt="%.1f", single=False)[1])
+
+
+@query("mtx_info", "SELECT 'matrix' AS object, 'coordinate' AS format, 'integer' AS field, 'general' AS symmetry, 100::BIGINT AS rows, 7::BIGINT AS columns, count(*) AS nonzeros FROM orders")
+def _info(t: Tables) -> DataFrame:
+    path = f"{storage.shared_dir(t.spark).rstrip('/')}/coordtab/{t.spark.sparkContext.applicationId}/mtx-info"
+    mtx.write(Meta(100, 7, t.n_orders, field=Field.INTEGER), t.e, path)
+    return mtx.info(t.spark, path).drop("comments")
+
+
+@query("stream_assemble", "SELECT user_id AS i, CAST(length(event_type) AS BIGINT) AS j, count(*) AS a FROM events GROUP BY ALL")
+def _stream(t: Tables) -> DataFrame:
+    """The events as a stream of entries, assembled into a table until all of them are read."""
+    events = t.read("events")
+    stream = t.spark.readStream.schema(events.schema).parquet(f"{t.dir}/events.parquet*")
+    placed = stream.select(F.col("user_id").alias("i"), F.length("event_type").cast("long").alias("j"), F.lit(1).cast("long").alias("a"))
+    name = f"assembled_{abs(hash(t.dir)) % 10**8}"
+    writer = streaming.assembled(placed).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return t.spark.table(name)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
