@@ -18,6 +18,13 @@ _space[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def slices(batches, rows: int = 500):
+    """Smaller Arrow batches, for work that takes several times the room of the rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64; kept for reuse."""
     have = _powers.get(base)

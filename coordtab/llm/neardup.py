@@ -64,7 +64,7 @@ SIGNED_DDL = "_id long, _n long, _set binary, _bands array<long>, _sig binary"
 
 def sign(n: int):
     def work(batches):
-        for batch in batches:
+        for batch in bytestream.slices(batches):
             ids = batch.column(0)
             rows = []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
@@ -95,7 +95,7 @@ def agreeing(batches):
 
 def packed(n: int):
     def work(batches):
-        for batch in batches:
+        for batch in bytestream.slices(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["_id", "_set"])
 
@@ -106,7 +106,7 @@ def confirm(num: int, den: int):
     """Keeps the pairs with den * intersection >= num * union. Columns: _a, _b, _set_a, _set_b."""
 
     def work(batches):
-        for batch in batches:
+        for batch in bytestream.slices(batches, 2_000):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -226,7 +226,7 @@ def listed(n: int):
     """A row for each shingle of a text, with their number."""
 
     def work(batches):
-        for batch in batches:
+        for batch in bytestream.slices(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), n)
             sizes = np.array([len(s) for s in sets], np.int32)
             if not sizes.sum():
