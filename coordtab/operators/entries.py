@@ -154,11 +154,11 @@ def prefix_sum(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
 def ranked(df: DataFrame, keys: list[Column], name: str = "k") -> DataFrame:
     """Adds the position (from 0) in the order of the keys, which must be total for a fixed result. A range partitioning
     sorts; the sizes of its partitions, a number each, give the offsets."""
-    placed = storage.written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "ranked")
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + local).drop("_p", "_m", "_before")  # a row a partition
+    placed = storage.written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_ranked_p"), F.monotonically_increasing_id().alias("_ranked_m")), "ranked")
+    sizes = placed.groupBy("_ranked_p").agg(F.count(F.lit(1)).alias("_ranked_n"))
+    offsets = sizes.select("_ranked_p", F.coalesce(F.sum("_ranked_n").over(Window.orderBy("_ranked_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ranked_before"))
+    local = F.col("_ranked_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), "_ranked_p").withColumn(name, F.col("_ranked_before") + local).drop("_ranked_p", "_ranked_m", "_ranked_before")  # a row a partition
 
 
 def sort_keys(order: Sorting | str) -> list[Column]:

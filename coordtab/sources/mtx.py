@@ -61,20 +61,21 @@ def types(m: Meta) -> tuple[str, str]:
     return ("int" if single else "bigint"), ("float" if single else "double")
 
 
-def fields_of(m: Meta, value: Column) -> list[Column]:
-    """i, j, a of a data line; a line of another form, or an index out of bounds, stops the job."""
+def fields_of(m: Meta, k: Column, value: Column) -> list[Column]:
+    """i, j, a of data line k; a line of another form, or an index out of bounds, stops the job. As all of it depends on
+    k, the optimizer can't parse lines before it is known which of them are data."""
     whole, decimal = types(m)
     n_index = {Kind.MATRIX: 2, Kind.VECTOR: 1}[m.kind] if m.layout is Layout.COORDINATE else 0
     n_value = {Field.PATTERN: 0, Field.COMPLEX: 2}.get(m.field, 1)
     number = WHOLE if m.field is Field.INTEGER else DECIMAL
     pattern = " ".join([r"\d+"] * n_index + [f"(?:{number})"] * n_value)
     bad = F.raise_error(F.concat(F.lit("not a data line: "), value)).cast("string")
-    parts = F.split(F.when(value.rlike(f"(?i)^{pattern}$"), value).otherwise(bad), " ")
+    parts = F.split(F.when(k < 0, F.lit(None)).when(value.rlike(f"(?i)^{pattern}$"), value).otherwise(bad), " ")
     out = []
     for k, (name, most) in enumerate([("i", m.nrows), ("j", m.ncols)][:n_index]):
         x = parts[k].cast("long")
         wrong = F.raise_error(F.concat(F.lit("index out of bounds: "), value)).cast("long")
-        out.append(F.when(x.between(1, most), x).otherwise(wrong).alias(name))
+        out.append(F.when((k < 0) | x.between(1, most), x).otherwise(wrong).alias(name))
     if m.field is Field.COMPLEX:
         out.append(cplx.cx(parts[n_index].cast(decimal), parts[n_index + 1].cast(decimal)).alias("a"))
     elif m.field is not Field.PATTERN:
@@ -86,7 +87,7 @@ def read(spark: SparkSession, path: str, precision: Precision | str = "double")
     """Meta and data: (k, i, j, a), (k, i, a) for coordinate vectors, (k, a) for arrays."""
     m, before = meta(spark, path, precision)
     lines = numbered(spark, path).where((F.col("line") >= before) & (F.col("value") != ""))
-    data = lines.select((F.col("line") - before).alias("k"), *fields_of(m, F.col("value")))
+    data = lines.select((F.col("line") - before).alias("k"), *fields_of(m, F.col("line") - before, F.col("value")))
     return m, data
 
 
