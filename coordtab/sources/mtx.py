@@ -72,10 +72,10 @@ def fields_of(m: Meta, k: Column, value: Column) -> list[Column]:
     bad = F.raise_error(F.concat(F.lit("not a data line: "), value)).cast("string")
     parts = F.split(F.when(k < 0, F.lit(None)).when(value.rlike(f"(?i)^{pattern}$"), value).otherwise(bad), " ")
     out = []
-    for k, (name, most) in enumerate([("i", m.nrows), ("j", m.ncols)][:n_index]):
-        x = parts[k].cast("long")
+    for at, (name, most) in enumerate([("i", m.nrows), ("j", m.ncols)][:n_index]):
+        x = parts[at].cast("long")
         wrong = F.raise_error(F.concat(F.lit("index out of bounds: "), value)).cast("long")
-        out.append(F.when((k < 0) | x.between(1, most), x).otherwise(wrong).alias(name))
+        out.append(F.when(x.between(1, most), x).when(k < 0, F.lit(None)).otherwise(wrong).alias(name))
     if m.field is Field.COMPLEX:
         out.append(cplx.cx(parts[n_index].cast(decimal), parts[n_index + 1].cast(decimal)).alias("a"))
     elif m.field is not Field.PATTERN:
