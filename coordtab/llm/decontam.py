@@ -57,6 +57,8 @@ def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: floa
     with fewer than n words is one shingle of all its words, sought among the runs of as many words. Rows that share an
     id are read as one document (or item): their sets are united. Items with equal sets are each reported. Empty tables
     give no rows. Other columns are ignored."""
+    docs = docs.select(F.col(ident).alias("_doc"), F.col(text).alias("_t"))
+    ident, text = "_doc", "_t"
     sets = store.written(item_shingles(items, item_ident, item_text, n, threshold), "items")
     lengths = [(r["_n"], r["c"], r["s"]) for r in sets.groupBy("_n").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("_sketch").cast("long")).alias("s")).collect()]  # n rows at most
     if not lengths:
@@ -83,6 +85,7 @@ def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: floa
     )
 
 
+@store.keeps_columns
 def clean(docs: DataFrame, items: DataFrame, ident: str = "doc_id", **options) -> DataFrame:
     """The documents that contain no item, with all their columns. Documents without id stay."""
     leaks = store.written(contained(docs, items, ident=ident, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")

@@ -236,6 +236,7 @@ def unique_runs(length: int):
     return work
 
 
+@store.keeps_columns
 def extracted(pages: DataFrame, length: int = LENGTH, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """pages with _text, the main text: character references decoded, white space in a block made one space, blocks in
     page order joined by one space; nothing else is dropped or cut off.

@@ -226,6 +226,7 @@ def fitted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
     return Model(languages, vocabulary, np.stack(columns, axis=1))
 
 
+@store.keeps_columns
 def predicted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", path: str = VOCABULARY, most: int = BYTES) -> DataFrame:
     """docs with _lang (a label that was learned; `und` if the text is null, has no letter, or nothing was learned) and
     _score (posterior probability, 0 for `und`).
@@ -245,6 +246,7 @@ def predicted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
     return docs.withColumn("_guess", guess(F.col(text))).withColumns({"_lang": F.col("_guess.lang"), "_score": F.col("_guess.score")}).drop("_guess")
 
 
+@store.keeps_columns
 def known_language(docs: DataFrame, **options) -> DataFrame:
     """The documents whose language is found, with their own columns."""
     return predicted(docs, **options).where(F.col("_lang") != "und").select(*docs.columns)

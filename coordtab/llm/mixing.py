@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import store, words
 
 #: Means above this are drawn as a sum of equal parts, so that exp(-mean) stays far from underflow.
 PART = 32.0
@@ -60,6 +60,7 @@ def uniform(*of: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(x.cast("string"), F.lit("null")) for x in of))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
+@store.keeps_columns
 def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: str = "mix-1", ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """A row for each copy: the columns of docs, then _rate, _copies, _copy (from 1) and _order (the shuffle key).
 
@@ -78,6 +79,7 @@ def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None,
     return mixed.repartition("_order").sortWithinPartitions("_order").drop("_key", "_u", "_parts", "_cdf")
 
 
+@store.keeps_columns
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mixture with the columns of docs only."""
     return replicated(docs, **options).select(*docs.columns)

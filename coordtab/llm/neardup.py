@@ -259,6 +259,7 @@ def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, ident: s
     return placed.select("_id", "_n").join(more, "_id", "left").select("_id", "_n", F.coalesce("_component", "_id").alias("_component"))
 
 
+@store.keeps_columns
 def representatives(docs: DataFrame, ident: str = "doc_id", **options) -> DataFrame:
     """docs without the documents of a group other than its smallest id. Rows without id stay."""
     gone = grouped(docs, ident=ident, **options).where(F.col("_component") != F.col("_id")).select(F.col("_id").alias("_gone"))

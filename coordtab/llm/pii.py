@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 KEY = "change-me"
 ROUNDS = 8
 DIGITS = "0123456789"
@@ -185,6 +187,7 @@ def exchanged(value: Column, key: Column, forward: bool) -> Column:
     return out
 
 
+@store.keeps_columns
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", forward: bool = True) -> DataFrame:
     """docs with its text column pseudonymised (forward=False takes pseudonyms back), and _found, an array of
     struct<kind, value> of all that was looked at, in order of the text; kind is null where a check failed and nothing was

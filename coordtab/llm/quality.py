@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import store, words
 
 BUCKETS = 16_384
 #: The target is counted over so many good documents at most, those with the smallest hashes of their ids. Their ids are
@@ -62,6 +62,7 @@ def covered(ordered: Column) -> Column:
     return F.coalesce(total["n"], F.lit(0).cast("long"))
 
 
+@store.keeps_columns
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED, ident: str = "doc_id", text: str = "text", label_ident: str = "doc_id") -> DataFrame:
     """All columns of docs, then _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _llr
     and _kept.

@@ -188,6 +188,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_h").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
 
 
+@store.keeps_columns
 def assign_shards(docs: DataFrame, n_shards: int = 40, text: str = "text", shard: str = "shard") -> DataFrame:
     """docs with an int column `shard` (replaced if docs has one). Texts aren't shuffled: their hash decides.
 

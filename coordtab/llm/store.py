@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 import zipfile
@@ -78,3 +79,22 @@ def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substr("_map", (F.floor(F.expr("bitmap_bit_position(_x)") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     set_ = F.expr("shiftright(_byte, cast(bitmap_bit_position(_x) % 8 as int)) & 1") == 1
     return at.join(F.broadcast(maps), "_m").withColumn("_byte", byte).where(set_).select(*df.columns)
+
+
+def keeps_columns(operator):
+    """For operators that add columns (named with a leading underscore) to a table: columns of the table that start with an
+    underscore get other names meanwhile, so that they clash with nothing. One that has the name of an added column
+    gives way to it."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options):
+        named = {x for x in (*args, *options.values()) if isinstance(x, str)}
+        other = {c: f"kept-{k}-{uuid.uuid4().hex}" for k, c in enumerate(docs.columns) if c.startswith("_") and c not in named}
+        if not other:
+            return operator(docs, *args, **options)
+        out = operator(docs.withColumnsRenamed(other), *args, **options)
+        added = {c.lower() for c in out.columns}
+        out = out.drop(*(v for c, v in other.items() if c.lower() in added))
+        return out.withColumnsRenamed({v: c for c, v in other.items() if c.lower() not in added})
+
+    return run

@@ -326,6 +326,7 @@ def spans_of(rows: DataFrame, width: int, key: int, batches: int, hot: int) -> D
     return spans
 
 
+@store.keeps_columns
 def deduplicated(docs: DataFrame, width: int = WIDTH, key: int = KEY, batches: int = BATCHES, hot: int = HOT, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with _n_bytes, _n_removed, _n_spans (maximal removed runs), _sha (SHA-256 of what is kept) and _kept (those
     bytes; null where nothing is removed).
