@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that are hashed at once; a longer text is cut at white space.
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C13
 _MASK = (1 << 64) - 1
 _table = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ SMOOTHING = 0.02
 PART = 24
 LONGEST = 16
 #: Distinct words that a worker remembers.
-CACHE = 300_000
-LOT = 100_000
+CACHE = 150_000
+LOT = 50_000
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -238,12 +238,15 @@ def predicted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
     store.ship(spark)
     shared = spark.sparkContext.broadcast(fitted(docs, ident, text, lang, path, most))  # vocabulary x languages
 
-    @F.pandas_udf("lang string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang": names, "score": scores})
+    def guess(texts: pa.Array) -> pa.Array:
+        names, scores = [], []
+        for k in range(0, len(texts), 500):
+            some = shared.value.predict(texts.slice(k, 500).to_pylist())
+            names += some[0]
+            scores += some[1]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return docs.withColumn("_guess", guess(F.col(text))).withColumns({"_lang": F.col("_guess.lang"), "_score": F.col("_guess.score")}).drop("_guess")
+    return docs.withColumn("_guess", F.arrow_udf(guess, "lang string, score double")(F.col(text))).withColumns({"_lang": F.col("_guess.lang"), "_score": F.col("_guess.score")}).drop("_guess")
 
 
 @store.keeps_columns
