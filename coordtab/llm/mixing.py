@@ -55,9 +55,15 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, epochs: floa
     return found.withColumn("_rate", rate).withColumn("_parts", parts).select("_key", "_rate", "_parts", steps["c"].alias("_cdf"))
 
 
+def hashed(digits: int, *of: Column) -> Column:
+    """A long from so many hexadecimal digits of an MD5 hash."""
+    text = F.concat_ws("|", *(F.coalesce(x.cast("string"), F.lit("null")) for x in of))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
 def uniform(*of: Column) -> Column:
-    """In [0, 1), from 52 bits of an MD5 hash."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(x.cast("string"), F.lit("null")) for x in of))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    """In [0, 1), from 52 bits."""
+    return hashed(13, *of).cast("double") / F.lit(2.0**52)
 
 
 @store.keeps_columns
@@ -75,7 +81,7 @@ def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None,
     keyed = docs.withColumn("_key", source_key(source)).join(table, "_key").where(F.col("_rate") > 0)
     counted = keyed.withColumn("_u", draws).withColumn("_copies", drawn).where(F.col("_copies") > 0)
     copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    mixed = copies.withColumn("_order", F.xxhash64(F.lit(seed), F.col(ident), F.col("_copy")))
+    mixed = copies.withColumn("_order", hashed(15, F.lit(f"{seed}/order"), F.col(ident), F.col("_copy")))
     return mixed.repartition("_order").sortWithinPartitions("_order").drop("_key", "_u", "_parts", "_cdf")
 
 

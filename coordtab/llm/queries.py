@@ -52,7 +52,23 @@ FROM common JOIN sizes USING (item_id) WHERE 10 * n_common >= 8 * n_item
 def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean log score of every document under the three-gram counts of all other documents."""
     out = lmscore.scored(table(spark, sf_dir, "documents"))
-    return out.select(F.col("_id").alias("doc_id"), F.col("_words").alias("n_words"), F.col("_logprob").alias("logprob"), F.col("_score").alias("score"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_words").alias("n_words"), F.round("_logprob", 4).alias("logprob"), F.round("_score", 6).alias("score"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, p, len(w) AS m, w[p] AS a, CASE WHEN p > 1 THEN w[p - 1] END AS b, CASE WHEN p > 2 THEN w[p - 2] END AS c FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+one AS (SELECT doc_id, a, sum(n) OVER (PARTITION BY a) - n AS r FROM (SELECT doc_id, a, count(*) AS n FROM t GROUP BY ALL)),
+two AS (SELECT doc_id, b, a, sum(n) OVER (PARTITION BY b, a) - n AS r FROM (SELECT doc_id, b, a, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY ALL)),
+three AS (SELECT doc_id, c, b, a, sum(n) OVER (PARTITION BY c, b, a) - n AS r FROM (SELECT doc_id, c, b, a, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY ALL)),
+joined AS (SELECT t.doc_id, CASE WHEN x.r > 0 THEN x.r ELSE 0.5 END / greatest((SELECT count(*) FROM t) - m, 1) AS s1, y.r AS r2, hx.r AS h2, z.r AS r3, hy.r AS h3, t.b, t.c
+           FROM t JOIN one AS x ON x.doc_id = t.doc_id AND x.a = t.a
+           LEFT JOIN two AS y ON y.doc_id = t.doc_id AND y.b = t.b AND y.a = t.a LEFT JOIN one AS hx ON hx.doc_id = t.doc_id AND hx.a = t.b
+           LEFT JOIN three AS z ON z.doc_id = t.doc_id AND z.c = t.c AND z.b = t.b AND z.a = t.a LEFT JOIN two AS hy ON hy.doc_id = t.doc_id AND hy.b = t.c AND hy.a = t.b),
+backed AS (SELECT doc_id, c, r3, h3, CASE WHEN b IS NULL THEN s1 WHEN r2 > 0 THEN r2 / h2 ELSE 0.4 * s1 END AS s2 FROM joined),
+sums AS (SELECT doc_id, sum(ln(CASE WHEN c IS NULL THEN s2 WHEN r3 > 0 THEN r3 / h3 ELSE 0.4 * s2 END)) AS l FROM backed GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(l, 0), 4) AS logprob, round(l / len(w), 6) AS score FROM d LEFT JOIN sums USING (doc_id)
+"""
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +89,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
+OP8_SQL = """
+WITH s AS (SELECT source, sum(strlen(coalesce(text, ''))) AS n FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT 1.0::DOUBLE * sum(n) / (count(*) FILTER (n > 0))::DOUBLE FROM s) * 1.0::DOUBLE / n AS rate FROM s WHERE n > 0),
+p AS (SELECT source, rate, greatest(CAST(ceil(rate / 32.0) AS INTEGER), 1) AS parts FROM r),
+c AS (SELECT source, k, sum(exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS f FROM p, unnest(range(0, 120)) AS t(k)),
+u AS (SELECT doc_id, source, rate, q, CAST('0x' || substr(md5('mix-1|' || doc_id || '|' || q), 1, 13) AS BIGINT) / pow(2.0, 52) AS u FROM documents JOIN p USING (source), unnest(range(1, parts + 1)) AS t(q)),
+n AS (SELECT doc_id, source, rate, sum((SELECT count(*) FROM c WHERE c.source = u.source AND c.f <= u.u)) AS copies FROM u GROUP BY doc_id, source, rate)
+SELECT doc_id, source, rate, CAST(copies AS INTEGER) AS copies, CAST(copy AS INTEGER) AS copy, CAST('0x' || substr(md5('mix-1/order|' || doc_id || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
+FROM n, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS t(copy)
+"""
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms, and how many of each kind were replaced."""
     out = pii.pseudonymised(table(spark, sf_dir, "documents"))
@@ -104,4 +132,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_lmscore": OP5_SQL, "op8_mixing": OP8_SQL}
