@@ -55,9 +55,14 @@ def gemv(a: DataFrame, x: DataFrame, y: DataFrame | None = None, alpha=1.0, beta
     return combined(product_sum(joined, ["i"], "_a", "_x", ve.is_complex(x)), y, alpha, beta)
 
 
-def gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha=1.0, beta=0.0, trans_a: Transposition | str = "notrans", trans_b: Transposition | str = "notrans", symmetry: Symmetry | str = "general") -> DataFrame:
-    """alpha op(A) op(B) + beta C as entries; A may be of a symmetric kind. For sparse operands."""
+def gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha=1.0, beta=0.0, trans_a: Transposition | str = "notrans", trans_b: Transposition | str = "notrans", symmetry: Symmetry | str = "general", assembled: bool = False) -> DataFrame:
+    """alpha op(A) op(B) + beta C as entries; A may be of a symmetric kind. For sparse operands.
+
+    Entries of one place are added up before the join, as n of them on both sides would meet n**2 times; assembled=True
+    says that there are none and saves these two shuffles."""
     left, right = oriented(a, trans_a, symmetry), oriented(b, trans_b, "general")
+    if not assembled:
+        left, right = en.assemble(left), en.assemble(right)
     if ve.is_complex(left) != ve.is_complex(right):
         raise IncompatibleError("A and B differ in field")
     joined = left.select("i", F.col("j").alias("_in"), F.col("a").alias("_a")).join(right.select(F.col("i").alias("_in"), "j", F.col("a").alias("_b")), "_in")
