@@ -35,10 +35,11 @@ l AS (SELECT l_orderkey + 1 AS i, l_partkey + 1 AS j, l_quantity AS a FROM linei
 x AS (SELECT p_partkey + 1 AS i, CAST(p_size AS DOUBLE) AS a FROM part),
 y AS (SELECT o_orderkey AS i, floor(o_totalprice) AS a FROM orders),
 p AS (SELECT o_orderkey AS i, CAST(o_custkey AS DOUBLE) AS a FROM orders WHERE o_orderpriority = '1-URGENT'),
+q AS (SELECT o_orderkey AS i, floor(o_totalprice) AS a FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'),
 z AS (SELECT l_orderkey + 1 AS i, l_partkey + 1 AS j, l_quantity AS re, CAST(l_linenumber AS DOUBLE) AS im FROM lineitem),
 c AS (SELECT o_orderkey AS i, CAST(o_custkey % 50 AS DOUBLE) AS re, CAST(o_orderkey % 11 AS DOUBLE) - 5 AS im FROM orders),
 r AS (SELECT o_orderkey AS src, (o_orderkey * 7 + 3) % (SELECT count(*) FROM orders) AS dst FROM orders),
-v AS (SELECT l_partkey AS value, l_returnflag AS f FROM lineitem)
+v AS (SELECT l_partkey AS value, l_returnflag AS f FROM lineitem WHERE l_quantity > 45)
 """
 
 
@@ -79,6 +80,10 @@ class Tables:
     def p(self) -> DataFrame:
         return ve.vector(self.read("orders").where(F.col("o_orderpriority") == "1-URGENT"), "o_orderkey", F.col("o_custkey").cast("double"))
 
+    @property
+    def q(self) -> DataFrame:
+        return ve.vector(self.read("orders").where("o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'"), "o_orderkey", F.floor("o_totalprice").cast("double"))
+
     @property
     def z(self) -> DataFrame:
         return self.read("lineitem").select((F.col("l_orderkey") + 1).alias("i"), (F.col("l_partkey") + 1).alias("j"), cplx.cx(F.col("l_quantity"), F.col("l_linenumber").cast("double")).alias("a"))
@@ -92,7 +97,7 @@ class Tables:
         return self.read("orders").select(F.col("o_orderkey").alias("src"), ((F.col("o_orderkey") * 7 + 3) % self.n_orders).alias("dst"))
 
     def v(self, flag: str) -> DataFrame:
-        return integers.values(self.read("lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_partkey") % 3 != {"A": 0, "R": 1, "N": 2}[flag])), "l_partkey")
+        return integers.values(self.read("lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_quantity") > 45)), "l_partkey")
 
 
 def parts(df: DataFrame) -> DataFrame:
@@ -213,7 +218,7 @@ query("axpy", "SELECT y.i, 2 * o_custkey + y.a AS a FROM y JOIN orders ON y.i =
 query("axpy_complex", "SELECT c.i, 1 * c.re - 2 * c.im + c.re AS re, c.im + 2 * c.re + c.im AS im FROM c")(lambda t: parts(ve.axpy(t.c, t.c, 1 + 2j)))
 query("axpy_matrix", "SELECT i, j, 3 * sum(a) AS a FROM l GROUP BY i, j")(lambda t: ve.axpy(m := en.assemble(t.l), m, 2.0))
 query("aypx", "SELECT y.i, 3 * y.a + o_custkey AS a FROM y JOIN orders ON y.i = o_orderkey")(lambda t: ve.aypx(ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double")), t.y, 3.0))
-query("add_patterns", "SELECT i, sum(a) AS a FROM (SELECT i, 2 * a AS a FROM p UNION ALL SELECT i, a FROM y WHERE i % 3 = 0) GROUP BY i")(lambda t: ve.added(t.p, t.y.where(F.col("i") % 3 == 0), 2.0))
+query("add_patterns", "SELECT i, sum(a) AS a FROM (SELECT i, 2 * a AS a FROM p UNION ALL SELECT i, a FROM q) GROUP BY i")(lambda t: ve.added(t.p, t.q, 2.0))
 query("copy", "SELECT i, CAST(o_custkey AS DOUBLE) AS a FROM y JOIN orders ON i = o_orderkey")(lambda t: ve.copy(ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double")), t.y))
 query("swap", "SELECT 'x' AS name, i, a FROM y UNION ALL SELECT 'y', i, a FROM p")(lambda t: (s := ve.swap(t.p, t.y))[0].select(F.lit("x").alias("name"), "i", "a").unionByName(s[1].select(F.lit("y").alias("name"), "i", "a")))
 query("dot", "SELECT sum(y.a * o_custkey) AS dot FROM y JOIN orders ON y.i = o_orderkey")(lambda t: ve.dot(t.y, ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double"))))
@@ -232,7 +237,7 @@ query("usaxpy", "SELECT y.i, y.a + 2 * coalesce(p.a, 0) AS a FROM y LEFT JOIN p
 query("usga", "SELECT p.i, y.a FROM p JOIN y USING (i)")(lambda t: ve.usga(t.p, t.y))
 query("usgz", "SELECT y.i, CASE WHEN p.i IS NULL THEN y.a ELSE 0 END AS a FROM y LEFT JOIN p USING (i)")(lambda t: ve.usgz(t.p, t.y)[1])
 query("ussc", "SELECT y.i, coalesce(p.a, y.a) AS a FROM y LEFT JOIN p USING (i)")(lambda t: ve.ussc(t.p, t.y))
-query("usscga", "SELECT o_orderkey AS i, coalesce(p.a, 0) AS a FROM orders LEFT JOIN p ON p.i = o_orderkey WHERE o_orderkey % 2 = 0")(lambda t: ve.usscga(t.p, t.y.where(F.col("i") % 2 == 0)))
+query("usscga", "SELECT q.i, coalesce(p.a, 0) AS a FROM q LEFT JOIN p USING (i)")(lambda t: ve.usscga(t.p, t.q))
 query("constant_vector", "SELECT unnest(range(0, 1000)) AS i, 1.0::DOUBLE AS a")(lambda t: ve.constant(t.spark, 1000, 1.0))
 query("get_values", "SELECT string_agg(r_regionkey * 10, ',' ORDER BY r_regionkey) AS values FROM region")(lambda t: ve.get_values(ve.vector(t.read("region"), "r_regionkey", (F.col("r_regionkey") * 10).cast("int"))).select(F.array_join("values", ",").alias("values")))
 
@@ -248,7 +253,7 @@ query("partition_rows", "SELECT k, i, j, a, CAST((i - 1) // 25 AS INTEGER) AS pa
 query("partition_columns", "SELECT k, i, j, a, CAST((j - 1) % 3 AS INTEGER) AS part FROM e")(lambda t: pt.partition(t.e, "columns", 100, 7, 0, columns={"how": "cyclic", "parts": 3}))
 query("partition_2d", "SELECT k, i, j, a, CAST((i - 1) // 25 * 3 + (j - 1) % 3 AS INTEGER) AS part FROM e")(lambda t: pt.partition(t.e, "2d", 100, 7, 0, rows={"how": "block", "parts": 4}, columns={"how": "cyclic", "parts": 3}))
 query("part_sizes", "SELECT CAST(q.part AS INTEGER) AS part, count(k) AS size FROM (SELECT unnest(range(0, 8)) AS part) AS q LEFT JOIN e ON (j - 1) % 3 * 2 = q.part GROUP BY q.part")(lambda t: pt.sizes(t.e.withColumn("part", ((F.col("j") - 1) % 3 * 2).cast("int")), 8))
-query("split", "SELECT k, i, j, a, (i - 1) // 25 AS file FROM e")(lambda t: [p.withColumn("file", F.lit(n).cast("long")) for n, p in enumerate(pt.split(pt.partition(t.e, "rows", 100, 7, 0, rows={"how": "block", "parts": 4}), 4))] and _union([p.withColumn("file", F.lit(n).cast("long")) for n, p in enumerate(pt.split(pt.partition(t.e, "rows", 100, 7, 0, rows={"how": "block", "parts": 4}), 4))]))
+query("split", "SELECT k, i, j, a, (i - 1) // 25 AS file FROM e")(lambda t: _union([p.withColumn("file", F.lit(n).cast("long")) for n, p in enumerate(pt.split(pt.partition(t.e, "rows", 100, 7, 0, rows={"how": "block", "parts": 4}), 4))]))
 query("split_vector", "SELECT i, a, i % 3 AS piece FROM y")(lambda t: _union([p.withColumn("piece", F.lit(n).cast("long")) for n, p in enumerate(ve.split(t.y, t.y.select("i", (F.col("i") % 3).alias("part")), 3))]))
 
 
@@ -269,7 +274,7 @@ query("permute_scatter", "SELECT k, 101 - i AS i, j, a FROM e")(lambda t: pe.sca
 query("permute_gather", "SELECT k, (i + 97) % 100 + 1 AS i, j, a FROM e")(lambda t: pe.gather(t.e, t.spark.range(1, 101).select(F.col("id").alias("src"), ((F.col("id") + 1) % 100 + 1).alias("dst"))))
 query("permutation_by_parts", "SELECT o_orderkey + 1 AS src, row_number() OVER (ORDER BY o_orderkey % 7, o_orderkey) AS dst FROM orders")(lambda t: pe.by_parts(t.read("orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % 7).alias("part"))))
 
-A, B = "(SELECT value FROM v WHERE f = 'A' AND value % 3 <> 0)", "(SELECT value FROM v WHERE f = 'R' AND value % 3 <> 1)"
+A, B = "(SELECT value FROM v WHERE f = 'A')", "(SELECT value FROM v WHERE f = 'R')"
 NUMBERED = "SELECT row_number() OVER (ORDER BY value) - 1 AS k, value FROM"
 query("set_merge", f"{NUMBERED} ({A} UNION ALL {B})")(lambda t: integers.merge(t.v("A"), t.v("R")))
 query("set_compact", f"{NUMBERED} (SELECT DISTINCT value FROM {A})")(lambda t: integers.compact(t.v("A")))
@@ -291,8 +296,8 @@ query("morton_64", "SELECT o_orderkey AS k, o_orderkey * 7919000000 AS i, o_cust
 EDGES = "g AS (SELECT DISTINCT i AS src, j AS dst FROM s WHERE i <> j UNION SELECT DISTINCT j, i FROM s WHERE i <> j)"
 query("graph_adjacency", f"WITH {VIEWS.strip()}, {EDGES} SELECT src, dst FROM g")(lambda t: graphs.adjacency(t.s, 100, 100).select("src", "dst"))
 query("graph_degrees", f"WITH {VIEWS.strip()}, {EDGES} SELECT q.v, count(src) AS degree FROM (SELECT unnest(range(1, 101)) AS v) AS q LEFT JOIN g ON src = q.v GROUP BY q.v")(lambda t: graphs.degrees(graphs.adjacency(t.s, 100, 100), 100))
-query("graph_levels", "WITH RECURSIVE g AS (SELECT DISTINCT o_custkey % 100 + 1 AS src, o_custkey % 97 + 101 AS dst FROM orders WHERE o_custkey < 120), h AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), q AS (SELECT 1::BIGINT AS v, 0 AS level UNION SELECT h.dst, q.level + 1 FROM q JOIN h ON q.v = h.src WHERE q.level < 60) SELECT v, min(level) AS level FROM q GROUP BY v")(
-    lambda t: graphs.levels(graphs.adjacency(t.read("orders").where("o_custkey < 120").select((F.col("o_custkey") % 100 + 1).alias("i"), (F.col("o_custkey") % 97 + 1).alias("j")), 100, 97), 1)
+query("graph_levels", "WITH RECURSIVE g AS (SELECT DISTINCT o_custkey % 100 + 1 AS src, o_custkey % 97 + 101 AS dst FROM orders), h AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), q AS (SELECT 1::BIGINT AS v, 0 AS level UNION SELECT h.dst, q.level + 1 FROM q JOIN h ON q.v = h.src WHERE q.level < 200) SELECT v, min(level) AS level FROM q GROUP BY v")(
+    lambda t: graphs.levels(graphs.adjacency(t.read("orders").select((F.col("o_custkey") % 100 + 1).alias("i"), (F.col("o_custkey") % 97 + 1).alias("j")), 100, 97), 1)
 )
 query("reorder_rcm")(lambda t: graphs.reorder(t.s, 100, 100, "rcm")[0])
 query("reorder_nd")(lambda t: graphs.reorder(t.s, 100, 100, "nd")[0])
@@ -314,8 +319,8 @@ def _cg(t: Tables) -> DataFrame:
 
 query("random_uniform")(lambda t: generate.uniform_matrix(t.spark, 1000, 500, 20_000, "integer", low=1, high=9, seed=7))
 query("random_block_diagonal", "SELECT range AS k, range // 12 * 4 + range % 12 // 3 + 1 AS i, range // 12 * 3 + range % 3 + 1 AS j FROM range(0, 1200)")(lambda t: generate.block_diagonal(t.spark, 100, 4, 3, field="pattern"))
-query("spy_pixels", "SELECT DISTINCT CAST(floor((j - 0.5) / (SELECT count(*) FROM part) * 40) AS INTEGER) AS x, CAST(floor((i - 0.5) / (SELECT count(*) FROM orders) * 40) AS INTEGER) AS y FROM l WHERE i % 50 = 1")(
-    lambda t: t.l.where(F.col("i") % 50 == 1).select(F.floor((F.col("j") - 0.5) / t.read("part").count() * 40).cast("int").alias("x"), F.floor((F.col("i") - 0.5) / t.n_orders * 40).cast("int").alias("y")).distinct()
+query("spy_pixels", "SELECT DISTINCT CAST(floor((j - 0.5) / (SELECT count(*) FROM part) * 40) AS INTEGER) AS x, CAST(floor((i - 0.5) / (SELECT count(*) FROM orders) * 40) AS INTEGER) AS y FROM l")(
+    lambda t: t.l.select(F.floor((F.col("j") - 0.5) / t.read("part").count() * 40).cast("int").alias("x"), F.floor((F.col("i") - 0.5) / t.n_orders * 40).cast("int").alias("y")).distinct()
 )
 
 
