@@ -36,10 +36,20 @@ def head(lines: list[str]) -> tuple[Meta, int] | None:
     return Meta(**header, **size, comments=tuple(x + "\n" for x in lines[1:at])), at + 1
 
 
+def first_lines(spark: SparkSession, files: list[str], n: int) -> list[str]:
+    """The first lines of files that follow one another. Spark deals out large files first, so each is read by itself."""
+    out: list[str] = []
+    for file in files:
+        out += [r["value"] for r in spark.read.text(file).take(n - len(out))]
+        if len(out) >= n:
+            break
+    return out
+
+
 def meta(spark: SparkSession, path: str, precision: Precision | str = "double") -> tuple[Meta, int]:
-    lines, n = spark.read.text(path), 64
+    files, n = sorted(spark.read.text(path).inputFiles()), 64
     while True:
-        found = head([r["value"] for r in lines.take(n)])
+        found = head(first_lines(spark, files, n))
         if found:
             return replace(found[0], precision=Precision(precision)), found[1]
         n *= 8

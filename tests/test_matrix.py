@@ -110,6 +110,10 @@ def test_round_trips(spark, tmp_path):
         m, back = mtx.read(spark, path)
         assert m.comments == ("% c\n",) and rows(back, "k") == rows(data, "k")
     assert mtx.info(spark, path).first()["rows"] == 3
+    many = generate.uniform_array(spark, 200_000, low=0, high=10**6, seed=2).where("k < 150000 or a > 0").repartition(3)
+    m = Meta(many.count(), kind=Kind.VECTOR, layout=Layout.ARRAY)
+    mtx.write(m, en.ranked(many.withColumnRenamed("k", "_k"), [F.col("_k")]), str(tmp_path / "parts"), single=False)
+    assert len(list((tmp_path / "parts").glob("part-*"))) > 1 and mtx.counted(*mtx.read(spark, str(tmp_path / "parts"))).agg(F.max("k")).first()[0] == m.nrows - 1
     tri = mat(spark, [], positions=True).select("k", "a").unionByName(spark.range(6).select(F.col("id").alias("k"), F.col("id").cast("double").alias("a")))
     assert rows(en.triangular_places(tri), "a") == [(1, 1, 0.0), (2, 1, 1.0), (2, 2, 2.0), (3, 1, 3.0), (3, 2, 4.0), (3, 3, 5.0)]
     assert rows(en.triangular_places(tri, strict=True), "a")[:3] == [(2, 1, 0.0), (3, 1, 1.0), (3, 2, 2.0)]
