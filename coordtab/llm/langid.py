@@ -9,6 +9,7 @@ worker needs to score each distinct word once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ SMOOTHING = 0.02
 PART = 24
 LONGEST = 16
 #: Distinct words that a worker remembers.
-CACHE = 150_000
+CACHE = 300_000
 LOT = 50_000
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -148,6 +149,9 @@ class Model:
     def __getstate__(self):
         return {"languages": self.languages, "vocabulary": self.vocabulary, "p": self.p, "number": {}, "scores": None}
 
+    def forget(self) -> None:
+        self.number, self.scores = {}, None
+
     def add(self, new: list[str]) -> None:
         """Scores distinct words and remembers them."""
         parts, owner = [], []
@@ -180,7 +184,7 @@ class Model:
             new = {w for ws in split for w in ws if w not in self.number}
             if new:
                 if len(self.number) + len(new) > CACHE:
-                    self.number, self.scores = {}, None
+                    self.forget()
                     new = {w for ws in split for w in ws}
                 self.add(sorted(new))
             for ws in split:
@@ -238,13 +242,18 @@ def predicted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
     store.ship(spark)
     shared = spark.sparkContext.broadcast(fitted(docs, ident, text, lang, path, most))  # vocabulary x languages
 
-    def guess(texts: pa.Array) -> pa.Array:
-        names, scores = [], []
-        for k in range(0, len(texts), 500):
-            some = shared.value.predict(texts.slice(k, 500).to_pylist())
-            names += some[0]
-            scores += some[1]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        try:
+            for texts in batches:
+                names, scores = [], []
+                for k in range(0, len(texts), 500):
+                    some = model.predict(texts.slice(k, 500).to_pylist())
+                    names += some[0]
+                    scores += some[1]
+                yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        finally:
+            model.forget()  # the worker lives on for other stages
 
     return docs.withColumn("_guess", F.arrow_udf(guess, "lang string, score double")(F.col(text))).withColumns({"_lang": F.col("_guess.lang"), "_score": F.col("_guess.score")}).drop("_guess")
 
