@@ -155,16 +155,18 @@ class Family:
 
     @staticmethod
     def run(entries: DataFrame) -> tuple[DataFrame, str]:
+        # sorted by ranges of all columns, so that a beginning that millions of entries share fills several partitions
         path = store.new_path(entries.sparkSession, "level")
-        entries.repartition("_h").sortWithinPartitions("_h", "_c").write.parquet(path)
+        keys = ["_h", "_c", "_key", "_pos"]
+        entries.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
         return entries.sparkSession.read.schema(entries.schema).parquet(path), path
 
     def add(self, batch: DataFrame) -> None:
         new, path = self.run(batch)
         spark = new.sparkSession
         found = new.groupBy("_h").count().where(F.col("count") > 1).select("_h")
-        for _, level, _ in self.levels:
-            found = found.unionByName(new.select("_h").join(level.select("_h"), "_h", "left_semi").distinct())
+        for _, level, _ in self.levels:  # one row for each beginning on both sides
+            found = found.unionByName(new.select("_h").distinct().join(level.select("_h").distinct(), "_h", "left_semi"))
         self.hits.append(store.written(found, "hits"))
         self.levels.append((0, new, path))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -181,7 +183,8 @@ class Family:
             every = level if every is None else every.unionByName(level)
         for h in self.hits:
             hit = h if hit is None else hit.unionByName(h)
-        return every.join(hit.distinct(), "_h", "left_semi")
+        # the hits are a table of their own, so that Spark can split what a frequent one joins with
+        return every.join(store.written(hit.distinct(), "hits"), "_h", "left_semi")
 
 
 def surroundings(batches):
