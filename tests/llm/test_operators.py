@@ -231,6 +231,28 @@ def test_backoff_scores(spark, docs, empty):
     assert lmscore.scored(empty).count() == 0
 
 
+def test_words_whose_hashes_agree_in_48_bits_are_counted_apart(spark):
+    pairs = [("fyjclaaa", "lpqvnbaa"), ("wcjedaaa", "smxxncaa")]
+    for a, b in pairs:
+        x, y = (int(g[0][0]) for g in lmscore.grams_of([a, b], 1))
+        assert x >> 16 == y >> 16 and x != y
+    docs = spark.createDataFrame([(k, " ".join(p[k] for p in pairs)) for k in range(2)], "doc_id long, text string")
+    for chunk in (1, 10**9):
+        got = {r._id: r._logprob for r in lmscore.scored(docs, chunk_bytes=chunk).collect()}
+        alone = math.log(0.5 / 2)
+        assert got == {k: pytest.approx(2 * alone + math.log(0.4)) for k in range(2)}
+
+
+@pytest.mark.parametrize("bits", [3, 20, 44, 64])
+def test_packed_hashes(bits):
+    import numpy as np
+
+    g = np.unique(np.random.default_rng(bits).integers(0, 1 << bits, 500, dtype=np.uint64, endpoint=False))
+    assert (lmscore.unpacked_hashes(lmscore.packed_hashes(g)) == g).all()
+    c = np.array([1, 254, 255, 1 << 40, 0])
+    assert (lmscore.unpacked_counts(*lmscore.packed_counts(c)) == c).all()
+
+
 # ---------------------------------------------------------------- 6
 
 
