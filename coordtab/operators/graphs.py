@@ -5,7 +5,7 @@ columns numbered after the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -197,19 +197,10 @@ def partition_order(entries: DataFrame, nrows: int, ncols: int, parts: int) -> t
     return separated(pe.by_parts(found), nrows)
 
 
-def dissection(entries: DataFrame, nrows: int, ncols: int, smallest: int = 8, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
-    """Nested dissection: a middle level of a breadth-first level structure separates the rest in two, which come first,
-    each dissected in turn; the separator comes last. On the driver for graphs of its size; beyond, the breadth-first
-    order itself stands in for it, which is a permutation as well but no dissection."""
-    square = nrows == ncols
-    n = nrows if square else nrows + ncols
-    edges = storage.written(adjacency(entries, nrows, ncols), "edges")
-    if edges.count() > 2 * local_edges or n > local_edges:
-        perm = order_of(edges, n, None, local_edges).select(F.col("v").alias("src"), (F.col("pos") + 1).alias("dst"))
-        return (perm, perm) if square else separated(perm, nrows)
-    graph = Local(edges, n)
+def dissected(near: dict[int, list[int]], own: list[int], smallest: int) -> list[int]:
+    """The order of a piece: its vertices as they stand, cut up until no part has more than smallest."""
     out: list[int] = []
-    todo: list[tuple[bool, list[int]]] = [(False, list(range(1, n + 1)))]
+    todo: list[tuple[bool, list[int]]] = [(False, own)]
     while todo:  # the last piece is done first, and the result is turned round
         final, own = todo.pop()
         if final or len(own) <= smallest:
@@ -219,7 +210,7 @@ def dissection(entries: DataFrame, nrows: int, ncols: int, smallest: int = 8, lo
         first = [own[0]]
         level = {own[0]: 0}
         for v in first:
-            for w in graph.near.get(v, ()):
+            for w in near.get(v, ()):
                 if w in inside and w not in level:
                     level[w] = level[v] + 1
                     first.append(w)
@@ -232,7 +223,122 @@ def dissection(entries: DataFrame, nrows: int, ncols: int, smallest: int = 8, lo
             continue
         middle = min(max(1, level[first[len(first) // 2]]), deepest - 1)
         todo += [(False, [v for v in first if level[v] < middle]), (False, [v for v in first if level[v] > middle]), (True, [v for v in first if level[v] == middle])]
-    perm = entries.sparkSession.createDataFrame([(v, n - k) for k, v in enumerate(out)], "src long, dst long")
+    return out[::-1]
+
+
+def components_within(inner: DataFrame, own: DataFrame) -> DataFrame:
+    """own (v, piece, pos) with the least pos of a vertex's component within its piece as comp."""
+    at = storage.written(own.withColumn("comp", F.col("pos")), "components")
+    while True:
+        least = inner.join(at.select(F.col("v").alias("src"), "comp"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("comp").alias("_c"))
+        ahead = at.join(least, "v", "left").select("v", "piece", "pos", F.least("comp", "_c").alias("comp"), (F.col("_c") < F.col("comp")).alias("_moved"))
+        ahead = storage.written(ahead, "components")
+        at = ahead.drop("_moved")
+        if ahead.where("_moved").isEmpty():
+            return at
+
+
+def levels_within(inner: DataFrame, at: DataFrame) -> DataFrame:
+    """(v, level, bfs): the breadth-first order from the first vertex of each component, in the order of meeting; all
+    components at once."""
+    front = storage.written(at.where(F.col("pos") == F.col("comp")).select("v", F.lit(0).alias("level"), F.col("pos").alias("bfs")), "front")
+    seen, depth = front, 0
+    count = at.agg(F.max("pos")).first()[0] + 1
+    while True:
+        depth += 1
+        ahead = front.join(inner, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "bfs", "rank").join(seen.select("v"), "v", "left_anti")
+        first = ahead.groupBy("v").agg(F.min(F.struct("bfs", "rank")).alias("_m"))
+        placed = en.ranked(first.select("v", F.col("_m.bfs").alias("_p"), F.col("_m.rank").alias("_r")), [F.col("_p"), F.col("_r")], "_k")
+        front = storage.written(placed.select("v", F.lit(depth).alias("level"), (F.col("_k") + count).alias("bfs")), "front")
+        new = front.count()
+        if not new:
+            return seen
+        seen, count = storage.written(seen.unionByName(front), "seen"), count + new
+
+
+def cut_pieces(inner: DataFrame, own: DataFrame, smallest: int) -> DataFrame:
+    """One step of dissected for pieces (v, piece, pos) of more than smallest vertices; piece is the least pos in it, and
+    the result (v, piece, pos, final) fills the same places."""
+    at = components_within(inner, own)
+    met = storage.written(at.join(levels_within(inner, at), "v"), "met")
+    # the components of a piece are split off one by one, the first going last, until what is left is small
+    comps = met.groupBy("piece", "comp").agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("deepest"))
+    line = storage.written(en.ranked(comps, [F.col("piece"), F.col("comp")], "_k"), "line")
+    line = storage.written(en.prefix_sum(line, "_k", F.col("n"), "before"), "line")
+    whole = line.groupBy("piece").agg(F.min("before").alias("_from"), F.sum("n").alias("_n"))
+    line = line.join(whole, "piece").withColumn("left", F.col("_n") - (F.col("before") - F.col("_from"))).withColumn("tail", F.col("left") <= smallest)
+    line = line.withColumn("cut", ~F.col("tail") & (F.col("n") > smallest) & (F.col("deepest") >= 2)).select("piece", "comp", "n", "deepest", "tail", "cut", (F.col("left") == F.col("n")).alias("alone"))
+    line = storage.written(line, "line")
+    counts = met.groupBy("comp", "level").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(Window.partitionBy("comp").orderBy("level")))
+    half = counts.join(line.where("cut").select("comp", "n", "deepest"), "comp").where(F.col("_upto") > F.floor(F.col("n") / 2)).groupBy("comp", "deepest").agg(F.min("level").alias("_l"))
+    middle = half.select("comp", F.least(F.greatest(F.lit(1), F.col("_l")), F.col("deepest") - 1).alias("middle"))
+    to = met.join(line, ["piece", "comp"]).join(middle, "comp", "left")
+    part = F.when(~F.col("cut"), 0).when(F.col("level") < F.col("middle"), 0).when(F.col("level") > F.col("middle"), 1).otherwise(2)
+    shallow = ~F.col("tail") & ~F.col("cut")
+    to = to.select(
+        "v", "piece", F.when(F.col("tail"), F.lit(-1 << 62)).otherwise(-F.col("comp")).alias("_c"), part.alias("_part"),
+        F.when(F.col("tail") | F.col("alone") & shallow, F.col("pos")).otherwise(F.col("bfs")).alias("_o"),
+        (F.col("tail") | shallow | (part == 2)).alias("final"),
+    )
+    to = storage.written(en.ranked(to, [F.col("piece"), F.col("_c"), F.col("_part"), F.col("_o")], "_k"), "cut")
+    to = to.join(to.groupBy("piece").agg(F.min("_k").alias("_from")), "piece").withColumn("pos", F.col("piece") + F.col("_k") - F.col("_from"))
+    to = storage.written(to.select("v", "piece", "_c", "_part", "pos", "final"), "cut")
+    starts = to.groupBy("piece", "_c", "_part").agg(F.min("pos").alias("_start"))
+    return storage.written(to.join(starts, ["piece", "_c", "_part"]).select("v", F.col("_start").alias("piece"), "pos", "final"), "pieces")
+
+
+def frontier_dissection(edges: DataFrame, n: int, smallest: int, local_edges: int) -> DataFrame:
+    """(src, dst) by the same rules: all pieces too large for the driver are cut at once, a few joins for each level of
+    their level structures; the others are dissected on the driver, as many at once as fit."""
+    spark = edges.sparkSession
+    done = spark.createDataFrame([], "v long, pos long")
+    own = spark.range(1, n + 1).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("piece"), (F.col("id") - 1).alias("pos"))
+    inner = edges
+    while True:
+        inside = inner.select("src", "dst", "rank").join(own.select(F.col("v").alias("src"), "piece"), "src").join(own.select(F.col("v").alias("dst"), F.col("piece").alias("_other")), "dst")
+        inner = storage.written(inside.where(F.col("piece") == F.col("_other")).drop("_other"), "inner")
+        sizes = own.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).join(inner.groupBy("piece").agg(F.count(F.lit(1)).alias("m")), "piece", "left")
+        sizes = storage.written(sizes.select("piece", "n", F.coalesce("m", F.lit(0).cast("long")).alias("m")), "sizes")
+        large = (F.col("n") > smallest) & ((F.col("m") > 2 * local_edges) | (F.col("n") > local_edges))
+        small = sizes.where((F.col("n") <= smallest)).select("piece")
+        done = storage.written(done.unionByName(own.join(small, "piece", "left_semi").select("v", "pos")), "done")
+        lots = en.ranked(sizes.where(~large & (F.col("n") > smallest)), [F.col("piece")], "_k")
+        lots = en.prefix_sum(storage.written(lots, "lots"), "_k", F.col("n") + F.col("m"), "before")
+        lots = storage.written(lots.select("piece", F.floor(F.col("before") / max(1, local_edges)).alias("lot")), "lots")
+        for r in lots.select("lot").distinct().orderBy("lot").toLocalIterator():
+            done = storage.written(done.unionByName(on_driver(inner, own, lots.where(F.col("lot") == r["lot"]).select("piece"), smallest)), "done")
+        big = sizes.where(large).select("piece")
+        if big.isEmpty():
+            return done.select(F.col("v").alias("src"), (F.col("pos") + 1).alias("dst"))
+        inner = storage.written(inner.join(big, "piece", "left_semi"), "inner")
+        cut = cut_pieces(inner, storage.written(own.join(big, "piece", "left_semi").select("v", "piece", "pos"), "own"), smallest)
+        done = storage.written(done.unionByName(cut.where("final").select("v", "pos")), "done")
+        own = cut.where(~F.col("final")).drop("final")
+
+
+def on_driver(inner: DataFrame, own: DataFrame, pieces: DataFrame, smallest: int) -> DataFrame:
+    """(v, pos) of some pieces that fit together."""
+    near: dict[int, list[int]] = {}
+    for r in inner.join(pieces, "piece", "left_semi").orderBy("src", "rank").select("src", "dst").collect():
+        near.setdefault(r["src"], []).append(r["dst"])
+    held: dict[int, list[int]] = {}
+    for r in own.join(pieces, "piece", "left_semi").orderBy("pos").collect():
+        held.setdefault(r["piece"], []).append(r["v"])
+    return inner.sparkSession.createDataFrame([(v, piece + k) for piece, vs in held.items() for k, v in enumerate(dissected(near, vs, smallest))], "v long, pos long")
+
+
+def dissection(entries: DataFrame, nrows: int, ncols: int, smallest: int = 8, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
+    """Nested dissection: a middle level of a breadth-first level structure separates the rest in two, which come first,
+    each dissected in turn; the separator comes last. Graphs beyond local_edges are cut in Spark by the same rules until
+    the pieces fit on the driver."""
+    square = nrows == ncols
+    n = nrows if square else nrows + ncols
+    edges = storage.written(adjacency(entries, nrows, ncols), "edges")
+    if edges.count() > 2 * local_edges or n > local_edges:
+        perm = frontier_dissection(edges, n, smallest, local_edges)
+    else:
+        found = dissected(Local(edges, n).near, list(range(1, n + 1)), smallest)
+        perm = entries.sparkSession.createDataFrame([(v, k + 1) for k, v in enumerate(found)], "src long, dst long")
     return (perm, perm) if square else separated(perm, nrows)
 
 

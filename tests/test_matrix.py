@@ -284,6 +284,14 @@ def test_frontier_order_agrees_with_local(spark):
     assert rows(graphs.rcm(a, 30, 30)[0], "src") == rows(graphs.rcm(a, 30, 30, None, 0)[0], "src")
 
 
+@pytest.mark.parametrize("smallest, local", [(3, 12), (8, 0)])
+def test_dissection_in_spark_agrees_with_local(spark, smallest, local):
+    a = generate.uniform_matrix(spark, 40, 40, 36, "pattern", seed=11).unionByName(mat(spark, [(i, i + 1, 0) for i in range(1, 12)], positions=True).select("k", "i", "j"))
+    expected = rows(graphs.dissection(a, 40, 40, smallest)[0], "src")
+    got = graphs.dissection(a, 40, 40, smallest, local)[0]
+    assert pe.is_valid(got, 40, 1) and rows(got, "src") == expected
+
+
 def test_orders_and_parts_of_graphs(spark):
     a = generate.uniform_matrix(spark, 60, 60, 150, "pattern", seed=5)
     for ordering in ("nd", "metis", "scotch", "rcm"):
