@@ -15,6 +15,7 @@ the smallest and the largest before the shuffle, and covered places are joined b
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as html_module
 import re
@@ -33,7 +34,7 @@ LENGTH = 6
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head nav footer aside form button select option input fieldset dialog menu noscript template iframe object embed svg math canvas audio video map script style textarea title".split())
-RAW = "script|style|textarea|title|noscript|template|iframe|xmp"
+RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 #: Words of class, id and role that mark what isn't the article.
 OTHER = frozenset(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toolbar tabs skip "
@@ -49,14 +50,16 @@ HEADER = frozenset("header masthead topbar banner site-header".split())
 #: Marks of the article, from the surest.
 BODY_WORDS = frozenset("article-body articlebody article-content post-content post-body entry-content story-body story content main main-content maincontent article post entry body-content page-content".split())
 
-#: Attributes with quoted parts; the bounds keep a scan of broken quotes short, then the tag ends at the next ">".
-_ATTRS = r"""(?:[^>"']{1,2000}+|"[^"]{0,4000}"|'[^']{0,4000}'){0,200}+"""
+#: A comment, the begin of a tag with its attributes up to the next "<" or broken quote, or another thing in brackets. No
+#: part is tried twice, so a search takes time in proportion to what it passes.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]{{0,60}})(?P<attrs>{_ATTRS})>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]{{0,60}})(?P<attrs2>[^<>]{{0,5000}}+)>"
-    r"|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
-    re.S | re.I,
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>"']++|"[^<"]*+"|'[^<']*+')*+)(?P<shut>>?)"""
+    r"|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
+    re.S,
 )
+EVENT = re.compile("[>\"']")
+PLAIN = re.compile("[^<>]*+")
+RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -84,6 +87,36 @@ def marks(name: str, attrs: dict[str, str]) -> tuple[bool, bool, int]:
     return drop, header, sure
 
 
+class Quotes:
+    """Ends of tags with "<" in quotes, or with broken quotes. A quote that has led to no end once leads to none again, so
+    all calls together take time in proportion to the page, but for a search among the quotes."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.at: list[int] | None = None
+        self.failed: set[int] = set()
+
+    def end(self, at: int) -> int | None:
+        """Where the tag ends whose attributes start at a place; quotes reach to the next of their kind."""
+        if self.at is None:
+            self.at = [m.start() for m in EVENT.finditer(self.source)]
+        tried: list[int] = []
+        while True:
+            k = bisect.bisect_left(self.at, at)
+            if k == len(self.at) or self.at[k] in self.failed:
+                break
+            at = self.at[k]
+            if self.source[at] == ">":
+                return at
+            tried.append(at)
+            close = self.source.find(self.source[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(tried)
+        return None
+
+
 class Page:
     """Blocks of a page in order: (text, surest mark above it, share of its text that is links)."""
 
@@ -96,14 +129,32 @@ class Page:
         self.links = 0
         self.text: list[str] = []
         self.linked = 0
-        at = 0
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                self.data(source[at : m.start()])
-            at = m.end()
-            name = m["name"] or m["name2"]
-            if name:
-                self.tag(name.lower(), bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or "")
+        at = search = 0
+        quotes = Quotes(source)
+        while m := TOKEN.search(source, search):
+            start, stop, name, attrs = m.start(), m.end(), m["name"], m["attrs"]
+            if name and not m["shut"]:
+                stop = quotes.end(m.start("attrs"))
+                if stop is None:
+                    stop = PLAIN.match(source, m.start("attrs")).end()
+                if m["end"] and source[stop : stop + 1] != ">":  # an end tag that breaks off
+                    name, stop = None, source.find(">", stop)
+                    stop = len(source) if stop < 0 else stop
+                elif source[stop : stop + 1] == "<":  # no tag
+                    search = start + 1
+                    continue
+                attrs = source[m.start("attrs") : stop]
+                if stop == len(source):
+                    name = None  # the page breaks off in it
+                stop = min(stop + 1, len(source))
+            if start > at:
+                self.data(source[at:start])
+            if name and not m["end"] and name.lower() in RAW:
+                close = RAW_END[name.lower()].search(source, stop)
+                stop = close.end() if close else len(source)
+            elif name:
+                self.tag(name.lower(), bool(m["end"]), attrs)
+            at = search = stop
         if at < len(source):
             self.data(source[at:])
         self.flush()

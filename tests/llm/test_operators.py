@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -112,6 +113,19 @@ def test_markup():
         htmltext.blocks_of(hostile)
 
 
+def test_tags_of_any_length():
+    long_ = "A" * 10_000
+    for tag in (f'<img src="data:image/png;base64,{long_}">', f"<br data-x={long_}>", '<br data-x="' + "<y>" * 4_000 + '">', "<br " + "a='1' " * 1_000 + ">"):
+        assert htmltext.blocks_of(f"<article>one {tag} two</article>three")[0]
+        assert " ".join(htmltext.blocks_of(f"<article>one {tag} two</article>three")[1]) == "one two"
+    nested = f'<article><div><div data-x="{long_}">one</div><p>two</div><p>three</article>four'
+    assert htmltext.blocks_of(nested) == (True, ["one", "two", "three"])
+    began = time.time()
+    for hostile in ("<a " * 200_000 + '"', '<p "<' * 200_000, "<b '<\"<" * 100_000, "<a 'x\" " * 100_000):
+        htmltext.blocks_of(hostile)
+    assert time.time() - began < 60
+
+
 def test_unmarked_pages_lose_what_repeats_on_their_host(spark):
     line = "Home About Contact us today for more information"
     rows = [(k, f"http://h.org/{k}", f"<body><div>{line}</div><p>n{k} a{k} b{k} c{k} d{k} e{k} f{k}</p></body>") for k in range(5)]
