@@ -3,8 +3,10 @@
 A page is cut into blocks, each with what the markup says of it: part of the article, part of a menu, advert, form, ..., or
 nothing. Where the markup names the article, its blocks are the text. Where it doesn't, repetition decides what is
 boilerplate: the token streams of all such pages of a host (with a token at each block's end) are indexed by their
-suffixes, ordered by a hash of the suffix's first LENGTH tokens; strings of LENGTH tokens or more that stand on two
-distinct pages are boilerplate, the tokens they cover are removed, and the runs that are unique to a page are kept.
+suffixes, by a hash of the suffix's first PASSAGE tokens, and at the ends of blocks by one of the whole blocks that make up
+LENGTH tokens. Runs of whole blocks of LENGTH tokens or more, and other strings of PASSAGE tokens or more, that stand on
+two distinct pages are boilerplate; the tokens they cover are removed, and the runs that are unique to a page are kept.
+A shorter phrase in a block that is unique stays, wherever else it stands.
 
 The suffix index alone can't give the text where the markup is clear: passages of an article that are quoted on another
 page would be lost, and menus or adverts that happen to be unique would stay. So it judges what the markup leaves open.
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from . import bytestream, store
 
-#: Tokens of a repeated string; the ends of blocks count.
+#: Tokens of repeated whole blocks; the ends of blocks count.
 LENGTH = 6
+#: Tokens of another repeated string.
+PASSAGE = 50
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -118,17 +122,15 @@ class Quotes:
 
 
 class Page:
-    """Blocks of a page in order: (text, surest mark above it, share of its text that is links)."""
+    """Blocks of a page in order: (text, surest mark above it)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, float]] = []
-        self.stack: list[tuple[str, bool, int, bool]] = []  # name, dropped, surest mark so far, link
+        self.blocks: list[tuple[str, int]] = []
+        self.stack: list[tuple[str, bool, int]] = []  # name, dropped, surest mark so far
         self.open: Counter[str] = Counter()
         self.dropped = 0
         self.sure = 0
-        self.links = 0
         self.text: list[str] = []
-        self.linked = 0
         at = search = 0
         quotes = Quotes(source)
         while m := TOKEN.search(source, search):
@@ -164,20 +166,17 @@ class Page:
             return
         text = html_module.unescape(raw) if "&" in raw else raw
         self.text.append(text)
-        if self.links:
-            self.linked += len(text.strip())
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append((text, self.sure, self.linked / len(text)))
-        self.text, self.linked = [], 0
+            self.blocks.append((text, self.sure))
+        self.text = []
 
     def pop(self, to: int) -> None:
-        for name, dropped, _, link in self.stack[to:]:
+        for name, dropped, _ in self.stack[to:]:
             self.open[name] -= 1
             self.dropped -= dropped
-            self.links -= link
         del self.stack[to:]
         self.sure = self.stack[-1][2] if self.stack else 0
 
@@ -214,22 +213,20 @@ class Page:
         if source.rstrip().endswith("/") and name not in INLINE and name in ("svg", "path", "iframe"):
             return
         self.sure = max(self.sure, sure)
-        self.stack.append((name, drop, self.sure, name == "a"))
+        self.stack.append((name, drop, self.sure))
         self.open[name] += 1
         self.dropped += drop
-        self.links += name == "a"
 
 
 def blocks_of(source: str | None) -> tuple[bool, list[str]]:
-    """Whether the markup names the article, and the article's blocks, or else all that it doesn't call something else.
-    Among the latter, blocks that are mostly links are left out as menus."""
+    """Whether the markup names the article, and the article's blocks, or else all that it doesn't call something else."""
     if not source:
         return True, []
     found = Page(source).blocks
     best = max((b[1] for b in found), default=0)
     if best >= 2:
-        return True, [t for t, sure, _ in found if sure >= best]
-    return False, [t for t, _, links in found if links <= 0.5]
+        return True, [t for t, sure in found if sure >= best]
+    return False, [t for t, _ in found]
 
 
 PARSED_DDL = "clear boolean, text string, blocks array<string>"
@@ -249,24 +246,56 @@ def token_stream(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.repeat(np.arange(len(blocks)), [len(x) for x in out])
 
 
-def suffixes(length: int):
+def block_windows(sizes: list[int], length: int) -> list[tuple[int, int]]:
+    """(from, to): for each block the fewest blocks of length tokens that start with it, and that end with it."""
+    found, total, i = set(), 0, 0
+    for j, size in enumerate(sizes):  # the fewest that end with j
+        total += size
+        while total - sizes[i] >= length:
+            total -= sizes[i]
+            i += 1
+        if total >= length:
+            found.add((i, j + 1))
+    total, j = 0, len(sizes)
+    for i in range(len(sizes) - 1, -1, -1):  # the fewest that start with i
+        total += sizes[i]
+        while total - sizes[j - 1] >= length:
+            j -= 1
+            total -= sizes[j]
+        if total >= length:
+            found.add((i, j))
+    return sorted(found)
+
+
+def repeatable(host: str, blocks: list[str], length: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, tokens) of each string that is boilerplate if another page of the host holds it."""
+    stream, owner = token_stream(blocks)
+    salt = hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    long_ = bytestream.mix(bytestream.gram_hashes(stream, passage) + np.uint64(int.from_bytes(salt, "little"))).view(np.int64)
+    sizes = np.bincount(owner, minlength=len(blocks))
+    starts = np.append(0, np.cumsum(sizes))
+    windows = block_windows(sizes.tolist(), length)
+    whole = [int.from_bytes(hashlib.blake2b("\n".join(blocks[i:j]).encode("utf-8", "surrogatepass"), digest_size=8, key=salt).digest(), "little", signed=True) for i, j in windows]
+    at = np.array([starts[i] for i, _ in windows], np.int64)
+    n = np.array([starts[j] - starts[i] for i, j in windows], np.int64)
+    return np.append(long_, np.array(whole, np.int64)), np.append(np.arange(len(long_)), at), np.append(np.full(len(long_), passage), n)
+
+
+def suffixes(length: int, passage: int):
     def work(batches):
         for batch in batches:
-            keys, hosts, at, h = [], [], [], []
-            for key, host, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not blocks:
-                    continue
-                own = bytestream.mix(bytestream.gram_hashes(token_stream(blocks)[0], length) + np.uint64(int.from_bytes(hashlib.blake2b((host or "").encode(), digest_size=8).digest(), "little")))
-                h.append(own.view(np.int64))
-                keys.append(np.full(len(own), key))
-                at.append(np.arange(len(own), dtype=np.int32))
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, keys, at)], names=["_h", "_key", "_at"])
+            out = []
+            for key, host, blocks in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if blocks:
+                    h, at, n = repeatable(host or "", blocks, length, passage)
+                    out.append((h, np.full(len(h), key), at.astype(np.int32), n.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["_h", "_key", "_at", "_n"])
 
     return work
 
 
-def unique_runs(length: int):
+def unique_runs():
     def work(batches):
         for batch in batches:
             out = []
@@ -274,8 +303,8 @@ def unique_runs(length: int):
                 stream, owner = token_stream(blocks) if blocks else (np.empty(0), np.empty(0, int))
                 cover = np.zeros(len(stream) + 1, int)
                 for p in places or ():
-                    cover[p] += 1
-                    cover[p + length] -= 1
+                    cover[p["_at"]] += 1
+                    cover[p["_at"] + p["_n"]] -= 1
                 covered = np.cumsum(cover)[:-1] > 0
                 kept = []
                 for k, b in enumerate(blocks):
@@ -288,7 +317,7 @@ def unique_runs(length: int):
 
 
 @store.keeps_columns
-def extracted(pages: DataFrame, length: int = LENGTH, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extracted(pages: DataFrame, length: int = LENGTH, ident: str = "page_id", url: str = "url", html: str = "html", passage: int = PASSAGE) -> DataFrame:
     """pages with _text, the main text: character references decoded, white space in a block made one space, blocks in
     page order joined by one space; nothing else is dropped or cut off.
 
@@ -302,11 +331,11 @@ def extracted(pages: DataFrame, length: int = LENGTH, ident: str = "page_id", ur
     open_ = store.written(cut_up.where(~F.col("_p.clear")).select(key.alias("_key"), host.alias("_host"), F.col("_p.blocks").alias("_blocks")), "open")
     if open_.isEmpty():  # pages whose markup is clear pass without any shuffle
         return cut_up.withColumn("_text", F.col("_p.text")).drop("_p")
-    index = open_.mapInArrow(suffixes(length), "_h long, _key long, _at int")
+    index = open_.mapInArrow(suffixes(length, passage), "_h long, _key long, _at int, _n int")
     twice = index.groupBy("_h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where(F.col("_a") != F.col("_b")).select("_h")
-    places = index.join(twice, "_h", "left_semi").groupBy("_key").agg(F.collect_set("_at").alias("_places"))
+    places = index.join(twice, "_h", "left_semi").groupBy("_key").agg(F.collect_set(F.struct("_at", "_n")).alias("_places"))
     runs = open_.select("_key", "_blocks").dropDuplicates(["_key"]).join(places, "_key", "left").select("_key", "_blocks", "_places")
-    cut = store.written(runs.mapInArrow(unique_runs(length), "_key long, _cut string"), "runs")
+    cut = store.written(runs.mapInArrow(unique_runs(), "_key long, _cut string"), "runs")
     clear = cut_up.where("_p.clear").withColumn("_text", F.col("_p.text")).drop("_p")
     rest = cut_up.where(~F.col("_p.clear")).drop("_p").withColumn("_key", key).join(cut, "_key").withColumn("_text", F.col("_cut")).drop("_key", "_cut")
     return clear.unionByName(rest)

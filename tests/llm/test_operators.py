@@ -138,6 +138,27 @@ def test_unmarked_pages_lose_what_repeats_on_their_host(spark):
     assert htmltext.extracted(df.limit(0)).count() == 0
 
 
+def test_phrases_of_unmarked_pages_stay_and_repeated_blocks_go(spark):
+    phrase = "in the middle of the long night they came"
+    menu = "".join(f"<li><a href=/{k}>part{k}</a></li>" for k in range(7))
+    pages = [f"<ul>{menu}</ul><p>a{k} b{k} {phrase} c{k} d{k}</p><p><a href=/x>all of e{k} f{k} is a link to h{k}</a></p><p>{' '.join(f'w{x}' for x in range(60))} g{k}</p>" for k in range(3)]
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r._text for r in htmltext.extracted(df).collect()}
+    assert got == {k: f"a{k} b{k} {phrase} c{k} d{k} all of e{k} f{k} is a link to h{k} g{k}" for k in range(3)}
+
+
+def test_block_windows_cover_every_run():
+    rng = random.Random(5)
+    for _ in range(300):
+        sizes = [rng.choice((1, 2, 3, 7, 9)) for _ in range(rng.randint(0, 8))]
+        windows = htmltext.block_windows(sizes, 6)
+        assert all(sum(sizes[i:j]) >= 6 for i, j in windows)
+        for i in range(len(sizes)):
+            for j in range(i + 1, len(sizes) + 1):
+                if sum(sizes[i:j]) >= 6:
+                    assert {b for x, y in windows if i <= x and y <= j for b in range(x, y)} == set(range(i, j))
+
+
 # ---------------------------------------------------------------- 3
 
 
