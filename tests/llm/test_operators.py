@@ -390,6 +390,24 @@ def test_near_duplicates(spark, docs, n, small, monkeypatch):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {d for d, c in expected.items() if d == c} | {None}
 
 
+def test_signatures_of_unrelated_long_texts_disagree():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(2_000)) for _ in range(12)]
+    near = texts[0].split()
+    near[1_000:1_100] = [f"y{k}" for k in range(100)]
+    sets = neardup.shingle_sets([*texts, " ".join(near)], 2)
+    sigs = [neardup.signature(neardup.minima(s)) for s in sets]
+    pairs = [(a, b) for a in range(13) for b in range(a + 1, 13)]
+    batch = pa.RecordBatch.from_pydict({"_a": [a for a, _ in pairs], "_b": [b for _, b in pairs], "_sig_a": [sigs[a] for a, _ in pairs], "_sig_b": [sigs[b] for _, b in pairs]})
+    (kept,) = neardup.agreeing([batch])
+    assert kept.to_pydict() == {"_a": [0], "_b": [12]}
+    agree = [np.mean(np.frombuffer(sigs[a], np.uint8) == np.frombuffer(sigs[b], np.uint8)) for a, b in pairs if b < 12]
+    assert max(agree) < 0.1
+
+
 def test_one_id_with_two_texts_joins_their_groups(spark, empty):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
     df = spark.createDataFrame([(5, a), (6, a), (6, b), (9, b), (10, "other words")], "doc_id long, text string")
