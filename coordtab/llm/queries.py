@@ -92,11 +92,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH s AS (SELECT source, sum(strlen(coalesce(text, ''))) AS n FROM documents GROUP BY source),
 r AS (SELECT source, (SELECT 1.0::DOUBLE * sum(n) / (count(*) FILTER (n > 0))::DOUBLE FROM s) * 1.0::DOUBLE / n AS rate FROM s WHERE n > 0),
-p AS (SELECT source, rate, greatest(CAST(ceil(rate / 32.0) AS INTEGER), 1) AS parts FROM r),
+p AS (SELECT source, rate, greatest(CAST(ceil(rate / 32.0) AS BIGINT), 1) AS parts FROM r),
 c AS (SELECT source, k, sum(exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS f FROM p, unnest(range(0, 120)) AS t(k)),
 u AS (SELECT doc_id, source, rate, q, CAST('0x' || substr(md5('mix-1|' || doc_id || '|' || q), 1, 13) AS BIGINT) / pow(2.0, 52) AS u FROM documents JOIN p USING (source), unnest(range(1, parts + 1)) AS t(q)),
 n AS (SELECT doc_id, source, rate, sum((SELECT count(*) FROM c WHERE c.source = u.source AND c.f <= u.u)) AS copies FROM u GROUP BY doc_id, source, rate)
-SELECT doc_id, source, rate, CAST(copies AS INTEGER) AS copies, CAST(copy AS INTEGER) AS copy, CAST('0x' || substr(md5('mix-1/order|' || doc_id || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
+SELECT doc_id, source, rate, CAST(copies AS BIGINT) AS copies, CAST(copy AS BIGINT) AS copy, CAST('0x' || substr(md5('mix-1/order|' || doc_id || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
 FROM n, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS t(copy)
 """
 

@@ -462,6 +462,45 @@ def test_mixture_meets_its_weights(spark):
     assert few.count() == pytest.approx(60 * 300, rel=0.05)
 
 
+def inverted(seed, ident, part, mean):
+    u = int(hashlib.md5(f"{seed}|{ident}|{part}".encode()).hexdigest()[:13], 16) / 2**52
+    k, p = 0, math.exp(-mean)
+    c = p
+    while c <= u and k < 200:
+        k += 1
+        p *= mean / k
+        c += p
+    return k
+
+
+def test_large_rates(spark):
+    # as if a source of one short document had a large share of a corpus
+    df = spark.createDataFrame([(1, "a", "x", 7), (None, "b", "y", 8), (2, "c", "z", 9)], "doc_id long, source string, text string, _n long")
+    out = mixing.replicated(df, weights={"a": 1e7, "b": 5_000.0, "c": 50.0}, epochs=(1e7 + 5_050) / 3)
+    rows = out.groupBy("doc_id", "_n", "_rate", "_copies").agg(F.count(F.lit(1)).alias("n"), F.min("_copy").alias("low"), F.max("_copy").alias("high"), F.countDistinct("_copy").alias("own")).collect()
+    assert {r.doc_id: r._n for r in rows} == {1: 7, None: 8, 2: 9}
+    for r in rows:
+        assert (r.low, r.high, r.n, r.own) == (1, r._copies, r._copies, r._copies)
+        assert abs(r._copies - r._rate) < 6 * math.sqrt(r._rate)
+        if r._rate < 6_000:
+            parts = math.ceil(r._rate / mixing.PART)
+            assert r._copies == sum(inverted("mix-1", "null" if r.doc_id is None else r.doc_id, k + 1, r._rate / parts) for k in range(parts))
+    assert max(r._rate for r in rows) == pytest.approx(1e7)
+
+
+def test_a_rate_beyond_36_bits_is_drawn_in_blocks(spark):
+    df = spark.createDataFrame([(5, "a", "x")], "doc_id long, source string, text string")
+    rate = 2.0**36 * 1.5
+    table = mixing.rates(df, None, rate, "source", "text")
+    rows = df.withColumn("_key", mixing.source_key("source")).join(table, "_key")
+    parts = rows.first()._parts
+    most = -(-parts // mixing.SPAN)
+    assert most > mixing.FAN**2
+    for block in (0, 20_000_017, most - 1):
+        (r,) = mixing.blocks_of(rows, "s", "doc_id", most).where(F.col("_block") == block).collect()
+        assert r._n == sum(inverted("s", 5, k + 1, rate / parts) for k in range(block * mixing.SPAN, min(parts, (block + 1) * mixing.SPAN)))
+
+
 # ---------------------------------------------------------------- 9
 
 PRIVATE = [
