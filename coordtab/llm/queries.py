@@ -101,9 +101,13 @@ FROM n, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS t(copy)
 """
 
 
+#: The query's rows must be the same wherever it runs, so its key is public; in production the key is a secret.
+OP9_KEY = "a public key"
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms, and how many of each kind were replaced."""
-    out = pii.pseudonymised(table(spark, sf_dir, "documents"))
+    out = pii.pseudonymised(table(spark, sf_dir, "documents"), OP9_KEY)
     of = lambda kind: F.size(F.filter("_found", lambda x: x["kind"] == kind))
     counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return out.select("doc_id", "text", *counts)
