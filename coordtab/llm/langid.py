@@ -3,12 +3,14 @@
 The vocabulary is that of a public subword tokenizer and stays fixed. For each language the probability of every piece is
 learned by expectation maximisation over all ways to cut the words of labelled texts into pieces. A text's likelihood is
 the product over its words of the sum over all segmentations of the product of piece probabilities, found by the forward
-algorithm. Texts are lower-cased. Words end at white space, and pieces don't cross it, so a text's log-likelihood is a sum over words, and a
-worker needs to score each distinct word once.
+algorithm. Texts are lower-cased. Words end at white space, and pieces don't cross it, so a text's log-likelihood is a sum
+over words, and a worker needs to score each distinct word once. Words may have any length: beyond SHORT characters the
+forward sums carry a running scale, so that nothing underflows, and go on in steps that bound the room they take.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,15 +21,22 @@ from pyspark.sql import functions as F
 
 from . import store, words
 
+#: The 32,000 pieces of a public byte-pair vocabulary, described beside it. Where the file is missing, learning raises
+#: what its reader raises; without labels it isn't read.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Training reads about so many bytes of each language, chosen by a hash of the id, whole texts only; longer texts than
-#: this aren't used to learn. All texts are predicted whole.
+#: this aren't used to learn, nor are words of more than LEARNED characters. All texts are predicted whole.
 BYTES = 1_500_000
+LEARNED = 4_096
+#: Most labels that may be learned, as the model has a column of some 256 KB for each; with more, learning raises an error.
+LABELS = 200
 ROUNDS = 4
 SMOOTHING = 0.02
-#: A longer word is cut into parts of so many characters, so that no product underflows.
-PART = 24
-LONGEST = 16
+#: Words up to so many characters are scored together with others of their length, longer ones in padded lots.
+SHORT = 24
+#: Numbers (places x languages) in a lot of long words, and places between two changes of scale.
+CELLS = 1 << 18
+SCALE = 16
 #: Distinct words that a worker remembers.
 CACHE = 300_000
 LOT = 50_000
@@ -39,7 +48,12 @@ def pieces_of(path: str) -> list[str]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k)) and len(sp.id_to_piece(k)) <= LONGEST]
+    return [sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k))]
+
+
+def tokens(text: str) -> list[str]:
+    """Words as they are learned and scored: lower case, ended by white space of any script."""
+    return text.lower().split()
 
 
 def code_points(strings: list[str], length: int) -> np.ndarray:
@@ -71,6 +85,11 @@ class Vocabulary:
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array(ids, np.int32)[order]
 
+    def number(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, n + 1 for none."""
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.ids[at], self.n + 1)
+
     def edges(self, strings: list[str], length: int) -> dict[tuple[int, int], np.ndarray]:
         """For strings of one length: (start, end) -> number of the piece there, or n + 1 for none."""
         c = code_points(strings, length)
@@ -79,18 +98,24 @@ class Vocabulary:
             h = np.zeros(len(strings), np.uint64)
             for e in range(s + 1, min(length, s + self.longest) + 1):
                 h = extend(h, c[:, e - 1])
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
+                found = self.number(h)
                 if e == s + 1:
-                    out[s, e] = np.where(hit, self.ids[at], self.n)
-                elif hit.any():
-                    out[s, e] = np.where(hit, self.ids[at], self.n + 1)
+                    out[s, e] = np.minimum(found, self.n)
+                elif (found <= self.n).any():
+                    out[s, e] = found
         return out
 
-
-def parts_of(word: str) -> list[str]:
-    word = MARK + word
-    return [word[k : k + PART] for k in range(0, len(word), PART)]
+    def lattice(self, c: np.ndarray) -> np.ndarray:
+        """For each string (a row of c) and character: the pieces that end with it, by falling length, n + 1 for none."""
+        n, length = c.shape
+        out = np.full((n, length, self.longest), self.n + 1, np.int32)
+        h = np.zeros((n, length), np.uint64)
+        for e in range(1, min(self.longest, length) + 1):
+            h = extend(h[:, : length - e + 1], c[:, e - 1 :])
+            out[:, e - 1 :, self.longest - e] = self.number(h)
+        single = out[:, :, self.longest - 1]
+        single[single > self.n] = self.n
+        return out
 
 
 def forward(edges: dict, length: int, p: np.ndarray) -> list[np.ndarray]:
@@ -112,14 +137,83 @@ def by_length(strings: list[str], most: int = 20_000):
             yield int(length), own[k : k + most]
 
 
+class Chain:
+    """Forward sums over strings whose pieces come in parts; kept are the last ones, relative to a running scale."""
+
+    def __init__(self, n: int, longest: int, columns: int):
+        self.longest = longest
+        self.last = np.zeros((n, longest, columns))
+        self.last[:, -1] = 1
+        self.scale = np.zeros((n, columns))
+        self.at = 0
+
+    def run(self, p: np.ndarray, wanted=None) -> dict[int, np.ndarray]:
+        """p: string x character x pieces by falling length x column. Returns logarithms of the sums after the wanted
+        numbers of characters (all, if None)."""
+        m, out = self.longest, {}
+        sums = np.concatenate([self.last, np.empty((p.shape[0], p.shape[1], p.shape[3]))], axis=1)
+        for k in range(p.shape[1]):
+            v = (sums[:, k : k + m] * p[:, k]).sum(axis=1)
+            self.at += 1
+            if self.at % SCALE == 0:
+                sums[:, k : k + m] /= v[:, None]
+                self.scale += np.log(v)
+                v = np.ones_like(v)
+            sums[:, k + m] = v
+            if wanted is None or self.at in wanted:
+                out[self.at] = np.log(v) + self.scale
+        self.last = sums[:, -m:].copy()
+        return out
+
+
+def log_sums(vocabulary: Vocabulary, strings: list[str], p: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations, string x language, for strings of any length."""
+    out = np.empty((len(strings), p.shape[1]))
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    order = np.argsort(lengths, kind="stable")
+    cells, k = max(1, CELLS // p.shape[1]), 0
+    while k < len(order):
+        lot = [int(order[k])]
+        while k + len(lot) < len(order) and (len(lot) + 1) * lengths[order[k + len(lot)]] <= cells:
+            lot.append(int(order[k + len(lot)]))
+        k += len(lot)
+        own, longest = lengths[lot], int(lengths[lot[-1]])
+        chain, wanted, seen = Chain(len(lot), vocabulary.longest, p.shape[1]), set(own.tolist()), vocabulary.longest - 1
+        step = max(1, cells // len(lot))
+        for a in range(0, longest, step):
+            low = max(0, a - seen)
+            c = code_points([strings[x][low : a + step].ljust(min(longest, a + step) - low, "\0") for x in lot], min(longest, a + step) - low)
+            for at, v in chain.run(p[vocabulary.lattice(c)[:, a - low :]], wanted).items():
+                ends = np.flatnonzero(own == at)
+                out[np.array(lot)[ends]] = v[ends]
+    return out
+
+
+def expected_long(lattice: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected numbers of pieces in strings of one length, by forward and backward sums."""
+    n, length, m = lattice.shape
+    back = np.full_like(lattice, len(p) - 1)
+    for e in range(1, min(m, length) + 1):
+        back[:, e - 1 :, m - e] = lattice[:, ::-1, m - e][:, : length - e + 1]
+    zero = {0: np.zeros((n, 1))}
+    ahead, behind = (zero | Chain(n, m, 1).run(p[x][..., None]) for x in (lattice, back))
+    alpha = np.stack([ahead[k][:, 0] for k in range(length + 1)], axis=1)
+    beta = np.stack([behind[length - k][:, 0] for k in range(length + 1)], axis=1)
+    out = np.zeros(len(p))
+    for e in range(1, min(m, length) + 1):
+        ids = lattice[:, e - 1 :, m - e]
+        share = np.exp(alpha[:, : length - e + 1] + beta[:, e:] - alpha[:, length:]) * p[ids] * weight[:, None]
+        out += np.bincount(ids.ravel(), share.ravel(), minlength=len(p))
+    return out
+
+
 def learn(vocabulary: Vocabulary, counts: dict[str, float], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities (with those of an unknown character, then a 0) from word counts of one language."""
-    split: dict[str, float] = {}
-    for w, c in counts.items():
-        for part in parts_of(w):
-            split[part] = split.get(part, 0) + c
-    strings, weight = list(split), np.array(list(split.values()), float)
-    lots = [(length, own, vocabulary.edges([strings[k] for k in own], length)) for length, own in by_length(strings)]
+    strings, weight = [MARK + w for w in counts if len(w) < LEARNED], np.array([c for w, c in counts.items() if len(w) < LEARNED], float)
+    short = [k for k, x in enumerate(strings) if len(x) <= SHORT]
+    long_ = [k for k, x in enumerate(strings) if len(x) > SHORT]
+    lots = [(length, np.array(short)[own], vocabulary.edges([strings[short[k]] for k in own], length)) for length, own in by_length([strings[k] for k in short])]
+    more = [np.array(long_)[own] for length, own in by_length([strings[k] for k in long_], 50)]
     size = vocabulary.n + 1
     p = np.append(np.full(size, 1.0 / size), 0.0)
     for _ in range(rounds):
@@ -133,6 +227,9 @@ def learn(vocabulary: Vocabulary, counts: dict[str, float], rounds: int = ROUNDS
             scale = weight[own] / alpha[length][:, 0]
             for (s, e), ids in edges.items():
                 expected += np.bincount(ids, alpha[s][:, 0] * p[ids] * beta[e][:, 0] * scale, minlength=size + 1)
+        for own in more:
+            some = [strings[k] for k in own]
+            expected += expected_long(vocabulary.lattice(code_points(some, len(some[0]))), p, weight[own])
         p = (expected[:size] + SMOOTHING) / (expected[:size].sum() + SMOOTHING * size)
         p = np.append(p, 0.0)
     return p
@@ -154,18 +251,16 @@ class Model:
 
     def add(self, new: list[str]) -> None:
         """Scores distinct words and remembers them."""
-        parts, owner = [], []
-        for k, w in enumerate(new):
-            for part in parts_of(w):
-                parts.append(part)
-                owner.append(k)
-        found = np.empty((len(parts), len(self.languages)))
-        for length, own in by_length(parts):
-            edges = self.vocabulary.edges([parts[k] for k in own], length)
+        marked = [MARK + w for w in new]
+        found = np.empty((len(new), len(self.languages)))
+        short = [k for k, w in enumerate(marked) if len(w) <= SHORT]
+        for length, own in by_length([marked[k] for k in short]):
+            own = np.array(short)[own]
+            edges = self.vocabulary.edges([marked[k] for k in own], length)
             found[own] = np.log(forward(edges, length, self.p)[length])
-        owner = np.array(owner)
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        found = np.add.reduceat(found, first)
+        long_ = [k for k, w in enumerate(marked) if len(w) > SHORT]
+        if long_:
+            found[long_] = log_sums(self.vocabulary, [marked[k] for k in long_], self.p)
         at = len(self.number)
         for k, w in enumerate(new):
             self.number[w] = at + k
@@ -179,7 +274,7 @@ class Model:
             split: list[list[str]] = []
             size = 0
             while k + len(split) < len(texts) and (not split or size < LOT):
-                split.append(texts[k + len(split)].lower().split())
+                split.append(tokens(texts[k + len(split)]))
                 size += len(split[-1])
             new = {w for ws in split for w in ws if w not in self.number}
             if new:
@@ -215,19 +310,31 @@ def fitted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
     """A model from the labelled documents that aren't held out."""
     rows = docs.select(F.col(ident).cast("string").alias("_id"), F.col(lang).alias("_l"), F.col(text).alias("_t"), held_out(ident).alias("_h"))
     rows = rows.where(~F.col("_h") & F.col("_l").isNotNull() & F.col("_t").isNotNull() & (F.octet_length("_t") <= most))
-    sizes = rows.groupBy("_l").agg(F.sum(F.octet_length("_t").cast("long")).alias("_b"))
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest("_b", F.lit(1)))
-    chosen = rows.join(F.broadcast(sizes), "_l").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * float(1 << 30))  # a row for each language
-    counts = chosen.select("_l", F.explode(F.split(F.btrim(F.lower("_t")), r"\s+")).alias("_w")).where(F.col("_w") != "").groupBy("_l", "_w").count().toPandas()
-    if counts.empty:
+    sizes = rows.groupBy("_l").agg(F.sum(F.octet_length("_t").cast("long")).alias("_b")).limit(LABELS + 1).collect()
+    if not sizes:
         return Model([])
-    vocabulary = Vocabulary(pieces_of(path))
-    languages = sorted(counts["_l"].unique())
-    columns = []
-    for name in languages:
-        own = counts[counts["_l"] == name].sort_values("_w")
-        columns.append(learn(vocabulary, dict(zip(own["_w"], own["count"].astype(float)))))
-    return Model(languages, vocabulary, np.stack(columns, axis=1))
+    if len(sizes) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    share = docs.sparkSession.createDataFrame([(r["_l"], min(1.0, most / max(r["_b"], 1))) for r in sizes], "_l string, _share double")
+    chosen = rows.join(F.broadcast(share), "_l").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.col("_share") * float(1 << 30))  # LABELS rows at most
+    counts = chosen.select("_l", "_t").mapInArrow(word_counts, "_l string, _w string, _n long").groupBy("_l", "_w").agg(F.sum("_n").alias("_n"))
+    counts = store.written(counts, "words")
+    vocabulary, languages, columns = None, [], []
+    for name in sorted(r["_l"] for r in sizes):  # the words of some `most` bytes at a time
+        own = counts.where(F.col("_l") == name).select("_w", "_n").toPandas().sort_values("_w")
+        if len(own):
+            vocabulary = vocabulary or Vocabulary(pieces_of(path))
+            languages.append(name)
+            columns.append(learn(vocabulary, dict(zip(own["_w"], own["_n"].astype(float)))))
+    return Model(languages, vocabulary, np.stack(columns, axis=1)) if languages else Model([])
+
+
+def word_counts(batches):
+    for batch in batches:
+        found: Counter[tuple[str, str]] = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found.update((lang, w) for w in tokens(text))
+        yield pa.RecordBatch.from_pydict({"_l": [k[0] for k in found], "_w": [k[1] for k in found], "_n": list(found.values())}, pa.schema([("_l", pa.string()), ("_w", pa.string()), ("_n", pa.int64())]))
 
 
 @store.keeps_columns

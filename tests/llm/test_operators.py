@@ -77,6 +77,54 @@ def test_forward_sums_all_segmentations():
     assert model.predict(["ab", None, "", "77"])[0] == ["x", "und", "und", "und"]
 
 
+def test_long_words_are_summed_whole():
+    import numpy as np
+
+    pieces = ["a", "b", "ab", "ba", "aba", "abababababababab" * 2, langid.MARK]
+    v = langid.Vocabulary(pieces)
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.ones(len(pieces) + 1), 2).T
+    p = np.vstack([p, np.zeros((1, 2))])
+
+    def total(word, k):
+        log = [0.0]
+        for e in range(1, len(word) + 1):
+            terms = [log[e - n] + math.log(p[v_, k]) for n in range(1, min(e, 32) + 1) for v_ in [pieces.index(word[e - n : e]) if word[e - n : e] in pieces else len(pieces) if n == 1 else -1] if v_ >= 0]
+            top = max(terms)
+            log.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        return log[-1]
+
+    words_ = ["ab" * 20, "ab" * 400 + "z", "ab" * 33 + "a", "x" * 40, "a" * 5_000, "ab", "b" * 23, "b" * 24]
+    for cells in (8, 200, 1 << 18):  # also with lots and steps that end within words
+        model = langid.Model(["x", "y"], v, p)
+        old, langid.CELLS = langid.CELLS, cells
+        try:
+            got = model.likelihoods(words_)
+        finally:
+            langid.CELLS = old
+        for w, row in zip(words_, got):
+            assert row == pytest.approx([total(langid.MARK + w, k) for k in range(2)], rel=1e-9)
+    # expected piece counts by forward and backward sums, against differences of the logarithm
+    strings = [langid.MARK + "abba" * 10, langid.MARK + "babz" * 10]
+    weight = np.array([1.0, 2.5])
+    q = p[:, 0].copy()
+    expected = langid.expected_long(v.lattice(langid.code_points(strings, 41)), q, weight)
+    for k in range(len(pieces) + 1):
+        up = q.copy()
+        up[k] *= 1 + 1e-6
+        change = sum(w * (langid.log_sums(v, [x], up[:, None]) - langid.log_sums(v, [x], q[:, None]))[0, 0] for w, x in zip(weight, strings)) / 1e-6
+        assert expected[k] == pytest.approx(change, abs=1e-3)
+
+
+def test_white_space_of_any_script_ends_words_in_learning_too(spark):
+    rows = [(k, f"uno\u00a0dos\u3000tres x{k}" if k % 2 else f"one\u00a0two\u2003three y{k}", "es" if k % 2 else "en") for k in range(60)]
+    model = langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "es"] and model.predict(["dos tres", "two\u3000three"])[0] == ["es", "en"]
+    many = spark.range(5 * langid.LABELS).selectExpr("id AS doc_id", "'word' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="labels"):
+        langid.fitted(many)
+
+
 def test_learning_raises_the_likelihood():
     import numpy as np
 
