@@ -17,8 +17,9 @@ The count table is partitioned by the hash of the n-gram. Documents are dealt by
 chunk's distinct n-grams of all orders are packed, sorted, into a row for each partition of the count table; a
 partition adds up what all chunks hold and answers each chunk with the totals in the chunk's order; the chunk joins the
 answers to its n-grams and sums up per document. What is shuffled are the texts once (compressed) and some 6 bytes for each distinct
-n-gram of a chunk. Both numbers of groups grow with the corpus, so that a group's size doesn't; an n-gram that is
-everywhere is one entry a chunk.
+n-gram of a chunk. Both numbers of groups grow with the corpus, so that a group's size doesn't, nor does a task's; an
+n-gram that is everywhere is one entry a chunk. The rows between chunks and partitions are never more than the n-grams
+that chunks hold: where there are so many of both that a row holds one n-gram, this is the plain join, at its cost.
 """
 
 from __future__ import annotations
@@ -226,6 +227,8 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, floor:
     groups = max(1, -(-int(sums["b"] or 0) // chunk_bytes), sums["n"] // 20_000)
     chunk = F.pmod(F.xxhash64(F.col(ident), F.col(text)), F.lit(groups)).cast("int")
     dealt = docs.select(chunk.alias("_chunk"), F.col(ident).cast("long").alias("_id"), F.arrow_udf(squeezed, "binary")(F.col(text)).alias("_text"))
-    asked = dealt.groupBy("_chunk").applyInArrow(ask(order, groups), PACKED_DDL)
+    # twice as many partitions as groups, so that few share a task however large the corpus is
+    dealt = dealt.repartition(2 * groups, "_chunk")
+    asked = dealt.groupBy("_chunk").applyInArrow(ask(order, groups), PACKED_DDL).repartition(2 * groups, "_bucket")
     answered = asked.groupBy("_bucket").applyInArrow(answer, PACKED_DDL).toDF("_chunk2", "_bucket", "_hashes", "_small", "_large")
-    return dealt.groupBy("_chunk").cogroup(answered.groupBy("_chunk2")).applyInArrow(score(order, groups, n_total, backoff, floor), SCORED_DDL)
+    return dealt.groupBy("_chunk").cogroup(answered.repartition(2 * groups, "_chunk2").groupBy("_chunk2")).applyInArrow(score(order, groups, n_total, backoff, floor), SCORED_DDL)
