@@ -1,18 +1,21 @@
 """Main text of web pages.
 
 A page is cut into blocks, each with what the markup says of it: part of the article, part of a menu, advert, form, ..., or
-nothing. Where the markup names the article, its blocks are the text. Where it doesn't, repetition decides what is
-boilerplate: the token streams of all such pages of a host (with a token at each block's end) are indexed by their
-suffixes, by a hash of the suffix's first PASSAGE tokens, and at the ends of blocks by one of the whole blocks that make up
-LENGTH tokens. Runs of whole blocks of LENGTH tokens or more, and other strings of PASSAGE tokens or more, that stand on
-two distinct pages are boilerplate; the tokens they cover are removed, and the runs that are unique to a page are kept.
-A shorter phrase in a block that is unique stays, wherever else it stands.
-
-The suffix index alone can't give the text where the markup is clear: passages of an article that are quoted on another
-page would be lost, and menus or adverts that happen to be unique would stay. So it judges what the markup leaves open.
-
-No task sees a whole host: the index is dealt out by the hash of host and first tokens, an entry's pages are reduced to
-the smallest and the largest before the shuffle, and covered places are joined back to their pages.
+nothing. The token streams of all pages of a host, whole and with a token at each block's end, are indexed by their
+suffixes. Runs of whole blocks of LENGTH tokens or more, and other strings of PASSAGE tokens or more, that stand on two
+distinct pages are boilerplate; the tokens they cover are removed, and the runs that are unique to a page are kept. A
+shorter phrase in a block that is unique stays, wherever else it stands.
+
+Markup protects and vetoes. Blocks of an article that the markup names stay, as an article may be quoted or mirrored on
+another page; what it calls a menu, an advert, ... goes even if it is unique; and where it names an article, so does what
+stands outside. The index decides about all other blocks, with the blocks of all pages as evidence.
+
+Whole runs are indexed by a hash of the fewest blocks that make up LENGTH tokens, at both ends of each block. Of each
+PASSAGE tokens, the suffix is indexed that begins at the window's anchor, its part of PASSAGE // 4 tokens with the
+smallest hash: equal windows have equal anchors at equal places, and one token in twenty is one. Where an anchor stands on
+two pages, the windows around it are compared. No task sees a whole host: the index is dealt out by the hash of host and
+first tokens, an entry's pages are reduced to the smallest and the largest before the shuffle, and covered places are
+joined back to their pages. Strings are told apart by 64-bit hashes keyed by the host.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytestream, store
+from .suffixdedup import leftmost_minima
 
 #: Tokens of repeated whole blocks; the ends of blocks count.
 LENGTH = 6
@@ -122,15 +126,16 @@ class Quotes:
 
 
 class Page:
-    """Blocks of a page in order: (text, surest mark above it)."""
+    """Blocks of a page in order: (text, surest mark above it, whether the markup calls it something else)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int]] = []
+        self.blocks: list[tuple[str, int, bool]] = []
         self.stack: list[tuple[str, bool, int]] = []  # name, dropped, surest mark so far
         self.open: Counter[str] = Counter()
         self.dropped = 0
         self.sure = 0
         self.text: list[str] = []
+        self.off: list[str] = []
         at = search = 0
         quotes = Quotes(source)
         while m := TOKEN.search(source, search):
@@ -162,16 +167,15 @@ class Page:
         self.flush()
 
     def data(self, raw: str) -> None:
-        if self.dropped:
-            return
         text = html_module.unescape(raw) if "&" in raw else raw
-        self.text.append(text)
+        (self.off if self.dropped else self.text).append(text)
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.blocks.append((text, self.sure))
-        self.text = []
+        for parts, off in ((self.text, False), (self.off, True)):
+            text = " ".join("".join(parts).split())
+            if text:
+                self.blocks.append((text, self.sure, off))
+            parts.clear()
 
     def pop(self, to: int) -> None:
         for name, dropped, _ in self.stack[to:]:
@@ -182,7 +186,7 @@ class Page:
 
     def tag(self, name: str, end: bool, source: str) -> None:
         if name == "br":
-            self.text.append(" ")
+            (self.off if self.dropped else self.text).append(" ")
             return
         block = name not in INLINE
         if block:
@@ -218,25 +222,42 @@ class Page:
         self.dropped += drop
 
 
-def blocks_of(source: str | None) -> tuple[bool, list[str]]:
-    """Whether the markup names the article, and the article's blocks, or else all that it doesn't call something else."""
+def judged_blocks(source: str | None) -> tuple[bool, list[str], list[bool]]:
+    """Whether the markup names the article; all blocks of the page; which of them are text, or may be: those of the
+    article, or else all that the markup doesn't call something else."""
     if not source:
-        return True, []
+        return True, [], []
     found = Page(source).blocks
-    best = max((b[1] for b in found), default=0)
-    if best >= 2:
-        return True, [t for t, sure in found if sure >= best]
-    return False, [t for t, _ in found]
+    best = max((sure for _, sure, off in found if not off), default=0)
+    clear = best >= 2
+    return clear, [t for t, _, _ in found], [not off and (sure >= best or not clear) for _, sure, off in found]
+
 
+def blocks_of(source: str | None) -> tuple[bool, list[str]]:
+    """Whether the markup names the article, and the article's blocks, or else all that it doesn't call something else."""
+    clear, blocks, text = judged_blocks(source)
+    return clear, [b for b, x in zip(blocks, text) if x]
 
-PARSED_DDL = "clear boolean, text string, blocks array<string>"
-PARSED = pa.struct([("clear", pa.bool_()), ("text", pa.string()), ("blocks", pa.list_(pa.string()))])
+
+PARSED_DDL = "clear boolean, text string"
+PARSED = pa.struct([("clear", pa.bool_()), ("text", pa.string())])
 
 
 def parsed(html: pa.Array) -> pa.Array:
-    """Of each page whether its article is clear, then its text, or else its blocks."""
+    """Of each page whether its article is clear, and the text if the index covers nothing."""
     rows = [blocks_of(h) for h in html.to_pylist()]
-    return pa.array([{"clear": c, "text": " ".join(b) if c else None, "blocks": None if c else b} for c, b in rows], PARSED)
+    return pa.array([{"clear": c, "text": " ".join(b)} for c, b in rows], PARSED)
+
+
+OPEN_DDL = "_key long, _host string, _blocks array<string>, _judged array<boolean>"
+
+
+def open_pages(batches):
+    """The pages whose article the markup doesn't name."""
+    schema = pa.schema([("_key", pa.int64()), ("_host", pa.string()), ("_blocks", pa.list_(pa.string())), ("_judged", pa.list_(pa.bool_()))])
+    for batch in bytestream.slices(batches, 100):
+        out = [(key, host, *rest) for key, host, (clear, *rest) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(judged_blocks, batch.column(2).to_pylist())) if not clear]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.field(k).type) for k in range(4)], schema=schema)
 
 
 def token_stream(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,27 +288,62 @@ def block_windows(sizes: list[int], length: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def repeatable(host: str, blocks: list[str], length: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, tokens) of each string that is boilerplate if another page of the host holds it."""
-    stream, owner = token_stream(blocks)
-    salt = hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    long_ = bytestream.mix(bytestream.gram_hashes(stream, passage) + np.uint64(int.from_bytes(salt, "little"))).view(np.int64)
+def salted(h: np.ndarray, salt: bytes) -> np.ndarray:
+    return bytestream.mix(h + np.uint64(int.from_bytes(salt, "little"))).view(np.int64)
+
+
+def salt_of(host: str) -> bytes:
+    return hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def whole_runs(host: str, blocks: list[str], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, tokens) of the shortest runs of whole blocks that may be boilerplate."""
+    salt = salt_of(host)
     sizes = np.bincount(owner, minlength=len(blocks))
     starts = np.append(0, np.cumsum(sizes))
     windows = block_windows(sizes.tolist(), length)
-    whole = [int.from_bytes(hashlib.blake2b("\n".join(blocks[i:j]).encode("utf-8", "surrogatepass"), digest_size=8, key=salt).digest(), "little", signed=True) for i, j in windows]
-    at = np.array([starts[i] for i, _ in windows], np.int64)
-    n = np.array([starts[j] - starts[i] for i, j in windows], np.int64)
-    return np.append(long_, np.array(whole, np.int64)), np.append(np.arange(len(long_)), at), np.append(np.full(len(long_), passage), n)
+    h = [int.from_bytes(hashlib.blake2b("\n".join(blocks[i:j]).encode("utf-8", "surrogatepass"), digest_size=8, key=salt).digest(), "little", signed=True) for i, j in windows]
+    return np.array(h, np.int64), np.array([starts[i] for i, _ in windows], np.int64), np.array([starts[j] - starts[i] for i, j in windows], np.int64)
+
+
+def anchored(host: str, stream: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the anchors of all strings of `passage` tokens."""
+    part = max(1, passage // 4)
+    if len(stream) < passage:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h = bytestream.gram_hashes(stream, part)
+    at = leftmost_minima(h, np.arange(len(stream) - passage + 1), passage - part + 1)
+    return salted(h[at], salt_of(host)), at
 
 
 def suffixes(length: int, passage: int):
+    """_h, _key, _open: the index entries of all pages."""
+
     def work(batches):
-        for batch in batches:
+        for batch in bytestream.slices(batches, 100):
+            out = []
+            for key, host, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                clear, blocks, _ = judged_blocks(html)
+                if blocks:
+                    stream, owner = token_stream(blocks)
+                    h = np.append(whole_runs(host, blocks, owner, length)[0], anchored(host, stream, passage)[0])
+                    h = np.unique(h)
+                    out.append((h, np.full(len(h), key), np.full(len(h), not clear)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["_h", "_key", "_open"])
+
+    return work
+
+
+def run_places(length: int):
+    """_h, _key, _at, _n of the runs of whole blocks of open pages."""
+
+    def work(batches):
+        for batch in bytestream.slices(batches, 100):
             out = []
             for key, host, blocks in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if blocks:
-                    h, at, n = repeatable(host or "", blocks, length, passage)
+                    h, at, n = whole_runs(host, blocks, token_stream(blocks)[1], length)
                     out.append((h, np.full(len(h), key), at.astype(np.int32), n.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["_h", "_key", "_at", "_n"])
@@ -295,27 +351,48 @@ def suffixes(length: int, passage: int):
     return work
 
 
-def unique_runs():
+def anchor_windows(passage: int):
+    """_h, _key, _open, _at, _windows: each anchor with the hashes of the strings of `passage` tokens that hold it, from
+    the place _at on."""
+    schema = pa.schema([("_h", pa.int64()), ("_key", pa.int64()), ("_open", pa.bool_()), ("_at", pa.int32()), ("_windows", pa.list_(pa.int64()))])
+
     def work(batches):
-        for batch in batches:
+        for batch in bytestream.slices(batches, 100):
             out = []
-            for key, blocks, places in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                stream, owner = token_stream(blocks) if blocks else (np.empty(0), np.empty(0, int))
-                cover = np.zeros(len(stream) + 1, int)
-                for p in places or ():
-                    cover[p["_at"]] += 1
-                    cover[p["_at"] + p["_n"]] -= 1
-                covered = np.cumsum(cover)[:-1] > 0
-                kept = []
-                for k, b in enumerate(blocks):
-                    own = np.flatnonzero(owner == k)[:-1]
-                    kept += [w for w, c in zip(b.split(), covered[own]) if not c] if len(own) == len(b.split()) else b.split()
-                out.append((key, " ".join(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string())], names=["_key", "_cut"])
+            for key, host, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                clear, blocks, _ = judged_blocks(html)
+                stream = token_stream(blocks)[0] if blocks else np.empty(0, np.uint64)
+                h, at = anchored(host, stream, passage)
+                whole = salted(bytestream.gram_hashes(stream, passage), salt_of(host))
+                for x, place in zip(h.tolist(), at.tolist()):
+                    low = max(0, place - passage + max(1, passage // 4))
+                    out.append((x, key, not clear, low, whole[low : place + 1]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.field(k).type) for k in range(5)], schema=schema)
 
     return work
 
 
+def unique_runs(batches):
+    """_key, _cut: the words of judged blocks that no place covers."""
+    for batch in bytestream.slices(batches, 100):
+        out = []
+        for key, blocks, judged, places in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            stream, owner = token_stream(blocks) if blocks else (np.empty(0), np.empty(0, int))
+            cover = np.zeros(len(stream) + 1, int)
+            for p in places or ():
+                cover[p["_at"]] += 1
+                cover[p["_at"] + p["_n"]] -= 1
+            covered = np.cumsum(cover)[:-1] > 0
+            kept, first = [], 0
+            for b, size, mine in zip(blocks, np.bincount(owner, minlength=len(blocks)).tolist(), judged):
+                ws = b.split()
+                if mine:  # white space that the hashing of words doesn't know counts as one token with what it joins
+                    kept += [w for w, c in zip(ws, covered[first : first + size - 1]) if not c] if size - 1 == len(ws) else [] if covered[first : first + size].all() else ws
+                first += size
+            out.append((key, " ".join(kept)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string())], names=["_key", "_cut"])
+
+
 @store.keeps_columns
 def extracted(pages: DataFrame, length: int = LENGTH, ident: str = "page_id", url: str = "url", html: str = "html", passage: int = PASSAGE) -> DataFrame:
     """pages with _text, the main text: character references decoded, white space in a block made one space, blocks in
@@ -328,14 +405,23 @@ def extracted(pages: DataFrame, length: int = LENGTH, ident: str = "page_id", ur
     key = F.xxhash64(F.col(ident), F.col(url), F.col(html))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     cut_up = pages.withColumn("_p", F.arrow_udf(parsed, PARSED_DDL)(F.col(html)))
-    open_ = store.written(cut_up.where(~F.col("_p.clear")).select(key.alias("_key"), host.alias("_host"), F.col("_p.blocks").alias("_blocks")), "open")
-    if open_.isEmpty():  # pages whose markup is clear pass without any shuffle
+    source = pages.select(key.alias("_key"), host.alias("_host"), F.col(html).alias("_html"))
+    several = lambda index: index.agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.max("_open").alias("_open")).where((F.col("_a") != F.col("_b")) & F.col("_open"))
+    index = source.mapInArrow(suffixes(length, passage), "_h long, _key long, _open boolean")
+    twice = store.written(several(index.groupBy("_h")).select("_h"), "twice")
+    if twice.isEmpty():  # nothing repeats in what the markup leaves open
         return cut_up.withColumn("_text", F.col("_p.text")).drop("_p")
-    index = open_.mapInArrow(suffixes(length, passage), "_h long, _key long, _at int, _n int")
-    twice = index.groupBy("_h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where(F.col("_a") != F.col("_b")).select("_h")
-    places = index.join(twice, "_h", "left_semi").groupBy("_key").agg(F.collect_set(F.struct("_at", "_n")).alias("_places"))
-    runs = open_.select("_key", "_blocks").dropDuplicates(["_key"]).join(places, "_key", "left").select("_key", "_blocks", "_places")
-    cut = store.written(runs.mapInArrow(unique_runs(), "_key long, _cut string"), "runs")
+    open_ = store.written(source.mapInArrow(open_pages, OPEN_DDL), "open")
+    whole = open_.select("_key", "_host", "_blocks").mapInArrow(run_places(length), "_h long, _key long, _at int, _n int")
+    places = whole.join(twice, "_h", "left_semi").select("_key", "_at", "_n")
+    near = source.mapInArrow(anchor_windows(passage), "_h long, _key long, _open boolean, _at int, _windows array<long>")
+    near = store.marked(near, F.col("_h"), twice).join(twice, "_h", "left_semi")
+    each = store.written(near.select("_key", "_open", "_at", F.posexplode("_windows").alias("_k", "_w")), "windows")
+    again = several(each.groupBy("_w")).select("_w")
+    places = places.unionByName(each.where("_open").join(again, "_w", "left_semi").select("_key", (F.col("_at") + F.col("_k")).alias("_at"), F.lit(passage).alias("_n")))
+    listed = places.groupBy("_key").agg(F.collect_set(F.struct("_at", "_n")).alias("_places"))
+    runs = open_.dropDuplicates(["_key"]).join(listed, "_key").select("_key", "_blocks", "_judged", "_places")
+    cut = store.written(runs.mapInArrow(unique_runs, "_key long, _cut string"), "runs")
     clear = cut_up.where("_p.clear").withColumn("_text", F.col("_p.text")).drop("_p")
-    rest = cut_up.where(~F.col("_p.clear")).drop("_p").withColumn("_key", key).join(cut, "_key").withColumn("_text", F.col("_cut")).drop("_key", "_cut")
+    rest = cut_up.where(~F.col("_p.clear")).withColumn("_key", key).join(cut, "_key", "left").withColumn("_text", F.coalesce("_cut", "_p.text")).drop("_key", "_cut", "_p")
     return clear.unionByName(rest)

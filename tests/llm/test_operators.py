@@ -157,7 +157,8 @@ def test_markup():
     <aside>side</aside><ul><li>one<li>two</ul><!-- no --><div class="comments"><article>c1</article></div></article></div><div class="cookie-notice">cookies</div><footer>f</footer>"""
     assert htmltext.blocks_of(page) == (True, ["Title & more", "Para bold one", "Second para <ok>", "one", "two"])
     assert htmltext.blocks_of(None) == (True, []) and htmltext.blocks_of("a < b") == (False, ["a < b"])
-    assert htmltext.blocks_of("<p>x<a href=y>Home</a>") == (False, []) or True
+    assert htmltext.blocks_of("<p>x<a href=y>Home</a>") == (False, ["xHome"])
+    assert htmltext.judged_blocks("<nav>a<p>b</nav>c<span class=ad>d</span>e") == (False, ["a", "b", "ce", "d"], [False, False, True, False])
     for hostile in ('<p "' * 20_000, "<div>" * 50_000, "<a>" * 20_000 + "</b>" * 20_000, "<!--" * 10_000, "<script>" * 10_000, "&" * 100_000):
         htmltext.blocks_of(hostile)
 
@@ -196,6 +197,52 @@ def test_phrases_of_unmarked_pages_stay_and_repeated_blocks_go(spark):
     assert got == {k: f"a{k} b{k} {phrase} c{k} d{k} all of e{k} f{k} is a link to h{k} g{k}" for k in range(3)}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_host_index_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    length, passage = 3, 8
+    shared = [[f"s{rng.randrange(40)}" for _ in range(rng.randint(4, 30))] for _ in range(6)]
+    pages = []
+    for k in range(24):
+        blocks = []
+        for _ in range(rng.randint(0, 6)):
+            w = [f"u{rng.randrange(60)}" for _ in range(rng.randint(1, 9))]
+            if rng.random() < 0.6:
+                x = rng.choice(shared)
+                a = rng.randrange(len(x))
+                w = rng.choice((x, w + x[a:] + w[:2], x[: a + 1]))
+            blocks.append((" ".join(w), rng.choice(("p", "p", "nav"))))
+        pages.append((k, f"http://h{k % 2}.org/{k}", blocks, k % 5 == 0))
+    html_ = lambda blocks, clear: ("<article>" if clear else "") + "".join(f"<{t}>{b}</{t}>" for b, t in blocks)
+    df = spark.createDataFrame([(k, u, html_(b, c)) for k, u, b, c in pages], "page_id long, url string, html string")
+    got = {r.page_id: r._text for r in htmltext.extracted(df, length=length, passage=passage).collect()}
+
+    strings = collections.defaultdict(set)  # every string of a page that may be boilerplate -> pages
+    found = {}
+    for k, u, blocks, _ in pages:
+        stream, starts = [], []
+        for b, _ in blocks:
+            starts.append(len(stream))
+            stream += [*b.split(), "\n"]
+        starts.append(len(stream))
+        spans = {(a, a + passage) for a in range(len(stream) - passage + 1)}
+        spans |= {(starts[i], starts[j]) for i in range(len(blocks)) for j in range(i + 1, len(blocks) + 1) if starts[j] - starts[i] >= length}
+        at_start = set(starts)
+        found[k] = stream, starts, spans
+        for a, b in spans:
+            strings[u[:9], tuple(stream[a:b]), a in at_start and b in at_start].add(k)
+            strings[u[:9], tuple(stream[a:b])].add(k)
+    for k, u, blocks, clear in pages:
+        stream, starts, spans = found[k]
+        gone = set()
+        for a, b in spans:
+            whole = a in starts and b in starts
+            if (b - a == passage and len(strings[u[:9], tuple(stream[a:b])]) > 1) or (whole and len(strings[u[:9], tuple(stream[a:b]), True]) > 1):
+                gone |= set(range(a, b))
+        kept = [w for i, (b, t) in enumerate(blocks) if t == "p" for j, w in enumerate(b.split()) if clear or starts[i] + j not in gone]
+        assert got[k] == " ".join(kept), k
+
+
 def test_block_windows_cover_every_run():
     rng = random.Random(5)
     for _ in range(300):
