@@ -44,17 +44,21 @@ def cg(a: DataFrame, b: DataFrame, x0: DataFrame | None = None, atol: float = 0.
 
     try:
         b_norm = sqrt(squared("a", b))
-        state = begin(x)
+        state = table = begin(x)
         rr = squared("r", state)
         first = sqrt(rr)
         done = lambda rr: sqrt(rr) <= rtol * b_norm or sqrt(rr) <= atol
         count = 0
         while not done(rr) and count < max_iterations:
             if restart and count and count % restart == 0:
-                state = begin(state.select("i", F.col("x").alias("a")))
+                before, state = table, begin(state.select("i", F.col("x").alias("a")))
+                table = state
+                storage.drop(before)
                 rr = squared("r", state)
             t = prepared.gemv(state.select("i", F.col("p").alias("a"))).toDF("i", "t")
-            state = storage.written(state.join(t, "i", "left").withColumn("t", F.coalesce("t", F.lit(0.0))), "cg")
+            before, state = table, storage.written(state.join(t, "i", "left").withColumn("t", F.coalesce("t", F.lit(0.0))), "cg")
+            table = state
+            storage.drop(before)
             pt = state.agg(F.sum(F.col("p") * F.col("t"))).first()[0]
             if not pt:
                 break

@@ -7,7 +7,6 @@ doesn't matter.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -330,7 +329,7 @@ def _spy(t: Tables) -> DataFrame:
 
 
 def round_trip(t: Tables, m: Meta, data: DataFrame, **options) -> tuple[Meta, DataFrame]:
-    path = f"{storage.shared_dir(t.spark).rstrip('/')}/coordtab/{t.spark.sparkContext.applicationId}/mtx-{uuid.uuid4().hex}"
+    path = storage.new_path(t.spark, "mtx")
     mtx.write(m, data, path, **options)
     return mtx.read(t.spark, path)
 
@@ -342,7 +341,7 @@ query("mtx_vector", "SELECT i AS k, a FROM y")(lambda t: round_trip(t, Meta(t.n_
 
 @query("mtx_info", "SELECT 'matrix' AS object, 'coordinate' AS format, 'integer' AS field, 'general' AS symmetry, 100::BIGINT AS rows, 7::BIGINT AS columns, count(*) AS nonzeros FROM orders")
 def _info(t: Tables) -> DataFrame:
-    path = f"{storage.shared_dir(t.spark).rstrip('/')}/coordtab/{t.spark.sparkContext.applicationId}/mtx-info"
+    path = storage.new_path(t.spark, "mtx")
     mtx.write(Meta(100, 7, t.n_orders, field=Field.INTEGER), t.e, path)
     return mtx.info(t.spark, path).drop("comments")
 

@@ -2,24 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_cleaned: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (one machine), a new one."""
+    """The folder of spark.checkpoint.dir; where that is unset, a new one, on a session of one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="coordtab-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    found = "file://" + tempfile.mkdtemp(prefix="coordtab-")
+    spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for one table; what stands of all tables of an application goes when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/coordtab/{spark.sparkContext.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        atexit.register(remove, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder; at exit the session may be gone already, then the files stay."""
+    jvm = spark.sparkContext._jvm
+    if spark.sparkContext._jsc is None or jvm is None:
+        return
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  a closed gateway raises whatever socket error it meets
+        return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and kept as Parquet: a lost executor costs no recomputation of what stands above."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/coordtab/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """Cuts lineage: writes df once as Parquet into the shared folder and reads it back. A lost executor costs no
+    recomputation of what stands above, and all users of the result read the same rows."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that written() gave, once nothing will read them any more."""
+    for t in tables:
+        path = None if t is None else vars(t).pop("_stored", None)
+        if path:
+            remove(t.sparkSession, path)
