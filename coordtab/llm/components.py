@@ -35,4 +35,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if tuple(sums) == mark:
             return now.select(F.col("u").alias("_id"), F.col("v").alias("_component"))
         mark = tuple(sums)
-        now = store.written(small_star(large_star(now)), "edges")
+        before, now = now, store.written(small_star(large_star(now)), "edges")
+        store.drop(before)

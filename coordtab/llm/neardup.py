@@ -155,6 +155,7 @@ class Search:
         sets = store.written(near.mapInArrow(packed(self.n), "_id long, _set binary"), "sets")
         joined = likely.join(sets.toDF("_b", "_set_b"), "_b").join(sets.toDF("_a", "_set_a"), "_a").select("_a", "_b", "_set_a", "_set_b")
         found = store.written(joined.mapInArrow(confirm(self.num, self.den), PAIR_DDL), "links")
+        store.drop(likely, ids, sets)
         self.links = found if self.links is None else self.links.unionByName(found)
         return found
 

@@ -1,8 +1,7 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables (those of the library), the package on the executors, and marks before joins."""
 
 from __future__ import annotations
 
-import atexit
 import functools
 import tempfile
 import uuid
@@ -12,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, new_path, remove, shared_dir, written
+
+__all__ = ["drop", "keeps_columns", "marked", "new_path", "remove", "shared_dir", "ship", "written"]
+
 PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
@@ -29,41 +32,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="coordtab-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/coordtab/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table of this module; at exit the session may be gone already, then the files stay."""
-    jvm = spark.sparkContext._jvm
-    if spark.sparkContext._jsc is None or jvm is None:
-        return
-    try:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  a closed gateway raises whatever socket error it meets
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df once as Parquet into the shared folder and reads it back. A lost executor costs no
-    recomputation of what stands above, and all users of the result read the same rows."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Keys are marked in so many bits (8 MB), which are broadcast. With more keys than bits, some rows pass in vain.
 BITS = 1 << 26
 
