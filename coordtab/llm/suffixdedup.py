@@ -11,10 +11,11 @@ this anchor can cover), and where it stands. Entries are ordered by fingerprint,
 find equals. New batches of documents get their sorted runs, which are merge-scanned against all existing levels for
 suffixes that begin alike; then runs of equal size are merged, so that n batches leave about log2(n) levels.
 
-Entries with a hit are judged exactly. Where the whole surroundings occur twice, all of them are covered. Where an entry's
+Entries with a hit are judged on all bytes. Where the whole surroundings occur twice, all of them are covered. Where an entry's
 surroundings are unique but its beginning isn't (the ends of a repeated passage), the surroundings are fetched, and the
 hashes of all their windows are compared within the group of entries that begin alike; a group of more than HOT different
-surroundings is compared by a shuffle of its window hashes instead of in one task.
+surroundings is compared by a shuffle of its window hashes instead of in one task. Strings count as equal if two 64-bit
+hashes agree, one of their beginning and one of the whole.
 """
 
 from __future__ import annotations
@@ -36,9 +37,18 @@ HOT = 4_000
 ENTRY = "_h long, _c long, _key long, _pos long, _l int, _r int"
 
 
-def row_key(ident: str, text: str) -> Column:
-    """Tells rows apart; rows that are equal in id and text share it, and the same is removed from them."""
-    return F.xxhash64(F.col(ident), F.col(text))
+def row_key(docs: DataFrame, ident: str, text: str) -> Column:
+    """Tells rows apart; rows that are equal in id and text share it, and the same is removed from them. The hashes are
+    compared with longer ones of all rows first: where rows that differ share one, they are hashed anew."""
+    key, tried = F.xxhash64(F.col(ident), F.col(text)), 0
+    while True:
+        other = F.md5(F.concat_ws("|", F.col(ident).cast("string"), F.lit(""), F.isnull(ident).cast("string"), F.isnull(text).cast("string"), F.col(text)).cast("binary"))
+        each = docs.select(key.alias("_k"), other.alias("_o")).groupBy("_k").agg(F.min("_o").alias("_a"), F.max("_o").alias("_b"))
+        shared = [r["_k"] for r in each.where(F.col("_a") != F.col("_b")).select("_k").collect()]  # n**2 / 2**65 of n rows
+        if not shared:
+            return key
+        tried += 1
+        key = F.when(key.isin(shared), F.xxhash64(F.lit(tried), F.col(ident), F.col(text))).otherwise(key)
 
 
 def leftmost_minima(h: np.ndarray, valid: np.ndarray, span: int) -> np.ndarray:
@@ -305,6 +315,9 @@ def spans_of(rows: DataFrame, width: int, key: int, batches: int, hot: int) -> D
     for k in range(batches):
         family.add(stored.where(F.col("_batch") == k).drop("_batch"))
     found = store.written(family.repeated(), "repeated")
+    for _, _, level in family.levels:
+        store.remove(spark, level)
+    store.remove(spark, path)
 
     wholes = found.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_key", "_pos", "_l", "_r")).alias("_e"))
     groups = wholes.groupBy("_h").agg(F.count(F.lit(1)).alias("_k"), F.min("_n").alias("_least"))
@@ -338,12 +351,13 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, key: int = KEY, batches: i
     places, so nothing of them is kept if they are long enough; null ids are ids like others. Strings are judged on the
     input. Cuts may fall within a character: _kept is binary. An empty table stays empty; other columns pass through."""
     t = words.no_null(F.col(text))
-    rows = docs.select(row_key(ident, text).alias("_key"), t.alias("_text"))
+    key_of = row_key(docs, ident, text)
+    rows = docs.select(key_of.alias("_key"), t.alias("_text"))
     spans = store.written(spans_of(rows, width, key, batches, hot), "spans")
     listed = store.written(spans.groupBy("_key").agg(F.collect_set(F.struct("_a", "_b")).alias("_spans")), "listed")
     texts = store.marked(rows, F.col("_key"), listed.select("_key")).join(listed, "_key").dropDuplicates(["_key"])
     cut = texts.select("_key", "_text", "_spans").mapInArrow(removed, "_key long, _removed long, _runs long, _sha_left string, _left binary")
-    base = docs.withColumn("_key", row_key(ident, text)).withColumn("_n_bytes", F.octet_length(t).cast("long")).withColumn("_sha_all", F.sha2(t.cast("binary"), 256))
+    base = docs.withColumn("_key", key_of).withColumn("_n_bytes", F.octet_length(t).cast("long")).withColumn("_sha_all", F.sha2(t.cast("binary"), 256))
     return (
         base.join(cut, "_key", "left")
         .withColumns({"_n_removed": F.coalesce("_removed", F.lit(0).cast("long")), "_n_spans": F.coalesce("_runs", F.lit(0).cast("long")), "_sha": F.coalesce("_sha_left", "_sha_all"), "_kept": F.col("_left")})
