@@ -33,18 +33,50 @@ def degrees(edges: DataFrame, n: int) -> DataFrame:
     return edges.sparkSession.range(1, n + 1).select(F.col("id").alias("v")).join(counts.withColumnRenamed("src", "v"), "v", "left").select("v", F.coalesce("_d", F.lit(0).cast("long")).alias("degree"))
 
 
+class Fronts:
+    """Levels of a search, each a table. Neighbours of one level stand on it or next to it, so a new level is held against
+    the last two only; older ones are put together now and then."""
+
+    def __init__(self, first: DataFrame):
+        self.old: DataFrame | None = None
+        self.new = [first]
+
+    @property
+    def last(self) -> DataFrame:
+        return self.new[-1]
+
+    def recent(self) -> DataFrame:
+        return self.last.select("v") if len(self.new) == 1 else self.new[-2].select("v").unionByName(self.last.select("v"))
+
+    def add(self, front: DataFrame) -> None:
+        self.new.append(front)
+        if len(self.new) == 32:
+            gone = ([self.old] if self.old is not None else []) + self.new[:-2]
+            self.old = storage.written(united(gone), "seen")
+            storage.drop(*gone)
+            del self.new[:-2]
+
+    def all(self) -> DataFrame:
+        return united(([self.old] if self.old is not None else []) + self.new)
+
+
+def united(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def levels(edges: DataFrame, root: int) -> DataFrame:
-    """(v, level) of all vertices that can be reached from root."""
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(root, 0)], "v long, level int")
-    front, depth = seen, 0
+    """(v, level): the breadth-first levels of all vertices that root reaches."""
+    found, depth = Fronts(edges.sparkSession.createDataFrame([(root, 0)], "v long, level int")), 0
     while True:
         depth += 1
-        ahead = front.join(edges, F.col("v") == F.col("src")).select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti")
+        ahead = found.last.join(edges, F.col("v") == F.col("src")).select(F.col("dst").alias("v")).distinct().join(found.recent(), "v", "left_anti")
         front = storage.written(ahead.withColumn("level", F.lit(depth)), "front")
         if front.isEmpty():
-            return seen
-        seen = storage.written(seen.unionByName(front), "seen")
+            return found.all()
+        found.add(front)
 
 
 def least_degree_last(edges: DataFrame, root: int) -> tuple[int, int]:
@@ -116,28 +148,32 @@ class Local:
 
 
 def frontier_order(edges: DataFrame, n: int, root: int | None) -> DataFrame:
-    """(v, pos) by the same rules, a few joins for each level: a new vertex belongs to the first of its neighbours on the
-    level before, and is placed by (that one's position, degree from large to small, order of meeting)."""
+    """(v, pos) by the same rules, a few joins for each level of all components at once: a new vertex belongs to the first
+    of its neighbours on the level before, and is placed by (that one's position, degree from large to small, order of
+    meeting). The component of the root comes first, then the others by their least vertices, from which they start."""
     spark = edges.sparkSession
+    if not n:
+        return spark.createDataFrame([], "v long, pos long")
     edges = storage.written(edges, "edges")
     degree = storage.written(degrees(edges, n), "degrees")
-    root = root or (pseudo_peripheral(edges, 1) if n else None)
-    done, count = spark.createDataFrame([], "v long, pos long"), 0
-    while root is not None:
-        front = spark.createDataFrame([(root, count)], "v long, pos long")
-        done, count = storage.written(done.unionByName(front), "order"), count + 1
-        while True:
-            ahead = front.join(edges, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "pos", "rank").join(done.select("v"), "v", "left_anti")
-            first = ahead.groupBy("v").agg(F.min(F.struct("pos", "rank")).alias("_m")).join(degree, "v")
-            placed = en.ranked(first.select("v", "degree", F.col("_m.pos").alias("_p"), F.col("_m.rank").alias("_r")), [F.col("_p"), -F.col("degree"), F.col("_r")], "_k")
-            front = storage.written(placed.select("v", (F.col("_k") + count).alias("pos")), "front")
-            new = front.count()
-            if not new:
-                break
-            done, count = storage.written(done.unionByName(front), "order"), count + new
-        left = spark.range(1, n + 1).select(F.col("id").alias("v")).join(done, "v", "left_anti").agg(F.min("v")).first()[0]
-        root = left
-    return done
+    root = root or pseudo_peripheral(edges, 1)
+    at = components_within(edges, spark.range(1, n + 1).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("piece"), (F.col("id") - 1).alias("pos")))
+    home = at.where(F.col("v") == root).first()["comp"]
+    starts = at.where(F.col("pos") == F.when(F.col("comp") == home, root - 1).otherwise(F.col("comp")))
+    found = Fronts(storage.written(starts.select("v", "comp", F.col("comp").alias("bfs")), "front"))
+    count = n
+    while True:
+        ahead = found.last.join(edges, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "comp", "bfs", "rank").join(found.recent(), "v", "left_anti")
+        first = ahead.groupBy("v").agg(F.min("comp").alias("comp"), F.min(F.struct("bfs", "rank")).alias("_m")).join(degree, "v")
+        placed = en.ranked(first.select("v", "comp", "degree", F.col("_m.bfs").alias("_p"), F.col("_m.rank").alias("_r")), [F.col("_p"), -F.col("degree"), F.col("_r")], "_k")
+        front = storage.written(placed.select("v", "comp", (F.col("_k") + count).alias("bfs")), "front")
+        new = front.count()
+        if not new:
+            break
+        found.add(front)
+        count += new
+    order = found.all().select("v", (F.col("comp") != home).cast("int").alias("_later"), "comp", "bfs")
+    return en.ranked(order, [F.col("_later"), F.col("comp"), F.col("bfs")], "pos").select("v", "pos")
 
 
 def order_of(edges: DataFrame, n: int, root: int | None, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -165,15 +201,56 @@ def separated(perm: DataFrame, nrows: int) -> tuple[DataFrame, DataFrame]:
 
 
 def partition(entries: DataFrame, nrows: int, ncols: int, parts: int, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(v, part): vertices cut into parts of equal size (one apart at most) along a breadth-first order, in which
-    neighbours stand close; it isn't the partition of any particular package."""
+    """(v, part): vertices in parts of equal size (one apart at most) with few edges between parts: runs of a
+    breadth-first order, in which neighbours stand close, then exchanges of vertices between parts. It isn't the
+    partition of any particular package."""
     if parts <= 0:
         raise PartitionError("there must be a part at least")
     n = nrows if nrows == ncols else nrows + ncols
     if parts == 1:
         return entries.sparkSession.range(1, n + 1).select(F.col("id").alias("v"), F.lit(0).alias("part"))
-    order = order_of(adjacency(entries, nrows, ncols), n, None, local_edges)
-    return order.select("v", F.floor(F.col("pos") * parts / n).cast("int").alias("part"))
+    edges = storage.written(adjacency(entries, nrows, ncols).select("src", "dst", "rank"), "edges")
+    order = order_of(edges, n, None, local_edges)
+    return refined(edges, storage.written(order.select("v", F.floor(F.col("pos") * parts / n).cast("int").alias("part")), "parts"))
+
+
+#: Rounds of exchanges after which a partition is taken as it is.
+EXCHANGES = 12
+
+
+def cut_of(edges: DataFrame, parted: DataFrame) -> int:
+    ends = edges.where(F.col("src") < F.col("dst")).join(parted.toDF("src", "_a"), "src").join(parted.toDF("dst", "_b"), "dst")
+    return ends.agg(F.count_if(F.col("_a") != F.col("_b"))).first()[0]
+
+
+def refined(edges: DataFrame, parted: DataFrame, rounds: int = EXCHANGES) -> DataFrame:
+    """(v, part) with the same sizes and no more edges between parts. In a round, each vertex names the other part that
+    holds most of its neighbours and what moving there gains; between two parts those of one side and of the other are
+    paired by falling gain, and pairs with a gain in all change sides. A hash lets about half of the vertices take part, as
+    neighbours that move at once spoil each other's gain; a round that doesn't lower the cut is undone."""
+    best, failed = cut_of(edges, parted), 0
+    for k in range(rounds):
+        near = edges.join(parted.toDF("dst", "_to"), "dst").groupBy("src", "_to").agg(F.count(F.lit(1)).alias("_n"))
+        of = near.join(parted.toDF("src", "_own"), "src").where(F.pmod(F.xxhash64(F.lit(k), "src"), F.lit(2)) == 0)
+        wish = of.groupBy(F.col("src").alias("v"), "_own").agg(F.sum(F.when(F.col("_to") == F.col("_own"), F.col("_n")).otherwise(0)).alias("_in"), F.max(F.when(F.col("_to") != F.col("_own"), F.struct("_n", (-F.col("_to")).alias("_t")))).alias("_m"))
+        wish = wish.where(F.col("_m").isNotNull()).select("v", "_own", (-F.col("_m._t")).alias("_to"), (F.col("_m._n") - F.col("_in")).alias("_gain"))
+        # numbered within each pair of parts and direction; ties by vertex
+        wish = storage.written(en.ranked(wish, [F.col("_own"), F.col("_to"), -F.col("_gain"), F.col("v")], "_k"), "wish")
+        first = wish.groupBy("_own", "_to").agg(F.min("_k").alias("_first"))
+        wish = wish.join(F.broadcast(first) if parted.agg(F.max("part")).first()[0] < 1_000 else first, ["_own", "_to"]).withColumn("_k", F.col("_k") - F.col("_first"))
+        back = wish.select(F.col("_own").alias("_to"), F.col("_to").alias("_own"), "_k", F.col("_gain").alias("_other"))
+        moves = wish.join(back, ["_own", "_to", "_k"]).where(F.col("_gain") + F.col("_other") > 0).select("v", "_to")
+        ahead = storage.written(parted.join(moves, "v", "left").select("v", F.coalesce("_to", "part").alias("part")), "parts")
+        cut = cut_of(edges, ahead)
+        if cut < best:
+            storage.drop(parted)
+            parted, best, failed = ahead, cut, 0
+            continue
+        storage.drop(ahead)
+        failed += 1
+        if failed == 3:
+            break
+    return parted
 
 
 def edge_cut(entries: DataFrame, nrows: int, ncols: int, parted: DataFrame) -> DataFrame:
@@ -228,32 +305,33 @@ def dissected(near: dict[int, list[int]], own: list[int], smallest: int) -> list
 
 def components_within(inner: DataFrame, own: DataFrame) -> DataFrame:
     """own (v, piece, pos) with the least pos of a vertex's component within its piece as comp."""
-    at = storage.written(own.withColumn("comp", F.col("pos")), "components")
+    at = table = storage.written(own.withColumn("comp", F.col("pos")), "components")
     while True:
         least = inner.join(at.select(F.col("v").alias("src"), "comp"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("comp").alias("_c"))
         ahead = at.join(least, "v", "left").select("v", "piece", "pos", F.least("comp", "_c").alias("comp"), (F.col("_c") < F.col("comp")).alias("_moved"))
-        ahead = storage.written(ahead, "components")
-        at = ahead.drop("_moved")
-        if ahead.where("_moved").isEmpty():
+        before, table = table, storage.written(ahead, "components")
+        storage.drop(before)
+        at = table.drop("_moved")
+        if table.where("_moved").isEmpty():
             return at
 
 
 def levels_within(inner: DataFrame, at: DataFrame) -> DataFrame:
     """(v, level, bfs): the breadth-first order from the first vertex of each component, in the order of meeting; all
     components at once."""
-    front = storage.written(at.where(F.col("pos") == F.col("comp")).select("v", F.lit(0).alias("level"), F.col("pos").alias("bfs")), "front")
-    seen, depth = front, 0
+    found, depth = Fronts(storage.written(at.where(F.col("pos") == F.col("comp")).select("v", F.lit(0).alias("level"), F.col("pos").alias("bfs")), "front")), 0
     count = at.agg(F.max("pos")).first()[0] + 1
     while True:
         depth += 1
-        ahead = front.join(inner, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "bfs", "rank").join(seen.select("v"), "v", "left_anti")
+        ahead = found.last.join(inner, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "bfs", "rank").join(found.recent(), "v", "left_anti")
         first = ahead.groupBy("v").agg(F.min(F.struct("bfs", "rank")).alias("_m"))
         placed = en.ranked(first.select("v", F.col("_m.bfs").alias("_p"), F.col("_m.rank").alias("_r")), [F.col("_p"), F.col("_r")], "_k")
         front = storage.written(placed.select("v", F.lit(depth).alias("level"), (F.col("_k") + count).alias("bfs")), "front")
         new = front.count()
         if not new:
-            return seen
-        seen, count = storage.written(seen.unionByName(front), "seen"), count + new
+            return found.all()
+        found.add(front)
+        count += new
 
 
 def cut_pieces(inner: DataFrame, own: DataFrame, smallest: int) -> DataFrame:

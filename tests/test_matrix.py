@@ -1,6 +1,7 @@
 """Small inputs with known results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,6 +280,31 @@ def test_rcm(spark, local):
     assert pe.is_valid(rows_, 3, 1) and pe.is_valid(columns, 5, 1)
 
 
+def test_components_are_ordered_at_once(spark):
+    """Three paths, a cycle and vertices without neighbours, ordered on the driver and by levels in Spark."""
+    edges = [(k, k + 4) for k in range(1, 33)] + [(50, 51), (51, 52), (52, 50), (60, 41)]
+    a = spark.createDataFrame([(k, i, j, 1.0) for k, (i, j) in enumerate(edges)], "k long, i long, j long, a double")
+    for start in (None, 51):
+        assert rows(graphs.rcm(a, 64, 64, start)[0], "src") == rows(graphs.rcm(a, 64, 64, start, 0)[0], "src")
+    path = spark.createDataFrame([(k, k + 1, k + 2, 1.0) for k in range(34)], "k long, i long, j long, a double")
+    assert [r.level for r in graphs.levels(graphs.adjacency(path, 35, 35), 1).orderBy("v").collect()] == list(range(35))
+
+
+def test_exchanges_lower_the_cut_and_keep_sizes(spark):
+    """Four clusters whose vertices are dealt out in turn."""
+    rng = random.Random(4)
+    edges = {(min(i, j), max(i, j)) for _ in range(900) for c in [rng.randrange(4)] for i, j in [(1 + c + 4 * rng.randrange(20), 1 + c + 4 * rng.randrange(20))] if i != j}
+    edges |= {(1 + rng.randrange(40), 41 + rng.randrange(40)) for _ in range(30)}
+    a = spark.createDataFrame([(k, i, j, 1.0) for k, (i, j) in enumerate(sorted(edges))], "k long, i long, j long, a double")
+    near = graphs.adjacency(a, 80, 80)
+    before = spark.createDataFrame([(v, (v - 1) // 20) for v in range(1, 81)], "v long, part int")
+    after = graphs.refined(near, before)
+    assert [r["count"] for r in after.groupBy("part").count().orderBy("part").collect()] == [20] * 4
+    assert graphs.cut_of(near, after) < 0.8 * graphs.cut_of(near, before)
+    order = graphs.order_of(near, 80, None).select("v", (F.col("pos") * 4 / 80).cast("int").alias("part"))
+    assert graphs.cut_of(near, graphs.partition(a, 80, 80, 4)) <= graphs.cut_of(near, order)
+
+
 def test_frontier_order_agrees_with_local(spark):
     a = generate.uniform_matrix(spark, 30, 30, 40, "pattern", seed=3)
     assert rows(graphs.rcm(a, 30, 30)[0], "src") == rows(graphs.rcm(a, 30, 30, None, 0)[0], "src")
