@@ -30,6 +30,21 @@ def op3_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"))
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, p, md5(b[p:p + 399]) AS h FROM d, unnest(range(1, octet_length(b) - 398)) AS t(p)),
+hits AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+marked AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM hits),
+runs AS (SELECT r, min(p) AS a, max(p) + 400 AS z FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM marked) GROUP BY r, g),
+kept AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS a, a AS z FROM runs
+         UNION ALL SELECT r, coalesce(max(z), 1), max(octet_length(b)) + 1 FROM d LEFT JOIN runs USING (r) GROUP BY r),
+bytes AS (SELECT r, sha256(unhex(string_agg(hex(b[kept.a:kept.z - 1]), '' ORDER BY kept.a))) AS kept_sha256 FROM kept JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM d JOIN bytes USING (r) LEFT JOIN sums USING (r)
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) with at least 0.8 of the item's five-word shingles in the document."""
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,6 +98,19 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), kept.alias("kept"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 1], ' ') AS s FROM d, unnest(range(1, greatest(len(w), 2))) AS t(p) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets AS a JOIN sets AS b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes AS p ON p.doc_id = x JOIN sizes AS q ON q.doc_id = y WHERE 100 * common.n >= 80 * (p.n + q.n - common.n)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y),
+least_ AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM least_ LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated so that every source has the same share of bytes."""
     out = mixing.replicated(table(spark, sf_dir, "documents"))
@@ -136,4 +164,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_lmscore": OP5_SQL, "op8_mixing": OP8_SQL}
+    return {"op3_suffixdedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_lmscore": OP5_SQL, "op7_neardup": OP7_SQL, "op8_mixing": OP8_SQL}
