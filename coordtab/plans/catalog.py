@@ -38,7 +38,8 @@ q AS (SELECT o_orderkey AS i, floor(o_totalprice) AS a FROM orders WHERE o_order
 z AS (SELECT l_orderkey + 1 AS i, l_partkey + 1 AS j, l_quantity AS re, CAST(l_linenumber AS DOUBLE) AS im FROM lineitem),
 c AS (SELECT o_orderkey AS i, CAST(o_custkey % 50 AS DOUBLE) AS re, CAST(o_orderkey % 11 AS DOUBLE) - 5 AS im FROM orders),
 r AS (SELECT o_orderkey AS src, (o_orderkey * 7 + 3) % (SELECT count(*) FROM orders) AS dst FROM orders),
-v AS (SELECT l_partkey AS value, l_returnflag AS f FROM lineitem WHERE l_quantity > 45)
+v AS (SELECT l_orderkey AS value, l_returnflag AS f FROM lineitem),
+w AS (SELECT o_orderkey AS k, o_custkey + 1 AS i, (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) + 1 AS j, 1.0::DOUBLE AS a FROM orders)
 """
 
 
@@ -96,7 +97,16 @@ class Tables:
         return self.read("orders").select(F.col("o_orderkey").alias("src"), ((F.col("o_orderkey") * 7 + 3) % self.n_orders).alias("dst"))
 
     def v(self, flag: str) -> DataFrame:
-        return integers.values(self.read("lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_quantity") > 45)), "l_partkey")
+        return integers.values(self.read("lineitem").where(F.col("l_returnflag") == flag), "l_orderkey")
+
+    @property
+    def n_customers(self) -> int:
+        return self.read("customer").count()
+
+    @property
+    def w(self) -> DataFrame:
+        """A graph of the customers that grows with the tables."""
+        return self.read("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + 1).alias("i"), ((F.col("o_orderkey") * 7 + 3) % self.n_customers + 1).alias("j"), F.lit(1.0).alias("a"))
 
 
 def parts(df: DataFrame) -> DataFrame:
@@ -298,28 +308,68 @@ query("graph_degrees", f"WITH {VIEWS.strip()}, {EDGES} SELECT q.v, count(src) AS
 query("graph_levels", "WITH RECURSIVE g AS (SELECT DISTINCT o_custkey % 100 + 1 AS src, o_custkey % 97 + 101 AS dst FROM orders), h AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), q AS (SELECT 1::BIGINT AS v, 0 AS level UNION SELECT h.dst, q.level + 1 FROM q JOIN h ON q.v = h.src WHERE q.level < 200) SELECT v, min(level) AS level FROM q GROUP BY v")(
     lambda t: graphs.levels(graphs.adjacency(t.read("orders").select((F.col("o_custkey") % 100 + 1).alias("i"), (F.col("o_custkey") % 97 + 1).alias("j")), 100, 97), 1)
 )
-query("reorder_rcm")(lambda t: graphs.reorder(t.s, 100, 100, "rcm")[0])
-query("reorder_nd")(lambda t: graphs.reorder(t.s, 100, 100, "nd")[0])
-query("reorder_parts")(lambda t: graphs.reorder(t.s, 100, 100, "metis", parts=4)[0])
-query("partition_graph")(lambda t: graphs.partition(t.s, 100, 100, 4))
+query("reorder_rcm")(lambda t: graphs.reorder(t.w, t.n_customers, t.n_customers, "rcm")[0])
+query("reorder_nd")(lambda t: graphs.reorder(t.w, t.n_customers, t.n_customers, "nd")[0])
+query("reorder_parts")(lambda t: graphs.reorder(t.w, t.n_customers, t.n_customers, "metis", parts=4)[0])
+query("partition_graph")(lambda t: graphs.partition(t.w, t.n_customers, t.n_customers, 4))
+
+
+def same_entries(t: Tables, moved: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """What an order must keep: one number for each vertex, every number once, every entry at its place. Values tell nothing
+    apart, so degrees of rows are compared: how many rows have how many entries."""
+    entries, perm, _ = moved
+    back = perm.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"), F.min("dst").alias("low"), F.max("dst").alias("high"))
+    placed = entries.join(perm.select(F.col("src").alias("_i"), F.col("dst").alias("i")), "i").join(perm.select(F.col("src").alias("_j"), F.col("dst").alias("j")), "j")
+    matched = placed.join(t.w.select("k", F.col("i").alias("_wi"), F.col("j").alias("_wj")), "k").agg(F.count_if((F.col("_i") == F.col("_wi")) & (F.col("_j") == F.col("_wj"))).alias("n_entries"))
+    return back.withColumn("_one", F.lit(1)).join(matched.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+ORDERED = "SELECT n, n AS n_src, n AS n_dst, 1::BIGINT AS low, n AS high, (SELECT count(*) FROM orders) AS n_entries FROM (SELECT count(*) AS n FROM customer)"
+query("reorder_rcm_kept", ORDERED)(lambda t: same_entries(t, graphs.reorder(t.w, t.n_customers, t.n_customers, "rcm")))
+query("reorder_nd_kept", ORDERED)(lambda t: same_entries(t, graphs.reorder(t.w, t.n_customers, t.n_customers, "nd")))
+query("reorder_parts_kept", ORDERED)(lambda t: same_entries(t, graphs.reorder(t.w, t.n_customers, t.n_customers, "metis", parts=4)))
+
+
+@query("reorder_rcm_levels", f"WITH {VIEWS.strip()} SELECT count(*) AS n, true AS same FROM s")
+def _rcm_levels(t: Tables) -> DataFrame:
+    """The order by levels in Spark is that of the driver."""
+    local, spread = (graphs.rcm(t.s, 100, 100, None, most)[0].select("src", "dst") for most in (graphs.LOCAL_EDGES, 0))
+    same = local.exceptAll(spread).isEmpty()
+    return t.s.agg(F.count(F.lit(1)).alias("n"), F.lit(same).alias("same"))
+
+
+@query("partition_graph_kept", "SELECT part::INTEGER AS part, count(*) AS n, true AS improved FROM (SELECT (row_number() OVER () - 1) * 4 // (SELECT count(*) FROM customer) AS part FROM customer) GROUP BY part")
+def _partition_kept(t: Tables) -> DataFrame:
+    """Sizes of the parts, and whether the edge cut is none above that of runs of a breadth-first order."""
+    n = t.n_customers
+    edges = storage.written(graphs.adjacency(t.w, n, n), "edges")
+    parted = graphs.partition(t.w, n, n, 4)
+    runs = graphs.order_of(edges, n, None).select("v", F.floor(F.col("pos") * 4 / n).cast("int").alias("part"))
+    better = graphs.cut_of(edges, parted) <= graphs.cut_of(edges, runs)
+    return parted.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("improved", F.lit(better))
+
+
 query("edge_cut", f"WITH {VIEWS.strip()}, {EDGES} SELECT count(*) FILTER (src % 4 <> dst % 4) AS edge_cut FROM g WHERE src < dst")(lambda t: graphs.edge_cut(t.s, 100, 100, t.spark.range(1, 101).select(F.col("id").alias("v"), (F.col("id") % 4).alias("part"))))
 query("bandwidth", "SELECT max(abs(i - j)) AS bandwidth FROM s")(lambda t: graphs.bandwidth(t.s))
 
 
-@query("conjugate_gradients", "SELECT n_nationkey + 1 AS i, CAST(n_regionkey AS DOUBLE) AS a FROM nation")
+@query("conjugate_gradients", "SELECT i, a FROM x")
 def _cg(t: Tables) -> DataFrame:
-    """A = tridiagonal (-1, 4, -1) over nations, b = A x for a known x; the solution is rounded back to x."""
-    x = ve.vector(t.read("nation"), F.col("n_nationkey") + 1, F.col("n_regionkey").cast("double"))
+    """A = tridiagonal (-1, 4, -1) over parts, b = A x for a known x; the solution is rounded back to x."""
+    x = t.x
     n = x.count()
     a = t.spark.range(1, n + 1).select(F.explode(F.array(*(F.struct(F.col("id").alias("i"), (F.col("id") + d).alias("j"), F.lit(v).alias("a")) for d, v in ((0, 4.0), (-1, -1.0), (1, -1.0))))).alias("e")).select("e.*").where(F.col("j").between(1, n))
     b = products.gemv(a, x)
     return solver.cg(a, b, rtol=1e-12).x.withColumn("a", F.round("a", 6) + 0.0)
 
 
+query("random_uniform_kept", "SELECT 20000::BIGINT AS n, true AS inside")(
+    lambda t: generate.uniform_matrix(t.spark, 1000, 500, 20_000, "integer", low=1, high=9, seed=7).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("i").between(1, 1000) & F.col("j").between(1, 500) & F.col("a").between(1, 9)).alias("inside"))
+)
 query("random_uniform")(lambda t: generate.uniform_matrix(t.spark, 1000, 500, 20_000, "integer", low=1, high=9, seed=7))
 query("random_block_diagonal", "SELECT range AS k, range // 12 * 4 + range % 12 // 3 + 1 AS i, range // 12 * 3 + range % 3 + 1 AS j FROM range(0, 1200)")(lambda t: generate.block_diagonal(t.spark, 100, 4, 3, field="pattern"))
-query("spy_pixels", "SELECT DISTINCT CAST(floor((j - 0.5) / (SELECT count(*) FROM part) * 40) AS INTEGER) AS x, CAST(floor((i - 0.5) / (SELECT count(*) FROM orders) * 40) AS INTEGER) AS y FROM l")(
-    lambda t: t.l.select(F.floor((F.col("j") - 0.5) / t.read("part").count() * 40).cast("int").alias("x"), F.floor((F.col("i") - 0.5) / t.n_orders * 40).cast("int").alias("y")).distinct()
+query("spy_pixels", "SELECT DISTINCT CAST(floor((j - 0.5) / (SELECT count(*) FROM part) * (40 * (SELECT count(*) FROM part) // (SELECT count(*) FROM orders))) AS INTEGER) AS x, CAST(floor((i - 0.5) / (SELECT count(*) FROM orders) * 40) AS INTEGER) AS y FROM l")(
+    lambda t: spy.pixels(t.l, t.n_orders, t.read("part").count(), 40, 40)
 )
 
 
