@@ -1,7 +1,8 @@
 """Command line: `python -m coordtab.cli PROGRAM ...`, one program for each operation on Matrix Market files.
 
-Files are read by Spark from any path that it knows. Results go to --output (a folder of text files) or, without it, to
-standard output."""
+Files are read by Spark from any path that it knows; `-` is standard input, which is put into the shared folder first. In
+axpy, scal, gemv and gemm a number may stand before the files: the factor alpha. Results go to --output (a folder of text
+files) or, without it, to standard output."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .errors import IncompatibleError, MatrixError
 from .meta import Field, Kind, Layout, MatrixBackend, Meta, Ordering, Overlap, Partitioning, PartKind, Precision, Sorting, Symmetry, Transposition, VectorBackend
 from .operators import entries as en
@@ -243,12 +245,15 @@ def parser() -> argparse.ArgumentParser:
 
     def program(name: str, run, *positional: str, alpha: bool = False):
         p = programs.add_parser(name)
-        p.set_defaults(run=run)
+        p.set_defaults(run=run, files=[x.rstrip("?") for x in positional], needed=[x for x in positional if not x.endswith("?")], takes_alpha=alpha, fail=p.error)
         if alpha:
             p.add_argument("--alpha", type=scalar, default=1.0)
+            p.add_argument("first", nargs="?", metavar="alpha", help="a number; may be left out")
         for x in positional:
-            p.add_argument(x.rstrip("?"), **({"nargs": "?"} if x.endswith("?") else {}))
-        p.add_argument("-z", "--gzip", action="store_true", help="accepted; Spark tells by the file's name")
+            p.add_argument(x.rstrip("?"), **({"nargs": "?"} if x.endswith("?") or alpha else {}))
+        p.add_argument("-z", "--gzip", "--gunzip", "--ungzip", action="store_true", help="standard input is compressed; of files Spark tells by their names")
+        p.add_argument("--partition", type=Partitioning, default=Partitioning.BLOCK, help="accepted; Spark deals rows out by hash, and results don't depend on it")
+        p.add_argument("--blksize", type=int, default=1, help="as --partition")
         p.add_argument("--precision", type=Precision, default=Precision.DOUBLE)
         p.add_argument("--format")
         p.add_argument("--output")
@@ -314,9 +319,46 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def factor_first(args) -> None:
+    """Takes the first argument for alpha if it is a number, and for a file otherwise."""
+    given = [args.first, *(getattr(args, x) for x in args.files)]
+    try:
+        args.alpha = scalar(given[0] or "")
+        given = given[1:]
+    except ValueError:
+        if given.pop() is not None:
+            args.fail("too many files")
+    for name, value in zip(args.files, given):
+        setattr(args, name, value)
+    for name in args.needed:
+        if getattr(args, name) is None:
+            args.fail(f"{name} is needed")
+
+
+def spooled(spark: SparkSession, source, gzip: bool) -> str:
+    """A file of the shared folder with what the stream holds."""
+    path = storage.new_path(spark, "input") + (".mtx.gz" if gzip else ".mtx")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        while part := source.read(1 << 20):
+            out.write(bytearray(part))
+    finally:
+        out.close()
+    return path
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, stdin=None) -> int:
     args = parser().parse_args(argv)
+    if args.takes_alpha:
+        factor_first(args)
     spark = spark or SparkSession.builder.appName(f"coordtab {args.program}").getOrCreate()
+    read = None
+    for name in args.files:
+        if getattr(args, name) == "-":
+            read = read or spooled(spark, stdin or sys.stdin.buffer, args.gzip)
+            setattr(args, name, read)
     try:
         return args.run(spark, args) or 0
     except MatrixError as e:

@@ -37,9 +37,13 @@ def parse(text: str, integer: bool = False) -> Spec:
 
 
 def formatted(value: Column, spec: Spec) -> Column:
-    """Text of a number. C's %g drops zeros and Java's doesn't, so all but %d are formatted in Arrow batches."""
-    if spec.kind == "d" and not spec.flags and spec.width is None:
-        return value.cast("string")
+    """Text of a number. C's %g drops zeros and Java's doesn't, and ties of %e and %f are rounded otherwise, so these are
+    formatted in Arrow batches; %d is by Java's formatter, without the flags that C ignores."""
+    if spec.kind == "d" and spec.precision is None:
+        if not spec.flags and spec.width is None:
+            return value.cast("string")
+        flags = "".join(c for c in dict.fromkeys(spec.flags) if c != "#" and not (c == "0" and ("-" in spec.flags or spec.width is None)) and not (c == " " and "+" in spec.flags) and not (c == "-" and spec.width is None))
+        return F.when(value.isNotNull(), F.format_string(f"%{flags}{spec.width or ''}d", value))
     pattern = str(spec)
 
     def work(x: pa.Array) -> pa.Array:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import cplx, morton
-from ..meta import Field, Kind, Layout, Meta
+from ..meta import Field, Kind, Layout, Meta, Symmetry
 from ..operators import entries as en
 from ..operators import generate, graphs, integers, products, solver, spy
 from ..operators import partitioning as pt
@@ -389,6 +389,30 @@ query("mtx_matrix_real", "SELECT k, i, j, a FROM s")(lambda t: round_trip(t, Met
 query("mtx_vector", "SELECT i AS k, a FROM y")(lambda t: round_trip(t, Meta(t.n_orders, kind=Kind.VECTOR, layout=Layout.ARRAY), t.y.select(F.col("i").alias("k"), "a"), fmt="%.1f", single=False)[1])
 
 
+query("mtx_complex", "SELECT o_orderkey AS k, o_custkey + 1 AS i, o_orderkey + 1 AS j, CAST(o_custkey % 50 AS DOUBLE) AS re, CAST(o_orderkey % 11 AS DOUBLE) - 5 AS im FROM orders")(
+    lambda t: parts(round_trip(t, Meta(t.n_customers, t.n_orders, t.n_orders, field=Field.COMPLEX), t.read("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + 1).alias("i"), (F.col("o_orderkey") + 1).alias("j"), cplx.cx((F.col("o_custkey") % 50).cast("double"), (F.col("o_orderkey") % 11).cast("double") - 5).alias("a")))[1])
+)
+query("mtx_pattern", "SELECT k, i, j FROM e")(lambda t: round_trip(t, Meta(100, 7, t.n_orders, field=Field.PATTERN), t.e.drop("a"))[1])
+query("mtx_integer_vector", "SELECT k, i, a FROM e")(lambda t: round_trip(t, Meta(100, kind=Kind.VECTOR, nnz=t.n_orders, field=Field.INTEGER), t.e.drop("j"), fmt="%+d")[1].select("k", "i", "a"))
+
+
+@query("mtx_symmetric_array", "WITH n AS (SELECT count(*) AS n FROM nation) SELECT i * (i - 1) // 2 + j - 1 AS k, i, j, CAST(i * j AS DOUBLE) AS a FROM n, range(1, n + 1) AS r(i), range(1, i + 1) AS c(j)")
+def _symmetric_array(t: Tables) -> DataFrame:
+    n = t.read("nation").count()
+    lower = t.spark.range(1, n + 1).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("id"))).alias("j"))
+    data = lower.select(F.expr("i * (i - 1) div 2 + j - 1").alias("k"), (F.col("i") * F.col("j")).cast("double").alias("a"))
+    path = storage.new_path(t.spark, "mtx")
+    mtx.write(Meta(n, n, layout=Layout.ARRAY, symmetry=Symmetry.SYMMETRIC), data, path)
+    return mtx.read_matrix(t.spark, path)[1].select("k", "i", "j", "a")
+
+
+@query("mtx_comments", "SELECT 'coordinate' AS format, 7::BIGINT AS rows, count(*)::BIGINT AS n, '% one|%|% three' AS comments FROM orders")
+def _comments(t: Tables) -> DataFrame:
+    path = storage.new_path(t.spark, "mtx")
+    mtx.write(Meta(7, 100, t.n_orders, field=Field.INTEGER, comments=("% one\n", "%\n", "% three\n")), t.e.select("k", F.col("j").alias("i"), F.col("i").alias("j"), "a"), path)
+    return mtx.info(t.spark, path).select("format", "rows", F.col("nonzeros").alias("n"), F.array_join("comments", "|").alias("comments"))
+
+
 @query("mtx_info", "SELECT 'matrix' AS object, 'coordinate' AS format, 'integer' AS field, 'general' AS symmetry, 100::BIGINT AS rows, 7::BIGINT AS columns, count(*) AS nonzeros FROM orders")
 def _info(t: Tables) -> DataFrame:
     path = storage.new_path(t.spark, "mtx")

@@ -17,8 +17,6 @@ from ..functions import cplx, numfmt
 from ..meta import Field, Kind, Layout, Meta, Precision, header_of, size_of
 from ..operators import entries as en
 
-#: Lines that comments may take.
-MOST_COMMENTS = 100_000
 WHOLE, DECIMAL = r"[+-]?\d+", r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?:inf|infinity|nan)"
 
 
@@ -49,12 +47,13 @@ def first_lines(spark: SparkSession, files: list[str], n: int) -> list[str]:
 def meta(spark: SparkSession, path: str, precision: Precision | str = "double") -> tuple[Meta, int]:
     files, n = sorted(spark.read.text(path).inputFiles()), 64
     while True:
-        found = head(first_lines(spark, files, n))
+        lines = first_lines(spark, files, n)
+        found = head(lines)
         if found:
             return replace(found[0], precision=Precision(precision)), found[1]
-        n *= 8
-        if n > 8 * MOST_COMMENTS:
+        if len(lines) < n:
             raise HeaderError("no size line")
+        n *= 8
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -137,9 +136,9 @@ def lines_of(m: Meta, data: DataFrame, fmt: str | None = None) -> DataFrame:
     return data.select("k", F.concat_ws(" ", *parts).alias("value"))
 
 
-def write(m: Meta, data: DataFrame, path: str, fmt: str | None = None, compression: str | None = None, single: bool = True) -> None:
-    """Header, comments, size and data lines in order of k. One file, or (single=False) part files that make up the file
-    one after the other, sorted and written in parallel."""
+def write(m: Meta, data: DataFrame, path: str, fmt: str | None = None, compression: str | None = None, single: bool = False) -> None:
+    """Header, comments, size and data lines in order of k, in part files that make up the file one after the other, sorted
+    and written in parallel; or (single=True) in one file, which one task writes."""
     spark = data.sparkSession
     top = [m.header_line(), *(c.removesuffix("\n") for c in m.comments), m.size_line()]
     first = spark.createDataFrame([(k - len(top), v) for k, v in enumerate(top)], "k long, value string")

@@ -1,5 +1,7 @@
 """Small inputs with known results."""
 
+import gzip
+import io
 import math
 import random
 
@@ -406,6 +408,31 @@ def test_programs(spark, tmp_path, capsys):
     assert run("split", a, p, "--output-path", str(tmp_path / "out%p"))[0] == 0 and mtx.read(spark, str(tmp_path / "out1"))[0].nnz == 3
     assert run("spy", a, "--output-path", str(tmp_path / "s.png"))[0] == 0
     assert run("gemv", x)[0] == 2
+    assert run("gemv", "2", a, x)[1][2:] == ["14", "20", "60"] and run("scal", "-3", x)[1][2:] == ["-9", "-6", "-3"]
+    assert run("axpy", "2", x, x)[1][2:] == ["9", "6", "3"] and run("gemm", "2", a, a)[1][2:5] == ["2", "24", "0"]
+    with pytest.raises(SystemExit):
+        run("gemv", "2")
+
+
+def test_programs_read_standard_input(spark, capsys):
+    data = b"%%MatrixMarket vector array real general\n3\n3\n2\n1\n"
+    assert cli.main(["dot", "-", "-"], spark, io.BytesIO(data)) == 0 and capsys.readouterr().out == "14.0\n"
+    assert cli.main(["nrm2", "-z", "-"], spark, io.BytesIO(gzip.compress(data))) == 0 and capsys.readouterr().out.startswith("3.74")
+
+
+def test_any_number_of_comments(spark, tmp_path):
+    path = write(tmp_path / "c.mtx", "%%MatrixMarket vector array real general\n" + "% c\n" * 300_000 + "2\n5\n6\n")
+    m, data = mtx.read(spark, path)
+    assert len(m.comments) == 300_000 and [r.a for r in data.orderBy("k").collect()] == [5.0, 6.0]
+    with pytest.raises(HeaderError):
+        mtx.read(spark, write(tmp_path / "d.mtx", "%%MatrixMarket vector array real general\n% c\n"))
+
+
+@pytest.mark.parametrize("spec", ["%d", "%5d", "%-5d", "%05d", "%+d", "% d", "%+05d", "%-05d", "%#d", "%.3d", "% +4d"])
+def test_integers_are_formatted_as_in_c(spark, spec):
+    values = [0, 7, -7, 123456, -(1 << 62)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "a long").select("a", numfmt.formatted(F.col("a"), numfmt.parse(spec, True)).alias("t"))
+    assert {r.a: r.t for r in df.collect()} == {v: spec % v for v in values} | {None: None}
 
 
 def test_complex_helpers(spark):
