@@ -40,13 +40,14 @@ def array_places(df: DataFrame, ncols: int) -> DataFrame:
     return df.select((F.expr(f"k div {ncols}") + 1).alias("i"), (F.col("k") % ncols + 1).alias("j"), "a")
 
 
-def triangular_places(df: DataFrame, strict: bool = False) -> DataFrame:
-    """(i, j, a) from positions in the packed lower triangle, row by row (without the diagonal if strict)."""
+def triangular_places(df: DataFrame, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, a), after columns to keep, from positions in the packed lower triangle, row by row (without the diagonal if
+    strict)."""
     k = F.col("k").cast("double")
     row = F.floor((F.sqrt(8 * k + 1) - 1) / 2).cast("long")
     first = lambda r: F.shiftright(r * (r + 1), 1)
     row = F.when(first(row) > F.col("k"), row - 1).when(first(row + 1) <= F.col("k"), row + 1).otherwise(row)
-    return df.select((row + (2 if strict else 1)).alias("i"), (F.col("k") - first(row) + 1).alias("j"), "a")
+    return df.select(*keep, (row + (2 if strict else 1)).alias("i"), (F.col("k") - first(row) + 1).alias("j"), "a")
 
 
 def dense(entries: DataFrame, nrows: int, ncols: int) -> DataFrame:

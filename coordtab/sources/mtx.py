@@ -115,7 +115,7 @@ def read_matrix(spark: SparkSession, path: str, precision: Precision | str = "do
         return m, data
     if m.symmetry == "general":
         return m, data.select("k", (F.expr(f"k div {m.ncols}") + 1).alias("i"), (F.col("k") % m.ncols + 1).alias("j"), "a")
-    return m, en.triangular_places(data, strict=m.symmetry == "skew-symmetric")
+    return m, en.triangular_places(data, strict=m.symmetry == "skew-symmetric", keep=("k",))
 
 
 def read_vector(spark: SparkSession, path: str, precision: Precision | str = "double") -> tuple[Meta, DataFrame]:
