@@ -10,7 +10,9 @@ import re
 import time
 import zlib
 
+import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -767,6 +769,43 @@ def test_quality(spark, docs, empty):
     assert quality.scored(empty, labels).count() == 0
 
 
+def test_log_likelihood_ratio_from_raw_counts(spark):
+    """Buckets, counts and ratios by plain Python; rows with labels of every kind, repeated ids and ids without label."""
+    rng = random.Random(10)
+    line = lambda of: " ".join(f"{rng.choice(of)}{rng.randrange(400)}" for _ in range(rng.choice((0, 1, 2, 49, 50, 60, 200))))
+    rows = [(k, line("ab" if k % 3 else "bc")) for k in range(60)] + [(3, "x1 y2 x1"), (None, line("a")), (61, None), (62, " \n")]
+    given = [(k, 1 if k % 3 else 0) for k in range(0, 40)] + [(5, 1), (6, None), (None, 1), (900, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q, 0) for k, q in given], "doc_id long, quality int, toxic int")
+
+    def bucket(*ws):
+        seed = 42
+        for w in ws:
+            seed = xxhash.xxh64(w.encode(), seed=seed).intdigest()
+        return seed % quality.BUCKETS
+
+    def grams(w):
+        return [bucket(x) for x in w] + [bucket(x, y) for x, y in zip(w, w[1:])]
+
+    good = {k for k, q in given if q == 1 and k is not None}
+    raw, target = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        raw.update(grams(words(t)))
+        if d in good:
+            target.update(grams(words(t)))
+    share = lambda c, b: (c[b] + 0.5) / (sum(c.values()) + 0.5 * quality.BUCKETS)
+    ratio = {b: math.log(share(target, b) / share(raw, b)) for b in raw}
+    seen = collections.Counter()
+    for r in quality.scored(docs, labels, threshold=0.0).collect():
+        g = grams(words(r.text))
+        expected = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        assert r._llr == pytest.approx(expected, abs=1e-12)
+        if abs(expected) > 1e-9 or not g:
+            assert r._kept == (not r._base_failed and expected >= 0)
+        seen[r._kept] += 1
+    assert min(seen[True], seen[False]) >= 5
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -810,6 +849,32 @@ def test_columns_that_clash(spark, docs):
     assert decontam.contained(odd, bench).columns == ["doc_id", "item_id", "n_item", "n_common", "containment"]
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_their_sql(spark, name):
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    expected, got = db.execute(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, SF).toPandas()
+    columns = sorted(expected.columns)
+    assert sorted(got.columns) == columns
+    a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, expected))
+    assert a.equals(b)
+
+
+def test_stages_take_nulls_and_empty_tables(spark, tmp_path):
+    """Stages on rows that are null in every column, repeated rows and no rows at all."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = spark.createDataFrame(ODD, DDL)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+    kept = {name: collections.Counter((r.doc_id, r.text) for r in stage(spark, odd, str(tmp_path)).collect()) for name, stage in corpus_pipeline.STAGES}
+    rows = collections.Counter((r[0], r[1]) for r in ODD)
+    assert kept["language ID"] == collections.Counter(x for x in rows.elements() if x[1] and any(map(str.isalpha, x[1])))
+    assert kept["MinHash near-dedup"] == rows and kept["benchmark decontamination"] == rows and kept["sharding"] == rows
+    assert set(kept["mixing sources to target weights"]) <= set(rows)
+
+
 def test_registered_queries():
     names = queries.queries()
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == []
