@@ -83,6 +83,31 @@ def axpy(x: DataFrame, y: DataFrame, alpha=1.0) -> DataFrame:
     return both.select(*keys_of(y), F.coalesce(plus(times(F.col("_x"), alpha, k), F.col("_y"), k), F.col("_y")).alias("a"))
 
 
+#: Values in a row of a blocked vector: half a megabyte of doubles.
+BLOCK = 1 << 16
+
+
+def blocked(x: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(b, values): a full vector as rows of so many values in order, the last one shorter. What joins blocks moves and
+    looks up a row for each block instead of one for each value."""
+    each = x.groupBy(F.floor(F.col("i") / size).cast("long").alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("_v"))
+    return each.select("b", F.transform("_v", lambda v: v["a"]).alias("values"))
+
+
+def unblocked(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(i, a) of a blocked vector."""
+    return blocks.select("b", F.posexplode("values").alias("_k", "a")).select((F.col("b") * size + F.col("_k")).alias("i"), "a")
+
+
+def axpy_blocks(x: DataFrame, y: DataFrame, alpha=1.0) -> DataFrame:
+    """alpha x + y of full vectors in equal blocks."""
+    k = dict(y.dtypes)["values"].removeprefix("array<").removesuffix(">")
+    if k != dict(x.dtypes)["values"].removeprefix("array<").removesuffix(">"):
+        raise IncompatibleError("fields differ")
+    both = y.withColumnRenamed("values", "_y").join(x.withColumnRenamed("values", "_x"), "b")
+    return both.select("b", F.zip_with("_x", "_y", lambda p, q: plus(times(p, alpha, k), q, k)).alias("values"))
+
+
 def aypx(x: DataFrame, y: DataFrame, alpha=1.0) -> DataFrame:
     """alpha y + x."""
     k = kind_of(y)
@@ -202,7 +227,7 @@ def set_values(x: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def get_values(x: DataFrame) -> DataFrame:
-    """One row with the values in order of position, for vectors that fit one."""
+    """One row with the values in order of position, for vectors that fit one; others give blocked() rows."""
     return x.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda e: e["a"]).alias("values"))
 
 

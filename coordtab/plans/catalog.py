@@ -224,6 +224,9 @@ query("scal", "SELECT i, 2.5 * a AS a FROM y")(lambda t: ve.scal(t.y, 2.5))
 query("scal_integer", "SELECT k, i, j, CAST(trunc(a * 0.5::DOUBLE) AS BIGINT) AS a FROM e")(lambda t: ve.scal(t.e, 0.5))
 query("scal_complex", "SELECT i, 2 * re - 3 * im AS re, 2 * im + 3 * re AS im FROM c")(lambda t: parts(ve.scal(t.c, 2 + 3j)))
 query("axpy", "SELECT y.i, 2 * o_custkey + y.a AS a FROM y JOIN orders ON y.i = o_orderkey")(lambda t: ve.axpy(ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double")), t.y, 2.0))
+query("axpy_blocks", "SELECT y.i, 2 * o_custkey + y.a AS a FROM y JOIN orders ON y.i = o_orderkey")(
+    lambda t: ve.unblocked(ve.axpy_blocks(ve.blocked(ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double")), 1_000), ve.blocked(t.y, 1_000), 2.0), 1_000)
+)
 query("axpy_complex", "SELECT c.i, 1 * c.re - 2 * c.im + c.re AS re, c.im + 2 * c.re + c.im AS im FROM c")(lambda t: parts(ve.axpy(t.c, t.c, 1 + 2j)))
 query("axpy_matrix", "SELECT i, j, 3 * sum(a) AS a FROM l GROUP BY i, j")(lambda t: ve.axpy(m := en.assemble(t.l), m, 2.0))
 query("aypx", "SELECT y.i, 3 * y.a + o_custkey AS a FROM y JOIN orders ON y.i = o_orderkey")(lambda t: ve.aypx(ve.vector(t.read("orders"), "o_orderkey", F.col("o_custkey").cast("double")), t.y, 3.0))

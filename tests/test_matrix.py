@@ -387,6 +387,17 @@ def test_stream(spark, tmp_path):
     assert rows(spark.table("assembled_test"), "i") == [(1, 1, 3.0), (2, 1, 5.0)]
 
 
+def test_blocked_vectors(spark):
+    x = spark.range(10).select(F.col("id").alias("i"), F.col("id").cast("double").alias("a"))
+    b = ve.blocked(x, 4)
+    assert {r.b: r["values"] for r in b.collect()} == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9]}
+    assert rows(ve.unblocked(ve.axpy_blocks(b, ve.blocked(ve.scal(x, 2.0), 4), 3.0), 4), "i") == [(k, 5.0 * k) for k in range(10)]
+    z = x.withColumn("a", cplx.cx(F.col("a"), F.lit(1.0)))
+    assert ve.unblocked(ve.axpy_blocks(ve.blocked(z, 4), ve.blocked(z, 4), 1j), 4).where("i = 2").first().a == (1.0, 3.0)
+    with pytest.raises(IncompatibleError):
+        ve.axpy_blocks(b, ve.blocked(z, 4))
+
+
 def test_programs(spark, tmp_path, capsys):
     a = write(tmp_path / "a.mtx", "%%MatrixMarket matrix coordinate real general\n3 3 5\n1 1 1\n1 2 2\n2 2 5\n3 3 9\n3 1 7\n")
     x = write(tmp_path / "x.mtx", "%%MatrixMarket vector array real general\n3\n3\n2\n1\n")
