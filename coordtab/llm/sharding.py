@@ -221,9 +221,10 @@ def shard_slots(docs: DataFrame, n_shards: int = 40, ident: str = "doc_id", text
     spark = docs.sparkSession
     salts = spark.createDataFrame(wide, "_b long, _n long")
     celled = (
-        base.withColumn("_b", rank_bits(BLOCK_BITS))
+        base.select("*", F.col("_metadata.row_index").alias("_row"))  # the place in a written file: rows may be equal in all else
+        .withColumn("_b", rank_bits(BLOCK_BITS))
         .join(F.broadcast(salts), "_b", "left")
-        .withColumn("_s", F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_n"))))
+        .withColumn("_s", F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id", "_row"), F.col("_n"))))
         .withColumn("shard", column)
     )
     cells = celled.groupBy("shard", "_b", "_s").count().toPandas().sort_values(["shard", "_b", "_s"])

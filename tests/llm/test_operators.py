@@ -427,6 +427,12 @@ def test_shards(spark, docs, empty):
     assert sharding.shard_slots(empty).count() == 0 and sharding.assign_shards(empty).count() == 0
 
 
+def test_many_equal_rows_are_numbered_in_several_windows(spark):
+    rows = spark.range(35_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    (r,) = sharding.shard_slots(rows, 4).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("own"), F.max("slot").alias("last")).collect()
+    assert (r.n, r.own, r.last) == (35_000, 35_000, 34_999)
+
+
 def test_capacity_is_minimal_with_refinement(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK_BITS", 2)
     monkeypatch.setattr(sharding, "ROUND_BLOCKS", 64)
