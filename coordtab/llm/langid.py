@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store, words
+from . import bytestream, store, words
 
 #: The 32,000 pieces of a public byte-pair vocabulary, described beside it. Where the file is missing, learning raises
 #: what its reader raises; without labels it isn't read.
@@ -330,7 +330,7 @@ def fitted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
 
 
 def word_counts(batches):
-    for batch in batches:
+    for batch in bytestream.slices(batches):  # lists of words take ten times the room of a text
         found: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found.update((lang, w) for w in tokens(text))
