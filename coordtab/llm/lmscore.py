@@ -227,8 +227,8 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, floor:
     groups = max(1, -(-int(sums["b"] or 0) // chunk_bytes), sums["n"] // 20_000)
     chunk = F.pmod(F.xxhash64(F.col(ident), F.col(text)), F.lit(groups)).cast("int")
     dealt = docs.select(chunk.alias("_chunk"), F.col(ident).cast("long").alias("_id"), F.arrow_udf(squeezed, "binary")(F.col(text)).alias("_text"))
-    # twice as many partitions as groups, so that few share a task however large the corpus is
-    dealt = dealt.repartition(2 * groups, "_chunk")
-    asked = dealt.groupBy("_chunk").applyInArrow(ask(order, groups), PACKED_DDL).repartition(2 * groups, "_bucket")
+    # a partition for each group, so that none share a task however large the corpus is
+    dealt = dealt.repartitionById(groups, F.col("_chunk"))
+    asked = dealt.groupBy("_chunk").applyInArrow(ask(order, groups), PACKED_DDL).repartitionById(groups, F.col("_bucket"))
     answered = asked.groupBy("_bucket").applyInArrow(answer, PACKED_DDL).toDF("_chunk2", "_bucket", "_hashes", "_small", "_large")
-    return dealt.groupBy("_chunk").cogroup(answered.repartition(2 * groups, "_chunk2").groupBy("_chunk2")).applyInArrow(score(order, groups, n_total, backoff, floor), SCORED_DDL)
+    return dealt.groupBy("_chunk").cogroup(answered.repartitionById(groups, F.col("_chunk2")).groupBy("_chunk2")).applyInArrow(score(order, groups, n_total, backoff, floor), SCORED_DDL)
