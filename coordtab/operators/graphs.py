@@ -215,7 +215,7 @@ def partition(entries: DataFrame, nrows: int, ncols: int, parts: int, local_edge
 
 
 #: Rounds of exchanges after which a partition is taken as it is.
-EXCHANGES = 12
+EXCHANGES = 8
 
 
 def cut_of(edges: DataFrame, parted: DataFrame) -> int:
@@ -229,6 +229,7 @@ def refined(edges: DataFrame, parted: DataFrame, rounds: int = EXCHANGES) -> Dat
     paired by falling gain, and pairs with a gain in all change sides. A hash lets about half of the vertices take part, as
     neighbours that move at once spoil each other's gain; a round that doesn't lower the cut is undone."""
     best, failed = cut_of(edges, parted), 0
+    few = (parted.agg(F.max("part")).first()[0] or 0) < 1_000  # then there are a million pairs of parts at most
     for k in range(rounds):
         near = edges.join(parted.toDF("dst", "_to"), "dst").groupBy("src", "_to").agg(F.count(F.lit(1)).alias("_n"))
         of = near.join(parted.toDF("src", "_own"), "src").where(F.pmod(F.xxhash64(F.lit(k), "src"), F.lit(2)) == 0)
@@ -237,7 +238,7 @@ def refined(edges: DataFrame, parted: DataFrame, rounds: int = EXCHANGES) -> Dat
         # numbered within each pair of parts and direction; ties by vertex
         wish = storage.written(en.ranked(wish, [F.col("_own"), F.col("_to"), -F.col("_gain"), F.col("v")], "_k"), "wish")
         first = wish.groupBy("_own", "_to").agg(F.min("_k").alias("_first"))
-        wish = wish.join(F.broadcast(first) if parted.agg(F.max("part")).first()[0] < 1_000 else first, ["_own", "_to"]).withColumn("_k", F.col("_k") - F.col("_first"))
+        wish = wish.join(F.broadcast(first) if few else first, ["_own", "_to"]).withColumn("_k", F.col("_k") - F.col("_first"))
         back = wish.select(F.col("_own").alias("_to"), F.col("_to").alias("_own"), "_k", F.col("_gain").alias("_other"))
         moves = wish.join(back, ["_own", "_to", "_k"]).where(F.col("_gain") + F.col("_other") > 0).select("v", "_to")
         ahead = storage.written(parted.join(moves, "v", "left").select("v", F.coalesce("_to", "part").alias("part")), "parts")
@@ -248,7 +249,7 @@ def refined(edges: DataFrame, parted: DataFrame, rounds: int = EXCHANGES) -> Dat
             continue
         storage.drop(ahead)
         failed += 1
-        if failed == 3:
+        if failed == 2:
             break
     return parted
 
