@@ -89,6 +89,12 @@ def _pieces(text: bytes):
     yield text[at:]
 
 
+def word_lists(text: bytes):
+    """The words of a text in order, a list for each of its pieces; bytes are split at the six white space characters."""
+    for piece in _pieces(text):
+        yield piece.split()
+
+
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """The hashes of the words of each text."""
     out: list[np.ndarray] = []

@@ -1,11 +1,11 @@
-"""The thin queries op1_ to op10_: each applies its operator to a whole table and returns the digest columns."""
+"""The thin queries op1_ to op13_: each applies its operator to a whole table and returns the digest columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, lmscore, mixing, neardup, pii, quality, sharding, suffixdedup
+from . import audit, codes, decontam, htmltext, langid, lmscore, mixing, neardup, pii, quality, rlz, sharding, suffixdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +148,80 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"_{x}").alias(x) for x in names))
 
 
+def op11_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of 50 words that start in an earlier one."""
+    out = rlz.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_sha").alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS t(p)),
+firsts AS (SELECT h, min(doc_id) AS f FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT r, p + k AS q FROM windows JOIN firsts USING (h), range(0, 50) AS o(k) WHERE doc_id > f),
+each AS (SELECT r, q, w[q] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(q)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS t FROM each ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source in each of their 120 orders, step by step."""
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+m AS (SELECT text, min(doc_id) AS least_id FROM t GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {
+        'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+        'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+        'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(t.doc_id > least_id, false)} AS fails
+      FROM t JOIN m USING (text) LEFT JOIN l ON l.doc_id = t.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x AS a, x AS b, x AS c, x AS d, x AS e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT part, filter_order, step, filter_order[step] AS letter, good, toxic, fails, fails[filter_order[step]] AS failing,
+        len(list_filter(string_split(filter_order[1:step - 1], ''), lambda y: y <> '' AND fails[y])) > 0 AS gone
+      FROM f, o, range(1, 6) AS r(step)),
+q AS (SELECT part, filter_order, step, letter, count(*) FILTER (NOT gone AND NOT failing) AS kept, count(*) FILTER (failing AND NOT gone) AS removed,
+        count(*) FILTER (failing AND gone) AS redundant, count(*) FILTER (failing AND len(list_filter(map_values(fails), lambda y: y)) = 1) AS unique_fails,
+        count(*) FILTER (failing AND NOT gone AND good) AS good_lost, count(*) FILTER (failing AND NOT gone AND toxic) AS toxic_lost
+      FROM s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM q
+"""
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector as 16 indexes into codebooks of 64 entries, with its error and that of its label."""
+    out = codes.compressed(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.lower(F.hex("_code")).alias("code"), F.col("_error").alias("error"), F.col("_label_error").alias("label_error"), F.col("_books").alias("codebooks_sha256"))
+
+
+#: The codebooks' sums and the codes of one round, of vectors v (r, p, q, x) and codebooks (p, e, q, x).
+OP13_ROUND = """
+{d} AS (SELECT r, p, e, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN {book} AS b USING (p, q) GROUP BY r, p, e),
+{a} AS (SELECT r, p, min(d) AS d, arg_min(e, (d, e)) AS e FROM {d} GROUP BY r, p)"""
+OP13_MOVE = """
+{new} AS (SELECT p, e, q, coalesce(CAST(floor(m) AS BIGINT), x) AS x FROM {book} LEFT JOIN (SELECT p, e, q, sum(x)::DOUBLE / count(*) AS m FROM {a} JOIN v USING (r, p) GROUP BY p, e, q) USING (p, e, q))"""
+OP13_SQL = (
+    """
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, * FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+v AS (SELECT r, (n - 1) // 4 AS p, (n - 1) % 4 AS q, CAST(floor(256 * CAST(embedding[n] AS DOUBLE)) AS BIGINT) AS x FROM k, range(1, 65) AS t(n)),
+b0 AS (SELECT p, r AS e, q, x FROM v WHERE r < 64),"""
+    + ",".join(OP13_ROUND.format(d=f"d{n}", a=f"a{n}", book=f"b{n}") + "," + OP13_MOVE.format(new=f"b{n + 1}", book=f"b{n}", a=f"a{n}") for n in range(2))
+    + ","
+    + OP13_ROUND.format(d="d2", a="a2", book="b2")
+    + """,
+s AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(x, ',' ORDER BY p, e, q)) FROM b2) AS codebooks_sha256 FROM s JOIN k USING (r)
+"""
+)
+
+
 def queries():
     return {
         "op1_langid": op1_langid,
@@ -160,8 +234,11 @@ def queries():
         "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
+        "op11_rlz": op11_rlz,
+        "op12_audit": op12_audit,
+        "op13_codes": op13_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffixdedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_lmscore": OP5_SQL, "op7_neardup": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op3_suffixdedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_lmscore": OP5_SQL, "op7_neardup": OP7_SQL, "op8_mixing": OP8_SQL, "op11_rlz": OP11_SQL, "op12_audit": OP12_SQL, "op13_codes": OP13_SQL}

@@ -67,11 +67,10 @@ def leftmost_minima(h: np.ndarray, valid: np.ndarray, span: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
-def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int, width: int, key: int):
-    """Entries of the documents at [start, end) of buf, for windows that begin in [lo, hi): document, place, left and
-    right reach, both fingerprints."""
+def anchors(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int, width: int, key: int):
+    """Entries of the documents at [start, end) of a stream with prefix sums pre, for windows that begin in [lo, hi):
+    document, place, left and right reach, both fingerprints."""
     span = width - key + 1
-    pre = bytestream.prefix(buf)
     h = bytestream.window_hashes(pre, key)
     valid = np.zeros(len(h) + 1, np.int64)
     first, last = np.maximum(starts, lo), np.minimum(ends - width + 1, hi)
@@ -96,7 +95,7 @@ def entries_of(texts: list[bytes], width: int, key: int):
     def many(group: list[int]):
         sizes = np.array([len(texts[k]) for k in group], np.int64)
         ends = np.cumsum(sizes)
-        found = anchors(np.frombuffer(b"".join(texts[k] for k in group), np.uint8), ends - sizes, ends, 0, 1 << 62, width, key)
+        found = anchors(bytestream.prefix(np.frombuffer(b"".join(texts[k] for k in group), np.uint8)), ends - sizes, ends, 0, 1 << 62, width, key)
         if found is not None:
             doc, at, *rest = found
             out.append((np.array(group)[doc], at - (ends - sizes)[doc], *rest))
@@ -106,7 +105,7 @@ def entries_of(texts: list[bytes], width: int, key: int):
         for a in range(0, max(1, len(texts[k]) - width + 1), CHUNK):
             low = max(0, a - width)
             part = np.frombuffer(texts[k], np.uint8)[low : a + CHUNK + 2 * width]
-            found = anchors(part, np.array([0]), np.array([len(part)]), a - low, a - low + CHUNK, width, key)
+            found = anchors(bytestream.prefix(part), np.array([0]), np.array([len(part)]), a - low, a - low + CHUNK, width, key)
             if found is not None:
                 doc, at, *rest = found
                 new = at + low > seen
