@@ -14,7 +14,8 @@ lies in no factor crosses exactly one boundary, as a factor that starts within i
 a boundary that end within the second factor are looked up as well: no repeated window is missed.
 
 Anchors with more than HOT surroundings left (a phrase that a large part of all documents has) aren't parsed in one
-block: their windows are dealt out by hash, and the smallest id of each is found by partial minima.
+block: their windows are dealt out by hash, the smallest id of each is found by partial minima, and windows of which there
+is but one are dealt out no further.
 
 Words and runs of words count as equal if 64-bit hashes of them agree.
 """
@@ -35,7 +36,7 @@ WIDTH, KEY = 50, 16
 #: Words that are indexed at once.
 CHUNK = 1 << 17
 #: Surroundings of an anchor, and of all anchors of a block, that are parsed together (some 84 words each).
-HOT, BLOCK = 2_000, 4_000
+HOT, BLOCK = 8_000, 4_000
 #: Factors are cut at so many words; a power of two, and at least WIDTH.
 LONGEST = 64
 
@@ -118,12 +119,12 @@ def surroundings(batches):
 def gram_classes(stream: np.ndarray) -> list[np.ndarray]:
     """For 1, 2, 4, ... LONGEST words: a number for the run of so many words from each place, ordered like the runs; runs
     that would pass the end are cut there. The last one is the rank of suffixes by their first LONGEST words."""
-    level = np.unique(stream, return_inverse=True)[1].astype(np.int64)
+    level = np.unique(stream, return_inverse=True)[1].astype(np.int32)
     out, step = [level], 1
     while step < LONGEST:
-        after = np.zeros(len(level), np.int64)
-        after[:-step] = level[step:] + 1
-        level = np.unique(level * (level.max() + 2) + after, return_inverse=True)[1].astype(np.int64)
+        pair = level * (np.int64(level.max()) + 2)
+        pair[:-step] += level[step:] + 1
+        level = np.unique(pair, return_inverse=True)[1].astype(np.int32)
         out.append(level)
         step *= 2
     return out
@@ -273,9 +274,9 @@ def spans_of(rows: DataFrame, width: int, key: int, hot: int, block: int) -> Dat
     spans = spans.unionByName(dealt.groupBy("_block").applyInArrow(parse(width), SPAN))
     if sizes["hot"]:
         each = around.join(large, "_h", "left_semi").select("_id", "_key", "_at", "_l", "_words").mapInArrow(all_windows(width), "_w long, _id long, _key long, _a long")
-        each = store.written(each, "windows")
-        first = each.groupBy("_w").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where(F.col("_first") < F.col("_last")).drop("_last")
-        many = each.join(store.written(first, "first"), "_w").where(F.col("_id") > F.col("_first"))
+        first = each.groupBy("_w").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where(F.col("_first") < F.col("_last"))
+        first = store.written(first.select("_w", "_first"), "first")
+        many = store.marked(each, F.col("_w"), first.select("_w")).join(first, "_w").where(F.col("_id") > F.col("_first"))
         spans = spans.unionByName(many.select("_id", "_key", "_a", (F.col("_a") + width).alias("_b")))
     return spans
 
