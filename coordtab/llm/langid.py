@@ -39,7 +39,7 @@ CELLS = 1 << 18
 SCALE = 16
 #: Distinct words that a worker remembers.
 CACHE = 300_000
-LOT = 50_000
+LOT = 25_000
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -317,7 +317,7 @@ def fitted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
         raise ValueError(f"more than {LABELS} labels")
     share = docs.sparkSession.createDataFrame([(r["_l"], min(1.0, most / max(r["_b"], 1))) for r in sizes], "_l string, _share double")
     chosen = rows.join(F.broadcast(share), "_l").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.col("_share") * float(1 << 30))  # LABELS rows at most
-    counts = chosen.select("_l", "_t").mapInArrow(word_counts, "_l string, _w string, _n long").groupBy("_l", "_w").agg(F.sum("_n").alias("_n"))
+    counts = chosen.select("_l", "_t").mapInArrow(store.trimmed(word_counts), "_l string, _w string, _n long").groupBy("_l", "_w").agg(F.sum("_n").alias("_n"))
     counts = store.written(counts, "words")
     vocabulary, languages, columns = None, [], []
     for name in sorted(r["_l"] for r in sizes):  # the words of some `most` bytes at a time
@@ -347,6 +347,7 @@ def predicted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
     table stays empty. Other columns pass through."""
     spark = docs.sparkSession
     store.ship(spark)
+    store.small_batches(spark)
     shared = spark.sparkContext.broadcast(fitted(docs, ident, text, lang, path, most))  # vocabulary x languages
 
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -362,7 +363,7 @@ def predicted(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
         finally:
             model.forget()  # the worker lives on for other stages
 
-    return docs.withColumn("_guess", F.arrow_udf(guess, "lang string, score double")(F.col(text))).withColumns({"_lang": F.col("_guess.lang"), "_score": F.col("_guess.score")}).drop("_guess")
+    return docs.withColumn("_guess", F.arrow_udf(store.trimmed(guess), "lang string, score double")(F.col(text))).withColumns({"_lang": F.col("_guess.lang"), "_score": F.col("_guess.score")}).drop("_guess")
 
 
 @store.keeps_columns

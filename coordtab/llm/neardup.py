@@ -148,13 +148,13 @@ class Search:
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         sig = self.reps.select("_id", "_sig")
         signed = pairs.join(sig.toDF("_a", "_sig_a"), "_a").join(sig.toDF("_b", "_sig_b"), "_b").select("_a", "_b", "_sig_a", "_sig_b")
-        likely = store.written(signed.mapInArrow(agreeing, PAIR_DDL), "likely")
+        likely = store.written(signed.mapInArrow(store.trimmed(agreeing), PAIR_DDL), "likely")
         ids = likely.select(F.col("_a").alias("_id")).union(likely.select("_b")).distinct()
         ids = store.written(ids, "ids")
         near = store.marked(self.texts, F.col("_id"), ids).join(ids, "_id", "left_semi")
-        sets = store.written(near.mapInArrow(packed(self.n), "_id long, _set binary"), "sets")
+        sets = store.written(near.mapInArrow(store.trimmed(packed(self.n)), "_id long, _set binary"), "sets")
         joined = likely.join(sets.toDF("_b", "_set_b"), "_b").join(sets.toDF("_a", "_set_a"), "_a").select("_a", "_b", "_set_a", "_set_b")
-        found = store.written(joined.mapInArrow(confirm(self.num, self.den), PAIR_DDL), "links")
+        found = store.written(joined.mapInArrow(store.trimmed(confirm(self.num, self.den)), PAIR_DDL), "links")
         store.drop(likely, ids, sets)
         self.links = found if self.links is None else self.links.unionByName(found)
         return found
@@ -208,7 +208,7 @@ class Search:
         comps = large.groupBy("_c").agg(F.max((F.col("_c") != F.col("_main")).cast("int")).alias("_s"))
         members = store.written(of.join(comps, "_c").select("_id", "_c", (F.col("_s") == 1).alias("_seeks")), "members")
         near = store.marked(self.texts, F.col("_id"), members.select("_id")).join(members.select("_id"), "_id", "left_semi")
-        each = near.mapInArrow(listed(self.n), "_id long, _s long, _n int")
+        each = near.mapInArrow(store.trimmed(listed(self.n)), "_id long, _s long, _n int")
         each = store.written(each, "shingles")
         rare = each.groupBy("_s").agg(F.count(F.lit(1)).alias("_df"))
         t = self.num / self.den
@@ -250,7 +250,8 @@ def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, ident: s
     words has one shingle. Rows that share an id are one node. A row with a null id has no component (null) and links
     nothing. Ids are longs. Other columns are ignored; an empty table gives an empty one."""
     store.ship(docs.sparkSession)
-    signed = store.written(docs.select(ident, text).mapInArrow(sign(n), SIGNED_DDL), "signed")
+    store.small_batches(docs.sparkSession)
+    signed = store.written(docs.select(ident, text).mapInArrow(store.trimmed(sign(n)), SIGNED_DDL), "signed")
     search = Search(docs, signed, n, num, den, ident, text)
     found = search.run()
     narrow = signed.select("_id", "_n", "_set")

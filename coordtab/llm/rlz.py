@@ -41,7 +41,7 @@ HOT, BLOCK = 8_000, 4_000
 LONGEST = 64
 
 ENTRY = "_h long, _c long, _id long, _key long, _pos long, _l int, _r int"
-CONTEXT = "_h long, _id long, _key long, _at long, _l int, _words array<long>"
+CONTEXT = "_block long, _id long, _key long, _at long, _l int, _words array<long>"
 SPAN = "_id long, _key long, _a long, _b long"
 
 
@@ -104,8 +104,8 @@ def index_entries(width: int, key: int):
 
 
 def surroundings(batches):
-    """_id, _key, _text, _want (list of _h, _pos, _l, _r): the words' hashes around each wanted anchor."""
-    schema = pa.schema([("_h", pa.int64()), ("_id", pa.int64()), ("_key", pa.int64()), ("_at", pa.int64()), ("_l", pa.int32()), ("_words", pa.list_(pa.int64()))])
+    """_id, _key, _text, _want (list of _block, _pos, _l, _r): the words' hashes around each wanted anchor."""
+    schema = pa.schema([("_block", pa.int64()), ("_id", pa.int64()), ("_key", pa.int64()), ("_at", pa.int64()), ("_l", pa.int32()), ("_words", pa.list_(pa.int64()))])
     for batch in slices(batches, 200):
         hashes = bytestream.word_hashes(encoded(batch.column(2)))
         for ident, key, h, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hashes, batch.column(3).to_pylist()):
@@ -113,7 +113,7 @@ def surroundings(batches):
                 some = want[k : k + 2_000]
                 cut = [h[w["_pos"] - w["_l"] : w["_pos"] + w["_r"]].view(np.int64) for w in some]
                 n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([w["_h"] for w in some]), pa.array([ident] * n), pa.array([key] * n), pa.array([w["_pos"] - w["_l"] for w in some]), pa.array([w["_l"] for w in some], pa.int32()), pa.array(cut, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([w["_block"] for w in some]), pa.array([ident] * n), pa.array([key] * n), pa.array([w["_pos"] - w["_l"] for w in some]), pa.array([w["_l"] for w in some], pa.int32()), pa.array(cut, pa.list_(pa.int64()))], schema=schema)
 
 
 def gram_classes(stream: np.ndarray) -> list[np.ndarray]:
@@ -262,18 +262,17 @@ def spans_of(rows: DataFrame, width: int, key: int, hot: int, block: int) -> Dat
     open_ = met.where(F.col("_id") == F.col("_first"))
     groups = open_.groupBy("_h").agg(F.count(F.lit(1)).alias("_k"), F.min("_id").alias("_x"), F.max("_id").alias("_y"))
     groups = store.written(groups.where(F.col("_x") < F.col("_y")).select("_h", "_k"), "groups")
-    want = open_.join(groups, "_h", "left_semi").groupBy("_id", "_key")
-    want = store.written(want.agg(F.collect_set(F.struct("_h", "_pos", "_l", "_r")).alias("_want")), "want")  # a row for each text, as long as its number of anchors
+    sizes = groups.agg(F.coalesce(F.sum(F.when(F.col("_k") <= hot, F.col("_k"))), F.lit(0)).alias("n"), F.count_if(F.col("_k") > hot).alias("hot")).first()
+    blocks = max(1, -(-sizes["n"] // block))
+    dealt = groups.select("_h", F.when(F.col("_k") > hot, -1).otherwise(F.pmod(F.xxhash64("_h"), F.lit(blocks))).cast("long").alias("_block"))
+    want = open_.join(dealt, "_h").groupBy("_id", "_key")
+    want = store.written(want.agg(F.collect_set(F.struct("_block", "_pos", "_l", "_r")).alias("_want")), "want")  # a row for each text, as long as its number of anchors
     texts = store.marked(own, F.col("_key"), want.select("_key")).join(want, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
     around = store.written(texts.select("_id", "_key", "_text", "_want").mapInArrow(surroundings, CONTEXT), "surroundings")
 
-    sizes = groups.agg(F.coalesce(F.sum(F.when(F.col("_k") <= hot, F.col("_k"))), F.lit(0)).alias("n"), F.count_if(F.col("_k") > hot).alias("hot")).first()
-    blocks = max(1, -(-sizes["n"] // block))
-    large = groups.where(F.col("_k") > hot).select("_h")
-    dealt = (around.join(large, "_h", "left_anti") if sizes["hot"] else around).withColumn("_block", F.pmod(F.xxhash64("_h"), F.lit(blocks)))
-    spans = spans.unionByName(dealt.groupBy("_block").applyInArrow(parse(width), SPAN))
+    spans = spans.unionByName(around.where("_block >= 0").groupBy("_block").applyInArrow(parse(width), SPAN))
     if sizes["hot"]:
-        each = around.join(large, "_h", "left_semi").select("_id", "_key", "_at", "_l", "_words").mapInArrow(all_windows(width), "_w long, _id long, _key long, _a long")
+        each = around.where("_block < 0").select("_id", "_key", "_at", "_l", "_words").mapInArrow(all_windows(width), "_w long, _id long, _key long, _a long")
         first = each.groupBy("_w").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where(F.col("_first") < F.col("_last"))
         first = store.written(first.select("_w", "_first"), "first")
         many = store.marked(each, F.col("_w"), first.select("_w")).join(first, "_w").where(F.col("_id") > F.col("_first"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import drop, new_path, remove, shared_dir, written
 
-__all__ = ["drop", "keeps_columns", "marked", "new_path", "remove", "shared_dir", "ship", "written"]
+__all__ = ["drop", "keeps_columns", "marked", "new_path", "remove", "shared_dir", "ship", "small_batches", "trimmed", "written"]
 
 PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -32,6 +35,33 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows go to Python workers in Arrow batches of so many bytes; Spark's own bound of 64 MB is taken by each of an executor's
+#: tasks several times, in the JVM and in the worker.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_BYTES for the session, unless it has a bound of its own."""
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
+
+
+def trimmed(work):
+    """For functions of Python workers: what they leave unused when they end goes back to the system, as the worker lives
+    on beside other stages."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 #: Keys are marked in so many bits (8 MB), which are broadcast. With more keys than bits, some rows pass in vain.
 BITS = 1 << 26
 
