@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..errors import PartitionError
 from ..meta import PartKind, Partitioning
+from . import entries as en
 
 
 def checked(x: Column, n: int) -> Column:
@@ -41,6 +43,22 @@ def custom(df: DataFrame, x: Column, table: DataFrame, name: str = "part") -> Da
     return df.withColumn("_idx", x).join(table.select(F.col("idx").alias("_idx"), F.col("part").alias(name)), "_idx", "left").drop("_idx")
 
 
+def sized(df: DataFrame, x: Column, sizes: DataFrame, name: str = "part") -> DataFrame:
+    """df with the part of each index x, counted from 0, of consecutive parts with given sizes: sizes is a table (part, size)
+    of any length with parts numbered from 0; empty parts hold nothing. An index outside all parts stops the job.
+
+    Where parts begin and the indices stand in one sorted line, and an index is in the last part that begins before it: a
+    count over the line, whatever the sizes are and however often an index repeats."""
+    starts = storage.written(en.prefix_sum(sizes.select("part", "size"), "part", F.col("size"), "_at"), "starts")
+    total = starts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = df.select(checked(x.cast("long"), total).alias("_at"), F.lit(1).alias("_kind"), F.monotonically_increasing_id().alias("_tie"), F.struct(*df.columns).alias("_row"))
+    kind = rows.schema["_row"].dataType
+    begins = starts.select("_at", F.lit(0).alias("_kind"), F.col("part").cast("long").alias("_tie"), F.lit(None).cast(kind).alias("_row"))
+    line = storage.written(en.ranked(rows.unionByName(begins), [F.col("_at"), F.col("_kind"), F.col("_tie")], "_k"), "line")
+    counted = en.prefix_sum(line, "_k", 1 - F.col("_kind"), "_n").where("_kind = 1")
+    return counted.select("_row.*", (F.col("_n") - 1).cast("int").alias(name))
+
+
 def partition(entries: DataFrame, kind: PartKind | str, nrows: int, ncols: int, nnz: int, rows: dict | None = None, columns: dict | None = None, nonzeros: dict | None = None) -> DataFrame:
     """entries with `part`. rows, columns and nonzeros say how: arguments of part_of without x and n."""
     kind = PartKind(kind)

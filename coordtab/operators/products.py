@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..errors import IncompatibleError
 from ..functions import cplx
 from ..meta import Symmetry, Transposition
@@ -69,6 +70,41 @@ def gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha=1.0, beta
     return combined(product_sum(joined, ["i", "j"], "_a", "_b", ve.is_complex(left)), c, alpha, beta)
 
 
+#: Products that one inner index may make in one task.
+HEAVY = 1 << 20
+
+
+def spread(left: DataFrame, right: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """Both operands (i, _in, _a) and (_in, j, _b) with _p and _q, on which they meet as well. An inner index of m entries
+    on the left and n on the right makes m n products; beyond `heavy` they are spread over a grid of g times g tasks, g
+    squared times heavy being m n: an entry on the left goes to all of one row of the grid, which its i decides, one on the
+    right to all of a column. So 2 g copies are dealt out for m n products, and no task makes many more than others."""
+    m = left.groupBy("_in").agg(F.count(F.lit(1)).alias("_m"))
+    n = right.groupBy("_in").agg(F.count(F.lit(1)).alias("_n"))
+    products = F.col("_m").cast("double") * F.col("_n")
+    large = storage.written(m.join(n, "_in").where(products > heavy).select("_in", F.ceil(F.sqrt(products / heavy)).cast("int").alias("_g")), "heavy")
+
+    def dealt(df: DataFrame, own: str, outer: str, every: str) -> DataFrame:
+        g = F.coalesce("_g", F.lit(1))
+        with_g = df.join(large, "_in", "left")
+        return with_g.withColumn(own, F.pmod(F.xxhash64(outer), g).cast("int")).withColumn(every, F.explode(F.sequence(F.lit(0), g - 1))).drop("_g")
+
+    return dealt(left, "_p", "i", "_q"), dealt(right, "_q", "j", "_p")
+
+
+def gemm_grid(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha=1.0, beta=0.0, trans_a: Transposition | str = "notrans", trans_b: Transposition | str = "notrans", symmetry: Symmetry | str = "general", assembled: bool = False, heavy: int = HEAVY) -> DataFrame:
+    """gemm for sparse operands with frequent inner indices: the same result, in tasks of even size. It costs two counts of
+    the operands more."""
+    left, right = oriented(a, trans_a, symmetry), oriented(b, trans_b, "general")
+    if not assembled:
+        left, right = storage.written(en.assemble(left), "left"), storage.written(en.assemble(right), "right")
+    is_complex = ve.is_complex(left)
+    if is_complex != ve.is_complex(right):
+        raise IncompatibleError("A and B differ in field")
+    left, right = spread(left.select("i", F.col("j").alias("_in"), F.col("a").alias("_a")), right.select(F.col("i").alias("_in"), "j", F.col("a").alias("_b")), heavy)
+    return combined(product_sum(left.join(right, ["_in", "_p", "_q"]), ["i", "j"], "_a", "_b", is_complex), c, alpha, beta)
+
+
 def tiles(m: DataFrame, rows: int, name: str) -> DataFrame:
     """(bi, bj, entries) of square tiles: places within the tile and values."""
     at = lambda c: F.expr(f"({c} - 1) div {rows}")
@@ -99,7 +135,10 @@ def gemm_dense(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha=1.0
 
 
 class Prepared:
-    """A matrix laid out once for many products: partitioned by column and kept, so that only vectors move."""
+    """A matrix laid out once for many products: partitioned by column and kept, so that only vectors move. For vectors that
+    stay where they are as well, see halo.Product, which has the same methods."""
+
+    keys = ["i"]
 
     def __init__(self, a: DataFrame, partitions: int, trans: Transposition | str = "notrans", symmetry: Symmetry | str = "general"):
         self.a = oriented(a, trans, symmetry).repartition(partitions, "j").persist()
@@ -107,6 +146,12 @@ class Prepared:
     def gemv(self, x: DataFrame, y: DataFrame | None = None, alpha=1.0, beta=0.0) -> DataFrame:
         return gemv(self.a, x, y, alpha, beta)
 
+    def placed(self, x: DataFrame) -> DataFrame:
+        return x
+
+    def written(self, df: DataFrame) -> DataFrame:
+        return storage.written(df, "prepared")
+
     def close(self) -> None:
         self.a.unpersist()
 

@@ -9,18 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import cplx, morton
 from ..meta import Field, Kind, Layout, Meta, Symmetry
 from ..operators import entries as en
-from ..operators import generate, graphs, integers, products, solver, spy
+from ..operators import generate, graphs, halo, integers, multilevel, products, solver, spy, tiles
 from ..operators import partitioning as pt
 from ..operators import permutations as pe
 from ..operators import vectors as ve
-from ..sources import mtx
+from ..sources import datasource, mtx
 from ..streaming import assemble as streaming
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,7 +250,7 @@ query("usga", "SELECT p.i, y.a FROM p JOIN y USING (i)")(lambda t: ve.usga(t.p,
 query("usgz", "SELECT y.i, CASE WHEN p.i IS NULL THEN y.a ELSE 0 END AS a FROM y LEFT JOIN p USING (i)")(lambda t: ve.usgz(t.p, t.y)[1])
 query("ussc", "SELECT y.i, coalesce(p.a, y.a) AS a FROM y LEFT JOIN p USING (i)")(lambda t: ve.ussc(t.p, t.y))
 query("usscga", "SELECT q.i, coalesce(p.a, 0) AS a FROM q LEFT JOIN p USING (i)")(lambda t: ve.usscga(t.p, t.q))
-query("constant_vector", "SELECT unnest(range(0, 1000)) AS i, 1.0::DOUBLE AS a")(lambda t: ve.constant(t.spark, 1000, 1.0))
+query("constant_vector", "SELECT range AS i, 1.0::DOUBLE AS a FROM range(0, (SELECT count(*) FROM orders))")(lambda t: ve.constant(t.spark, t.n_orders, 1.0))
 query("get_values", "SELECT string_agg(r_regionkey * 10, ',' ORDER BY r_regionkey) AS values FROM region")(lambda t: ve.get_values(ve.vector(t.read("region"), "r_regionkey", (F.col("r_regionkey") * 10).cast("int"))).select(F.array_join("values", ",").alias("values")))
 
 # ---------------------------------------------------------------- partitions and splits
@@ -278,7 +278,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- permutations, sets, sorts, codes
 
-query("permutation_identity", "SELECT range AS src, range AS dst FROM range(0, 500)")(lambda t: pe.identity(t.spark, 500))
+query("permutation_identity", "SELECT range AS src, range AS dst FROM range(0, (SELECT count(*) FROM orders))")(lambda t: pe.identity(t.spark, t.n_orders))
 query("permutation_invert", "SELECT dst AS src, src AS dst FROM r")(lambda t: pe.invert(t.r))
 query("permutation_compose", "SELECT a.src, b.dst FROM r AS a JOIN r AS b ON a.dst = b.src")(lambda t: pe.compose(t.r, t.r))
 query("permutation_apply", "SELECT dst AS i, a FROM y JOIN r ON i = src")(lambda t: pe.apply(t.r, t.y))
@@ -366,11 +366,30 @@ def _cg(t: Tables) -> DataFrame:
     return solver.cg(a, b, rtol=1e-12).x.withColumn("a", F.round("a", 6) + 0.0)
 
 
-query("random_uniform_kept", "SELECT 20000::BIGINT AS n, true AS inside")(
-    lambda t: generate.uniform_matrix(t.spark, 1000, 500, 20_000, "integer", low=1, high=9, seed=7).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("i").between(1, 1000) & F.col("j").between(1, 500) & F.col("a").between(1, 9)).alias("inside"))
-)
-query("random_uniform")(lambda t: generate.uniform_matrix(t.spark, 1000, 500, 20_000, "integer", low=1, high=9, seed=7))
-query("random_block_diagonal", "SELECT range AS k, range // 12 * 4 + range % 12 // 3 + 1 AS i, range // 12 * 3 + range % 3 + 1 AS j FROM range(0, 1200)")(lambda t: generate.block_diagonal(t.spark, 100, 4, 3, field="pattern"))
+
+
+def random_like_lineitem(t: Tables) -> DataFrame:
+    """As many random entries as lineitem has rows, of an orders x part matrix."""
+    return generate.uniform_matrix(t.spark, t.n_orders, t.read("part").count(), t.read("lineitem").count(), "integer", low=1, high=9, seed=t.read("nation").count())
+
+
+@query("random_uniform_kept", "SELECT count(*) AS n, true AS inside, true AS even, true AS spread FROM lineitem")
+def _uniform_kept(t: Tables) -> DataFrame:
+    """Number and range of the entries; whether the frequencies of the nine values and of ten bands of rows are those of
+    an even distribution (within five deviations)."""
+    made = random_like_lineitem(t)
+    n, rows, columns = t.read("lineitem").count(), t.n_orders, t.read("part").count()
+
+    def even(cell, cells: int):
+        far = made.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.abs(F.col("n") - n / cells)), F.count(F.lit(1))).first()
+        return far[1] == cells and far[0] <= 5 * (n / cells) ** 0.5
+
+    sums = made.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("i").between(1, rows) & F.col("j").between(1, columns) & F.col("a").between(1, 9)).alias("inside"))
+    return sums.withColumns({"even": F.lit(even(F.col("a"), 9)), "spread": F.lit(even(F.floor((F.col("i") - 1) * 10 / rows), 10))})
+
+
+query("random_uniform")(random_like_lineitem)
+query("random_block_diagonal", "SELECT range AS k, range // 12 * 4 + range % 12 // 3 + 1 AS i, range // 12 * 3 + range % 3 + 1 AS j FROM range(0, (SELECT 12 * count(*) FROM supplier))")(lambda t: generate.block_diagonal(t.spark, t.read("supplier").count(), 4, 3, field="pattern"))
 query("spy_pixels", "SELECT DISTINCT CAST(floor((j - 0.5) / (SELECT count(*) FROM part) * (40 * (SELECT count(*) FROM part) // (SELECT count(*) FROM orders))) AS INTEGER) AS x, CAST(floor((i - 0.5) / (SELECT count(*) FROM orders) * 40) AS INTEGER) AS y FROM l")(
     lambda t: spy.pixels(t.l, t.n_orders, t.read("part").count(), 40, 40)
 )
@@ -435,6 +454,168 @@ def _stream(t: Tables) -> DataFrame:
     return t.spark.table(name)
 
 
+# ---------------------------------------------------------------- structures for large inputs
+
+
+@query("stream_assemble_table", "SELECT user_id AS i, CAST(length(event_type) AS BIGINT) AS j, count(*) AS a FROM events GROUP BY ALL")
+def _stream_table(t: Tables) -> DataFrame:
+    """The events as a stream, assembled into a table of files that no repeated batch can spoil."""
+    events = t.read("events")
+    stream = t.spark.readStream.schema(events.schema).parquet(f"{t.dir}/events.parquet*")
+    table = streaming.Table(t.spark, storage.new_path(t.spark, "assembled"))
+    placed = stream.select(F.col("user_id").alias("i"), F.length("event_type").cast("long").alias("j"), F.lit(1).cast("long").alias("a"))
+    streaming.into_table(placed, table, storage.new_path(t.spark, "checkpoint")).awaitTermination()
+    return table.read()
+
+
+def key_grid(t: Tables) -> tuple[DataFrame, int]:
+    """The parts in rows of equal length, in order of their keys: each is joined to the next of its row and the one below."""
+    n = t.read("part").count()
+    side = max(1, int(n**0.5))
+    key = F.col("p_partkey")
+    right, below = F.when((key % side < side - 1) & (key < n - 1), key + 2), F.when(key + side < n, key + side + 1)
+    each = t.read("part").select((key + 1).alias("i"), F.explode(F.array(right, below)).alias("j")).where("j IS NOT NULL")
+    return each.select((F.col("i") * 2 + (F.col("j") > F.col("i") + 1).cast("int")).alias("k"), "i", "j", F.lit(1.0).alias("a")), n
+
+
+def compared(t: Tables, a: DataFrame, n: int, parts: int) -> DataFrame:
+    """Vertices, the parts that are within their bound, and whether the cut is none above that of the flat form."""
+    edges = storage.written(graphs.adjacency(a, n, n), "edges")
+    parted = storage.written(multilevel.partition(a, n, n, parts), "parts")
+    better = graphs.cut_of(edges, parted) <= graphs.cut_of(edges, graphs.partition(a, n, n, parts))
+    bound = max(-(-n // parts), int(n * multilevel.BALANCE / parts))
+    sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("v").alias("_v"))
+    return sizes.agg(F.sum("_v").alias("n"), F.count_if(F.col("_n") <= bound).alias("within"), F.lit(better).alias("no_worse"))
+
+
+query("partition_multilevel", "SELECT count(*) AS n, 4::BIGINT AS within, true AS no_worse FROM customer")(lambda t: compared(t, t.w, t.n_customers, 4))
+query("partition_multilevel_grid", "SELECT count(*) AS n, 4::BIGINT AS within, true AS no_worse FROM part")(lambda t: compared(t, *key_grid(t), 4))
+
+
+@query("separator_halves", "SELECT count(*) AS n, 0::BIGINT AS joined, true AS halves, true AS small FROM part")
+def _halves(t: Tables) -> DataFrame:
+    """Vertices in halves and separator, edges that join the halves, whether the halves are within their bound, and the
+    separator is none larger than the middle level of a breadth-first level structure."""
+    a, n = key_grid(t)
+    edges = storage.written(graphs.adjacency(a, n, n), "edges")
+    vertices = t.spark.range(1, n + 1).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("piece"))
+    sides = multilevel.halves(vertices, edges)
+    joined = edges.join(sides.toDF("src", "_a"), "src").join(sides.toDF("dst", "_b"), "dst").where("_a = 0 AND _b = 1").count()
+    level = graphs.levels(edges, graphs.pseudo_peripheral(edges)).groupBy("level").count().withColumn("_upto", F.sum("count").over(Window.orderBy("level")))  # a row a level
+    middle = level.where(F.col("_upto") > n / 2).orderBy("level").first()["count"]
+    size = F.count_if(F.col("side") == 2)
+    bound = max(-(-n // 2), int(n * 1.1 / 2))
+    return sides.agg(F.countDistinct("v").alias("n"), F.lit(joined).cast("long").alias("joined"), ((F.count_if(F.col("side") == 0) <= bound) & (F.count_if(F.col("side") == 1) <= bound)).alias("halves"), (size <= middle).alias("small"))
+
+
+@query("reorder_separators_kept", "SELECT n, n AS n_src, n AS n_dst, 1::BIGINT AS low, n AS high FROM (SELECT count(*) AS n FROM part)")
+def _separators_kept(t: Tables) -> DataFrame:
+    a, n = key_grid(t)
+    perm, _ = multilevel.dissection(a, n, n, smallest=max(8, n // 3))
+    return perm.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"), F.min("dst").alias("low"), F.max("dst").alias("high"))
+
+
+def runs_of(t: Tables, n: int, parts: int) -> DataFrame:
+    """(i, part): equal runs of 1..n."""
+    return t.spark.range(1, n + 1).select(F.col("id").alias("i"), F.floor((F.col("id") - 1) * parts / n).cast("int").alias("part"))
+
+
+@query("gemv_prepared", "SELECT l.i, sum(l.a * x.a) AS a FROM l JOIN x ON l.j = x.i GROUP BY l.i")
+def _prepared(t: Tables) -> DataFrame:
+    """The product by a plan that moves only what other parts need."""
+    plan = halo.Product(t.l, runs_of(t, t.n_orders, 8), 8, columns=runs_of(t, t.read("part").count(), 8))
+    return plan.written(plan.gemv(plan.placed(t.x))).select("i", "a")
+
+
+@query("conjugate_gradients_parts", "SELECT i, a FROM x")
+def _cg_parts(t: Tables) -> DataFrame:
+    """A = L + 1 for the Laplacian L of the grid of parts, laid out in parts of rows; b = A x."""
+    a, n = key_grid(t)
+    degree = graphs.degrees(graphs.adjacency(a, n, n), n).select(F.col("v").alias("i"), F.col("v").alias("j"), (F.col("degree") + 1.0).alias("a"))
+    a = degree.unionByName(en.expand_symmetry(a.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), F.lit(-1.0).alias("a")), "symmetric"))
+    return solver.cg(a, products.gemv(a, t.x), rtol=1e-12, owners=runs_of(t, n, 4), partitions=4).x.withColumn("a", F.round("a", 6) + 0.0)
+
+
+@query("usscga_plan", "SELECT q.i, CASE WHEN q.i % 3 = 0 THEN 0 ELSE 1 END AS part, coalesce(p.a, 0) AS a FROM q LEFT JOIN p USING (i)")
+def _usscga_plan(t: Tables) -> DataFrame:
+    """Packed vectors in parts, x by quarters of its places and z by thirds, scattered by a stored plan."""
+    x = t.p.select((F.col("i") % 4).cast("int").alias("part"), "i", "a")
+    z = t.q.select(F.when(F.col("i") % 3 == 0, 0).otherwise(1).alias("part"), "i")
+    return halo.Scatter(x, z, 4).run(halo.bucketed(x, 4, "i")).select("i", "part", "a")
+
+
+query("gemv_tiles", "SELECT l.i, sum(l.a * x.a) AS a FROM l JOIN x ON l.j = x.i GROUP BY l.i")(lambda t: tiles.gemv(tiles.tiled(t.l, 512), ve.blocked(t.x.withColumn("i", F.col("i") - 1), 512), size=512))
+query("tiles_entries", "SELECT i, j, sum(a) AS a FROM l GROUP BY i, j")(lambda t: tiles.entries_of(tiles.tiled(t.l, 512), 512))
+
+SKEWED = "(SELECT l_suppkey + 1 AS i, CASE WHEN l_linenumber = 1 THEN 1 ELSE l_partkey + 1 END AS j, l_quantity AS a FROM lineitem)"
+
+
+@query("gemm_grid", f"SELECT a.i, b.i AS j, sum(a.a * b.a) AS a FROM {SKEWED} AS a JOIN {SKEWED} AS b USING (j) GROUP BY a.i, b.i")
+def _gemm_grid(t: Tables) -> DataFrame:
+    """A product whose first inner index has a quarter of all entries."""
+    m = en.matrix(t.read("lineitem"), "l_suppkey", F.when(F.col("l_linenumber") == 1, 0).otherwise(F.col("l_partkey")), "l_quantity")
+    return products.gemm_grid(m, m, trans_b="trans", heavy=1_000)
+
+
+@query("mtx_source", "SELECT i, j, a FROM e")
+def _source(t: Tables) -> DataFrame:
+    """Entries written and read as a data source of Spark."""
+    datasource.register(t.spark)
+    path = storage.new_path(t.spark, "mtx")
+    t.e.drop("k").write.format("mtx").options(rows=100, columns=7).mode("append").save(path)
+    return t.spark.read.format("mtx").option("split", 1 << 16).load(path)
+
+
+query("mtx_source_filtered", "SELECT i, j, a FROM e WHERE i BETWEEN 20 AND 30 AND j IN (2, 5)")(lambda t: _source(t).where(F.col("i").between(20, 30) & F.col("j").isin(2, 5)))
+query(
+    "partition_sized_table",
+    f"WITH {VIEWS.strip()}, d AS (SELECT o_orderkey AS part, o_custkey % 4 AS size FROM orders), f AS (SELECT part, CAST(sum(size) OVER (ORDER BY part) AS BIGINT) AS upto, size FROM d) SELECT k, q.idx, CAST((SELECT min(part) FROM f WHERE f.upto > q.idx) AS INTEGER) AS part FROM (SELECT l_orderkey * 8 + l_linenumber AS k, l_orderkey AS idx FROM lineitem) AS q",
+)(lambda t: pt.sized(t.read("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.col("l_orderkey").alias("idx")), F.col("idx"), t.read("orders").select(F.col("o_orderkey").alias("part"), (F.col("o_custkey") % 4).alias("size"))))
+query("get_values_blocks", "SELECT o_orderkey // 1000 AS b, string_agg(CAST(floor(o_totalprice) AS BIGINT), ',' ORDER BY o_orderkey) AS values FROM orders GROUP BY b")(
+    lambda t: ve.blocked(ve.vector(t.read("orders"), "o_orderkey", F.floor("o_totalprice").cast("long")), 1_000).select("b", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("values"))
+)
+
+
+@query("mtx_sizes", "WITH n AS (SELECT count(*) AS n FROM orders) SELECT 2 * n AS cat, 100::BIGINT AS transposed_columns, 7::BIGINT AS row_vector, 100::BIGINT AS column_vector, n AS data_lines FROM n")
+def _sizes(t: Tables) -> DataFrame:
+    """Sizes from a file's header: of the file twice, transposed, of row and column vectors, and its data lines."""
+    path = storage.new_path(t.spark, "mtx")
+    mtx.write(Meta(100, 7, t.n_orders, field=Field.INTEGER), t.e, path)
+    m, _ = mtx.meta(t.spark, path)
+    return t.spark.createDataFrame([(m.concatenated(m).nnz, m.transposed().ncols, m.row_vector_size, m.column_vector_size, m.data_lines)], "cat long, transposed_columns long, row_vector long, column_vector long, data_lines long")
+
+
+#: Data lines of other variants: kind of vector or matrix, layout, field, precision, symmetry.
+query("mtx_single", "SELECT k, i, j, CAST(a AS FLOAT) AS a FROM e")(lambda t: single(t, Meta(100, 7, t.n_orders, precision="single"), t.e.withColumn("a", F.col("a").cast("float"))))
+query("mtx_complex_vector", "SELECT i AS k, i + 1 AS i, re, im FROM c")(lambda t: parts(round_trip(t, Meta(t.n_orders, kind=Kind.VECTOR, nnz=t.n_orders, field=Field.COMPLEX), t.c.select(F.col("i").alias("k"), (F.col("i") + 1).alias("i"), "a"))[1]))
+query("mtx_complex_array", "SELECT i AS k, re, im FROM c")(lambda t: parts(round_trip(t, Meta(t.n_orders, kind=Kind.VECTOR, layout=Layout.ARRAY, field=Field.COMPLEX), t.c.select(F.col("i").alias("k"), "a"))[1]))
+query("mtx_pattern_vector", "SELECT k, i FROM e")(lambda t: round_trip(t, Meta(100, kind=Kind.VECTOR, nnz=t.n_orders, field=Field.PATTERN), t.e.select("k", "i"))[1])
+query("mtx_integer_array", "SELECT o_orderkey AS k, o_custkey AS a FROM orders")(lambda t: round_trip(t, Meta(t.n_orders, kind=Kind.VECTOR, layout=Layout.ARRAY, field=Field.INTEGER), t.read("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a")))[1])
+
+
+def single(t: Tables, m: Meta, data: DataFrame) -> DataFrame:
+    path = storage.new_path(t.spark, "mtx")
+    mtx.write(m, data, path, fmt="%.9g")
+    return mtx.read(t.spark, path, "single")[1]
+
+
+def lower_array(t: Tables, kind: Symmetry, a, field: Field = Field.REAL) -> DataFrame:
+    """A file of a lower triangle, row by row, filled with the customers of the first orders, and its places read back."""
+    n = int((2 * t.n_orders) ** 0.5) - 1
+    lines = n * (n - 1) // 2 if kind is Symmetry.SKEW else n * (n + 1) // 2
+    data = t.read("orders").where(F.col("o_orderkey") < lines).select(F.col("o_orderkey").alias("k"), a.alias("a"))
+    path = storage.new_path(t.spark, "mtx")
+    mtx.write(Meta(n, n, layout=Layout.ARRAY, field=field, symmetry=kind), data, path)
+    return mtx.read_matrix(t.spark, path)[1].select("k", "i", "j", "a")
+
+
+LOWER = "n AS (SELECT CAST(floor(sqrt(2 * count(*))) AS BIGINT) - 1 AS n FROM orders)"
+query("mtx_skew_array", f"WITH {LOWER} SELECT o_orderkey AS k, i, j, CAST(o_custkey AS DOUBLE) AS a FROM n, range(2, n + 1) AS r(i), range(1, i) AS c(j), orders WHERE o_orderkey = (i - 1) * (i - 2) // 2 + j - 1")(lambda t: lower_array(t, Symmetry.SKEW, F.col("o_custkey").cast("double")))
+query("mtx_hermitian_array", f"WITH {LOWER} SELECT o_orderkey AS k, i, j, CAST(o_custkey AS DOUBLE) AS re, CAST(o_orderkey % 3 AS DOUBLE) AS im FROM n, range(1, n + 1) AS r(i), range(1, i + 1) AS c(j), orders WHERE o_orderkey = i * (i - 1) // 2 + j - 1")(
+    lambda t: parts(lower_array(t, Symmetry.HERMITIAN, cplx.cx(F.col("o_custkey").cast("double"), (F.col("o_orderkey") % 3).cast("double")), Field.COMPLEX))
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
