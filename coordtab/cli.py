@@ -150,9 +150,15 @@ def how(args, of: str) -> dict:
     return {"how": getattr(args, f"{of}_part_type"), "parts": getattr(args, f"{of}_parts"), "block": getattr(args, f"{of}_blksize")}
 
 
+def own_method(name: str) -> None:
+    """Says what is done in place of a package."""
+    print(f"{name}: made by this library's own partition (runs of a breadth-first order, improved by exchanges), not by that package", file=sys.stderr)
+
+
 def run_partition(spark, args):
     m, a = matrix(spark, args, args.A)
     if args.part_type in (PartKind.METIS, PartKind.SCOTCH):
+        own_method(args.part_type)
         out = graphs.partition_entries(a, m.nrows, m.ncols, args.nz_parts)
     else:
         out = pt.partition(a, args.part_type, m.nrows, m.ncols, m.data_lines, how(args, "row"), how(args, "column"), how(args, "nz"))
@@ -194,6 +200,8 @@ def write_map(perm: DataFrame | None, n: int, path: str | None) -> None:
 def run_reorder(spark, args):
     m, a = matrix(spark, args, args.A)
     given = args.ordering is Ordering.CUSTOM
+    if args.ordering in (Ordering.METIS, Ordering.SCOTCH):
+        own_method(args.ordering)
     rows = index_map(spark, args.rowperm_path) if given and args.rowperm_path else None
     columns = index_map(spark, args.colperm_path) if given and args.colperm_path else None
     out, rows, columns = graphs.reorder(a, m.nrows, m.ncols, args.ordering, rows, columns, args.rcm_starting_vertex or None, args.parts)
