@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytestream, store
-from .components import components
+from .components import components, salt, salted
 
 ROWS, BANDS = 5, 40
 MINIMA = ROWS * BANDS
@@ -89,13 +89,13 @@ def sign(n: int):
 
 
 def agreeing(batches):
-    """Keeps the pairs whose signatures agree often enough. Columns: _a, _b, _sig_a, _sig_b."""
+    """Whether the signatures of pairs agree often enough. Columns: _a, _b, _sig_a, _sig_b."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MINIMA) for k in (2, 3))
         keep = (x == y).sum(axis=1) >= SURE * MINIMA
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_a", "_b"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep)], names=["_a", "_b", "_likely"])
 
 
 def packed(n: int):
@@ -131,9 +131,9 @@ class Search:
     def __init__(self, docs: DataFrame, signed: DataFrame, n: int, num: int, den: int, ident: str, text: str):
         self.n, self.num, self.den = n, num, den
         self.texts = docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_t"))
-        self.classes = signed.where((F.col("_n") > 0) & F.col("_id").isNotNull()).groupBy("_set").agg(F.min("_id").alias("_first"))
-        self.classes = store.written(self.classes, "classes")
-        self.reps = store.written(signed.where(F.col("_n") > 0).join(self.classes.select(F.col("_first").alias("_id"), "_set"), ["_id", "_set"], "left_semi").dropDuplicates(["_id", "_set"]).select("_id", "_bands", "_sig"), "reps")
+        # equal sets have equal bands and signatures: any of a class will do
+        classes = signed.where((F.col("_n") > 0) & F.col("_id").isNotNull()).groupBy("_set")
+        self.reps = store.written(classes.agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_copies"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")), "reps")
         bands = self.reps.select("_id", F.explode("_bands").alias("_k"))
         shared = bands.groupBy("_k").agg(F.min("_id").alias("_p"), F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1)
         self.members = store.written(bands.join(shared, "_k"), "members")  # _k, _id, _p, _m
@@ -144,27 +144,30 @@ class Search:
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["_a", "_b"], "left_anti")
-        pairs = store.written(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         sig = self.reps.select("_id", "_sig")
         signed = pairs.join(sig.toDF("_a", "_sig_a"), "_a").join(sig.toDF("_b", "_sig_b"), "_b").select("_a", "_b", "_sig_a", "_sig_b")
-        likely = store.written(signed.mapInArrow(store.trimmed(agreeing), PAIR_DDL), "likely")
+        pairs = store.written(signed.mapInArrow(store.trimmed(agreeing), PAIR_DDL + ", _likely boolean"), "pairs")
+        self.tested = pairs.select("_a", "_b") if self.tested is None else self.tested.unionByName(pairs.select("_a", "_b"))
+        likely = pairs.where("_likely").select("_a", "_b")
         ids = likely.select(F.col("_a").alias("_id")).union(likely.select("_b")).distinct()
-        ids = store.written(ids, "ids")
         near = store.marked(self.texts, F.col("_id"), ids).join(ids, "_id", "left_semi")
         sets = store.written(near.mapInArrow(store.trimmed(packed(self.n)), "_id long, _set binary"), "sets")
         joined = likely.join(sets.toDF("_b", "_set_b"), "_b").join(sets.toDF("_a", "_set_a"), "_a").select("_a", "_b", "_set_a", "_set_b")
         found = store.written(joined.mapInArrow(store.trimmed(confirm(self.num, self.den)), PAIR_DDL), "links")
-        store.drop(likely, ids, sets)
+        store.drop(sets)
         self.links = found if self.links is None else self.links.unionByName(found)
         return found
 
+    def join(self) -> None:
+        """Components by all links so far."""
+        links = self.links if self.known is None else self.links.unionByName(self.known)
+        self.known = components(links, "_a", "_b").select(F.col("_component").alias("_a"), F.col("_id").alias("_b"))
+
     def place(self) -> None:
         """Components so far, and of each bucket (of three members or more) the members of each: `placed` is _k, _m, _id,
         _c, and `mixed` has _k, _m, _c, _n (members), _low and _high (ids) for buckets of several components, and the
         bucket's _main component, that of most members."""
-        links = self.links if self.known is None else self.links.unionByName(self.known)
-        self.known = components(links, "_a", "_b").select(F.col("_component").alias("_a"), F.col("_id").alias("_b"))
+        self.join()
         of = self.known.select(F.col("_b").alias("_id"), F.col("_a").alias("_component"))
         self.placed = self.members.where(F.col("_m") > 2).join(of, "_id", "left").select("_k", "_m", "_id", F.coalesce("_component", "_id").alias("_c"))
         each = store.written(self.placed.groupBy("_k", "_m", "_c").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_low"), F.max("_id").alias("_high")), "placed")
@@ -187,12 +190,12 @@ class Search:
         large = self.mixed.where(F.col("_m") > SMALL)
         pivot = large.where(F.col("_c") == F.col("_main")).select("_k", F.col("_high").alias("_x"))
         outer = self.placed.join(large.where(F.col("_c") != F.col("_main")).select("_k", "_c"), ["_k", "_c"], "left_semi").select("_k", F.col("_id").alias("_y"))
-        self.test(self.ordered(pairs.unionByName(pivot.join(outer, "_k").select("_x", "_y"))))
-        self.place()
+        if not self.test(self.ordered(pairs.unionByName(pivot.join(outer, "_k").select("_x", "_y")))).isEmpty():
+            self.place()
         large = self.mixed.where(F.col("_m") > SMALL)
         if not large.isEmpty():
             self.test(self.rest(large))
-            self.place()
+            self.join()
         return self.known.select(F.col("_b").alias("_id"), F.col("_a").alias("_component"))
 
     def rest(self, large: DataFrame) -> DataFrame:
@@ -255,8 +258,10 @@ def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, ident: s
     search = Search(docs, signed, n, num, den, ident, text)
     found = search.run()
     narrow = signed.select("_id", "_n", "_set")
-    firsts = search.classes.join(found, F.col("_first") == F.col("_id"), "left").select("_set", F.coalesce("_component", "_first").alias("_via"))
-    placed = narrow.join(firsts, "_set", "left").withColumn("_via", F.when(F.col("_id").isNotNull(), F.coalesce("_via", "_id")))
+    firsts = search.reps.select("_set", "_copies", F.col("_id").alias("_first")).join(found, F.col("_first") == F.col("_id"), "left")
+    # a text without copies or links is its own component; copies of one text are dealt over several tasks
+    firsts = firsts.where((F.col("_copies") > 1) | F.col("_component").isNotNull()).select("_set", F.coalesce("_component", "_first").alias("_via"))
+    placed = narrow.withColumn("_s", salt("_id")).join(salted(firsts), ["_set", "_s"], "left").withColumn("_via", F.when(F.col("_id").isNotNull(), F.coalesce("_via", "_id")))
     # an id of several rows with different sets joins their components
     repeated = narrow.where(F.col("_id").isNotNull()).groupBy("_id").count().where(F.col("count") > 1)
     if repeated.isEmpty():
