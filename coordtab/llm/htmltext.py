@@ -8,7 +8,9 @@ shorter phrase in a block that is unique stays, wherever else it stands.
 
 Markup protects and vetoes. Blocks of an article that the markup names stay, as an article may be quoted or mirrored on
 another page; what it calls a menu, an advert, ... goes even if it is unique; and where it names an article, so does what
-stands outside. The index decides about all other blocks, with the blocks of all pages as evidence.
+stands outside. Names count whole: "site-footer" is a footer, a "related-work" isn't what is related. Inside a named article
+an id alone, or the class of a heading, a quotation, a table, ..., is no veto, but leaves the block to the index. The index
+decides about all other blocks too, with the blocks of all pages as evidence.
 
 Whole runs are indexed by a hash of the fewest blocks that make up LENGTH tokens, at both ends of each block. Of each
 PASSAGE tokens, the suffix is indexed that begins at the window's anchor, its part of PASSAGE // 4 tokens with the
@@ -54,7 +56,20 @@ OTHER = frozenset(
     "comment comments commentlist respond reply replies disqus discussion hidden".split()
 )
 #: Words that mark the page's header; an article's own header stays.
-HEADER = frozenset("header masthead topbar banner site-header".split())
+HEADER = frozenset("header masthead topbar banner".split())
+#: Words that may stand beside those in a name of several words. With another word beside it, as in "search-history", the
+#: name means something else.
+BESIDE = frozenset(
+    "site page global main primary secondary top bottom left right upper lower inner outer mobile desktop sticky fixed "
+    "list lists box block item items wrap wrapper container section area bar row column group panel module region slot unit "
+    "link links button buttons btn icon icons form field input results label title heading body content text count counter "
+    "post posts article articles story stories entry entries author recent latest more media network networks thread user users".split()
+)
+#: Elements of an article; with a class of OTHER in a named article, the index decides about them.
+CONTENT = frozenset("h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table caption tbody thead tfoot tr td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Ids that veto in a named article too: readers' comments are unique, so the index never finds them.
+READERS = frozenset("comment comments commentlist respond reply replies disqus".split())
 #: Marks of the article, from the surest.
 BODY_WORDS = frozenset("article-body articlebody article-content post-content post-body entry-content story-body story content main main-content maincontent article post entry body-content page-content".split())
 
@@ -76,23 +91,40 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html_module.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(source)} if source.strip(" /\n\t") else {}
 
 
-def marks(name: str, attrs: dict[str, str]) -> tuple[bool, bool, int]:
-    """(isn't the article, is a header, how surely the article: 0 for no sign, 4 for the best)."""
-    names = [x.lower() for k in ("class", "id", "role") for x in attrs.get(k, "").split()]
-    parts = {p for x in names for p in re.split(r"[^a-z0-9]+", x)}
+def names_one_of(words: frozenset[str], name: str) -> bool:
+    """Whether a class, id or role is made of these words, and of such as may stand beside them. Up to two letters, or a
+    number, say nothing."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    return any(x in words for x in parts) and all(x in OTHER or x in HEADER or x in BESIDE or len(x) < 3 or x.isdigit() for x in parts)
+
+
+def marks(name: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bool, int]:
+    """(isn't the article, may not be, is a header, how surely the article: 0 for no sign, 4 for the best), for an element
+    that stands inside a named article or not."""
+    classes = [x.lower() for k in ("class", "role") for x in attrs.get(k, "").split()]
+    ids = [x.lower() for x in attrs.get("id", "").split()]
     hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(NO_DISPLAY.search(attrs.get("style", "")))
-    drop = name in DROPPED or hidden or bool(parts & OTHER)
-    header = name == "header" or bool(parts & HEADER)
+    drop, doubt = name in DROPPED or hidden, False
+    if not drop:
+        by_class = any(names_one_of(OTHER, x) for x in classes)
+        by_id = name not in HEADINGS and any(names_one_of(OTHER, x) for x in ids)
+        readers = by_id and any(names_one_of(READERS, x) for x in ids)
+        if inside:
+            drop = by_class and name not in CONTENT or readers
+            doubt = (by_class or by_id) and not drop and name not in INLINE
+        else:
+            drop = by_class or by_id
+    header = name == "header" or any(names_one_of(HEADER, x) for x in classes + ids * (name not in HEADINGS))
     if name in ("body", "html"):
-        drop = header = False
+        drop = doubt = header = False
     sure = 0
     if name == "article" or attrs.get("itemprop", "").lower() == "articlebody":
         sure = 4
     elif name == "main" or attrs.get("role", "").lower() == "main":
         sure = 3
-    elif name in ("div", "section", "td") and set(names) & BODY_WORDS:
+    elif name in ("div", "section", "td") and set(classes + ids) & BODY_WORDS:
         sure = 2
-    return drop, header, sure
+    return drop, doubt, header, sure
 
 
 class Quotes:
@@ -126,13 +158,13 @@ class Quotes:
 
 
 class Page:
-    """Blocks of a page in order: (text, surest mark above it, whether the markup calls it something else)."""
+    """Blocks of a page in order: (text, surest mark above it, whether the markup calls it something else, or may)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # name, dropped, surest mark so far
+        self.blocks: list[tuple[str, int, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, int]] = []  # name, dropped, in doubt, surest mark so far
         self.open: Counter[str] = Counter()
-        self.dropped = 0
+        self.dropped = self.doubts = 0
         self.sure = 0
         self.text: list[str] = []
         self.off: list[str] = []
@@ -174,15 +206,16 @@ class Page:
         for parts, off in ((self.text, False), (self.off, True)):
             text = " ".join("".join(parts).split())
             if text:
-                self.blocks.append((text, self.sure, off))
+                self.blocks.append((text, self.sure, off, self.doubts > 0))
             parts.clear()
 
     def pop(self, to: int) -> None:
-        for name, dropped, _ in self.stack[to:]:
+        for name, dropped, doubt, _ in self.stack[to:]:
             self.open[name] -= 1
             self.dropped -= dropped
+            self.doubts -= doubt
         del self.stack[to:]
-        self.sure = self.stack[-1][2] if self.stack else 0
+        self.sure = self.stack[-1][-1] if self.stack else 0
 
     def tag(self, name: str, end: bool, source: str) -> None:
         if name == "br":
@@ -210,31 +243,43 @@ class Page:
                     break
                 if self.stack[k][0] not in INLINE:
                     break
-        drop, header, sure = marks(name, attributes(source))
+        drop, doubt, header, sure = marks(name, attributes(source), self.sure >= 2)
         if self.sure >= 3 and not drop:
             header = False
         drop = drop or header
         if source.rstrip().endswith("/") and name not in INLINE and name in ("svg", "path", "iframe"):
             return
         self.sure = max(self.sure, sure)
-        self.stack.append((name, drop, self.sure))
+        self.stack.append((name, drop, doubt, self.sure))
         self.open[name] += 1
         self.dropped += drop
+        self.doubts += doubt
 
 
-def judged_blocks(source: str | None) -> tuple[bool, list[str], list[bool]]:
-    """Whether the markup names the article; all blocks of the page; which of them are text, or may be: those of the
-    article, or else all that the markup doesn't call something else."""
+#: What a block is: no text, text whatever the index says, text but for what the index covers.
+OFF, TEXT, OPEN = 0, 1, 2
+
+
+def kinds_of_blocks(source: str | None) -> tuple[bool, list[str], list[int]]:
+    """Whether the markup settles all; all blocks of the page; what each is. Where the markup names the article, its blocks
+    are text, but those in doubt are open; else all that the markup doesn't call something else are open."""
     if not source:
         return True, [], []
     found = Page(source).blocks
-    best = max((sure for _, sure, off in found if not off), default=0)
-    clear = best >= 2
-    return clear, [t for t, _, _ in found], [not off and (sure >= best or not clear) for _, sure, off in found]
+    best = max((sure for _, sure, off, _ in found if not off), default=0)
+    named = best >= 2
+    kinds = [OFF if off or named and sure < best else OPEN if doubt or not named else TEXT for _, sure, off, doubt in found]
+    return OPEN not in kinds, [t for t, *_ in found], kinds
+
+
+def judged_blocks(source: str | None) -> tuple[bool, list[str], list[bool]]:
+    """Whether the markup settles all; all blocks of the page; which of them are text or open."""
+    clear, blocks, kinds = kinds_of_blocks(source)
+    return clear, blocks, [x != OFF for x in kinds]
 
 
 def blocks_of(source: str | None) -> tuple[bool, list[str]]:
-    """Whether the markup names the article, and the article's blocks, or else all that it doesn't call something else."""
+    """Whether the markup settles all, and the blocks that are text or open."""
     clear, blocks, text = judged_blocks(source)
     return clear, [b for b, x in zip(blocks, text) if x]
 
@@ -249,14 +294,14 @@ def parsed(html: pa.Array) -> pa.Array:
     return pa.array([{"clear": c, "text": " ".join(b)} for c, b in rows], PARSED)
 
 
-OPEN_DDL = "_key long, _host string, _blocks array<string>, _judged array<boolean>"
+OPEN_DDL = "_key long, _host string, _blocks array<string>, _kinds array<tinyint>"
 
 
 def open_pages(batches):
-    """The pages whose article the markup doesn't name."""
-    schema = pa.schema([("_key", pa.int64()), ("_host", pa.string()), ("_blocks", pa.list_(pa.string())), ("_judged", pa.list_(pa.bool_()))])
+    """The pages with blocks that the markup leaves to the index."""
+    schema = pa.schema([("_key", pa.int64()), ("_host", pa.string()), ("_blocks", pa.list_(pa.string())), ("_kinds", pa.list_(pa.int8()))])
     for batch in bytestream.slices(batches, 100):
-        out = [(key, host, *rest) for key, host, (clear, *rest) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(judged_blocks, batch.column(2).to_pylist())) if not clear]
+        out = [(key, host, *rest) for key, host, (clear, *rest) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(kinds_of_blocks, batch.column(2).to_pylist())) if not clear]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.field(k).type) for k in range(4)], schema=schema)
 
 
@@ -373,10 +418,10 @@ def anchor_windows(passage: int):
 
 
 def unique_runs(batches):
-    """_key, _cut: the words of judged blocks that no place covers."""
+    """_key, _cut: the words of text, and those of open blocks that no place covers."""
     for batch in bytestream.slices(batches, 100):
         out = []
-        for key, blocks, judged, places in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for key, blocks, kinds, places in zip(*(batch.column(k).to_pylist() for k in range(4))):
             stream, owner = token_stream(blocks) if blocks else (np.empty(0), np.empty(0, int))
             cover = np.zeros(len(stream) + 1, int)
             for p in places or ():
@@ -384,9 +429,11 @@ def unique_runs(batches):
                 cover[p["_at"] + p["_n"]] -= 1
             covered = np.cumsum(cover)[:-1] > 0
             kept, first = [], 0
-            for b, size, mine in zip(blocks, np.bincount(owner, minlength=len(blocks)).tolist(), judged):
+            for b, size, kind in zip(blocks, np.bincount(owner, minlength=len(blocks)).tolist(), kinds):
                 ws = b.split()
-                if mine:  # white space that the hashing of words doesn't know counts as one token with what it joins
+                if kind == TEXT:
+                    kept += ws
+                elif kind == OPEN:  # white space that the hashing of words doesn't know counts as one token with what it joins
                     kept += [w for w, c in zip(ws, covered[first : first + size - 1]) if not c] if size - 1 == len(ws) else [] if covered[first : first + size].all() else ws
                 first += size
             out.append((key, " ".join(kept)))
@@ -420,7 +467,7 @@ def extracted(pages: DataFrame, length: int = LENGTH, ident: str = "page_id", ur
     again = several(each.groupBy("_w")).select("_w")
     places = places.unionByName(each.where("_open").join(again, "_w", "left_semi").select("_key", (F.col("_at") + F.col("_k")).alias("_at"), F.lit(passage).alias("_n")))
     listed = places.groupBy("_key").agg(F.collect_set(F.struct("_at", "_n")).alias("_places"))
-    runs = open_.dropDuplicates(["_key"]).join(listed, "_key").select("_key", "_blocks", "_judged", "_places")
+    runs = open_.dropDuplicates(["_key"]).join(listed, "_key").select("_key", "_blocks", "_kinds", "_places")
     cut = store.written(runs.mapInArrow(unique_runs, "_key long, _cut string"), "runs")
     clear = cut_up.where("_p.clear").withColumn("_text", F.col("_p.text")).drop("_p")
     rest = cut_up.where(~F.col("_p.clear")).withColumn("_key", key).join(cut, "_key", "left").withColumn("_text", F.coalesce("_cut", "_p.text")).drop("_key", "_cut", "_p")

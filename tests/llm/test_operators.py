@@ -178,6 +178,30 @@ def test_tags_of_any_length():
     assert time.time() - began < 60
 
 
+def test_names_are_matched_whole():
+    inner = {
+        '<h2 id="discussion">': True, '<section id="related-work"><p>': True, '<p class="notice-board">': True, '<div class="search-history">': True,
+        '<div class="hidden-gem">': True, '<div id="share">': True, '<blockquote class="alert">': True, '<h3 class="comments-title">': True,
+        '<div class="share">': False, '<div class="related-posts">': False, '<section id="comments">': False, '<div class="c-comment-list_2">': False,
+        '<div class="hidden">': False, "<aside>": False, '<ul class="social-links"><li>': False, '<form id="x"><p>': False, '<div role="search">': False,
+    }
+    for tag, stays in inner.items():
+        for around in ("article", "main"):
+            got = htmltext.blocks_of(f"<body><{around}><p>one</p>{tag}two</{around}>")[1]
+            assert got == (["one", "two"] if stays else ["one"]), (tag, around)
+    outer = {'<h2 id="discussion">': True, '<div id="related-work">': True, '<div id="sidebar">': False, '<p class="notice">': False, '<div class="site-header">': False, '<h1 class="page-header">': False, '<h1 id="header">': True}
+    for tag, stays in outer.items():
+        assert htmltext.blocks_of(f"<body><p>one</p>{tag}two")[1] == (["one", "two"] if stays else ["one"]), tag
+
+
+def test_the_index_decides_about_doubtful_blocks_of_named_articles(spark):
+    same = "follow us on every network for all the latest news"
+    pages = [f'<article><p>a{k} b{k}</p><blockquote class="follow">{same}</blockquote><div id="share"><p>c{k} d{k} e{k} f{k} g{k} h{k}</p></div><p>{same}</p></article>' for k in range(3)]
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r._text for r in htmltext.extracted(df).collect()}
+    assert got == {k: f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} {same}" for k in range(3)}
+
+
 def test_unmarked_pages_lose_what_repeats_on_their_host(spark):
     line = "Home About Contact us today for more information"
     rows = [(k, f"http://h.org/{k}", f"<body><div>{line}</div><p>n{k} a{k} b{k} c{k} d{k} e{k} f{k}</p></body>") for k in range(5)]
