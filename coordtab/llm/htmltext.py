@@ -23,6 +23,7 @@ joined back to their pages. Strings are told apart by 64-bit hashes keyed by the
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import html as html_module
 import re
@@ -91,6 +92,7 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html_module.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(source)} if source.strip(" /\n\t") else {}
 
 
+@functools.lru_cache(10_000)
 def names_one_of(words: frozenset[str], name: str) -> bool:
     """Whether a class, id or role is made of these words, and of such as may stand beside them. Up to two letters, or a
     number, say nothing."""
