@@ -24,18 +24,71 @@ SIZE = 1 << 11
 TILE = "bi long, bj long, first array<int>, j array<int>, a array<double>"
 
 
+#: Cells (tiles times their rows) and entries that a worker lays out at once, or one tile.
+CELLS = 1 << 20
+
+
 def packed(size: int):
-    def work(group: pa.Table) -> pa.Table:
-        r, c = np.asarray(group.column("_r")), np.asarray(group.column("_c"))
-        order = np.lexsort((c, r))
-        first = np.zeros(size + 1, np.int32)
-        np.cumsum(np.bincount(r, minlength=size), out=first[1:])
-        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-        return pa.table({"bi": group.column("_bi").slice(0, 1), "bj": group.column("_bj").slice(0, 1), "first": one(first, pa.int32()), "j": one(c[order].astype(np.int32), pa.int32()), "a": one(np.asarray(group.column("_a"))[order], pa.float64())})
+    """Tiles from entries (_bi, _bj, _r, _c, _a) in order; the last tile of a batch waits for the next one."""
+    step = max(1, CELLS // size)
+
+    def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+
+    def laid(pieces: list[list[np.ndarray]]):
+        bi, bj, r, c, a = map(np.concatenate, zip(*pieces))
+        at = np.flatnonzero(np.concatenate([[True], (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
+        upto = np.append(at, len(bi))
+        for k in range(0, len(at), step):
+            own = upto[k : k + step + 1]
+            lo, hi, t = own[0], own[-1], len(own) - 1
+            tile = np.repeat(np.arange(t), np.diff(own))
+            first = np.zeros((t, size + 1), np.int32)
+            np.cumsum(np.bincount(tile * size + r[lo:hi], minlength=t * size).reshape(t, size), axis=1, out=first[:, 1:])
+            inside = lists(first.ravel(), np.arange(t + 1) * (size + 1), pa.int32()), lists(c[lo:hi], own - lo, pa.int32()), lists(a[lo:hi], own - lo, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(bi[own[:-1]]), pa.array(bj[own[:-1]]), *inside], names=["bi", "bj", "first", "j", "a"])
+
+    def work(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(new[0]):
+                continue
+            other = np.flatnonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]))
+            if len(other):
+                last = other[-1] + 1
+                yield from laid([*held, [c[:last] for c in new]])
+                held = [[c[last:] for c in new]]
+            else:
+                if held and (held[0][0][0], held[0][1][0]) != (new[0][0], new[1][0]):
+                    yield from laid(held)
+                    held = []
+                held.append(new)
+        if held:
+            yield from laid(held)
 
     return work
 
 
+def slices(size: int):
+    """Makes a function that cuts a batch of tiles so that a slice has CELLS cells and entries, or is one tile: the slice,
+    the row that each entry stands in, counted on from tile to tile, the entries of each tile, their columns and values."""
+    most = CELLS
+
+    def cut(batch: pa.RecordBatch):
+        total = np.cumsum(np.diff(batch.column("j").offsets.to_numpy()) + size)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+            part = batch.slice(lo, hi - lo)
+            first, j, a = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("first", "j", "a"))
+            first = first.reshape(hi - lo, size + 1)
+            yield part, np.repeat(np.arange((hi - lo) * size), np.diff(first, axis=1).ravel()), first[:, -1], j, a
+            lo = hi
+
+    return cut
+
+
 def tiled(a: DataFrame, size: int = SIZE, trans: Transposition | str = "notrans", symmetry: Symmetry | str = "general", assembled: bool = False) -> DataFrame:
     """Tiles of op(A) for real and integer values. Entries of one place are added up first, which bounds a tile by size
     squared entries; assembled=True says that there are none."""
@@ -47,40 +100,39 @@ def tiled(a: DataFrame, size: int = SIZE, trans: Transposition | str = "notrans"
     at = lambda c: F.expr(f"({c} - 1) div {size}")
     place = lambda c: ((F.col(c) - 1) % size).cast("int")
     cut = full.select(at("i").alias("_bi"), at("j").alias("_bj"), place("i").alias("_r"), place("j").alias("_c"), F.col("a").cast("double").alias("_a"))
-    return cut.groupBy("_bi", "_bj").applyInArrow(packed(size), TILE)
+    return cut.repartition("_bi", "_bj").sortWithinPartitions("_bi", "_bj", "_r", "_c").mapInArrow(packed(size), TILE)
 
 
 def entries_of(tiles: DataFrame, size: int = SIZE) -> DataFrame:
     """(i, j, a) of tiles."""
-    rows = tiles.select("bi", "bj", "j", "a", F.posexplode(F.expr(f"transform(sequence(0, {size - 1}), r -> struct(first[r] AS lo, first[r + 1] AS hi))")).alias("r", "e")).where("e.lo < e.hi")
-    each = rows.select("bi", "bj", "r", F.explode(F.arrays_zip(F.expr("slice(j, e.lo + 1, e.hi - e.lo)").alias("j"), F.expr("slice(a, e.lo + 1, e.hi - e.lo)").alias("a"))).alias("v"))
-    return each.select((F.col("bi") * size + F.col("r") + 1).alias("i"), (F.col("bj") * size + F.col("v.j") + 1).alias("j"), F.col("v.a").alias("a"))
+    cut = slices(size)
+
+    def work(batches):
+        for batch in batches:
+            for part, row, count, j, a in cut(batch):
+                bi, bj = (np.repeat(part.column(b).to_numpy(), count) * size + 1 for b in ("bi", "bj"))
+                yield pa.RecordBatch.from_arrays([pa.array(bi + row % size), pa.array(bj + j), pa.array(a)], names=["i", "j", "a"])
+
+    return tiles.select("bi", "bj", "first", "j", "a").mapInArrow(work, "i long, j long, a double")
 
 
 def multiplied(size: int):
     """Rows of tile times block that aren't empty; tiles of one row of tiles that follow each other are summed at once."""
+    cut = slices(size)
 
     def work(batches):
-        at, total, hit = None, np.zeros(size), np.zeros(size, bool)
-
-        def rows():
-            r = np.flatnonzero(hit)
-            return pa.RecordBatch.from_arrays([pa.array(at * size + r + 1), pa.array(total[r])], names=["i", "a"])
-
         for batch in batches:
-            for k, bi in enumerate(batch.column(0).to_pylist()):
-                if at is not None and bi != at:
-                    yield rows()
-                    total[:], hit[:] = 0, False
-                at = bi
-                first, j, a, x = (np.asarray(batch.column(c)[k].values) for c in range(1, 5))
-                count = np.diff(first)
-                near = j < len(x)  # columns beyond the vector's end meet nothing
-                row = np.repeat(np.arange(size), count)[near]
-                total += np.bincount(row, a[near] * x[j[near]], minlength=size)
-                hit[row] = True
-        if at is not None:
-            yield rows()
+            for part, row, count, j, a in cut(batch):
+                bi = part.column("bi").to_numpy()
+                run = np.cumsum(np.concatenate([[0], bi[1:] != bi[:-1]]))
+                x, n = part.column("_x").flatten().to_numpy(zero_copy_only=False), np.diff(part.column("_x").offsets.to_numpy())
+                near = j < np.repeat(n, count)  # columns beyond the vector's end meet nothing
+                value = a[near] * x[(np.repeat(np.cumsum(n) - n, count) + j)[near]]
+                cell = (np.repeat(run, count) * size + row % size)[near]
+                cells = int(run[-1] + 1) * size
+                hit = np.flatnonzero(np.bincount(cell, minlength=cells))
+                i = bi[np.searchsorted(run, hit // size)] * size + hit % size + 1
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.bincount(cell, value, cells)[hit])], names=["i", "a"])
 
     return work
 

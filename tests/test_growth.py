@@ -28,3 +28,36 @@ def test_triangular_places_of_large_positions(spark):
     k = [r * (r - 1) // 2 + d for r in rows for d in (0, r - 1)]
     got = en.triangular_places(spark.createDataFrame([(v, v) for v in k], "k long, a long"), keep=("k",)).orderBy("k").collect()
     assert [(r.i, r.j) for r in got] == [(1, 1), (1, 1), *((r, j) for r in rows[1:] for j in (1, r))]
+
+
+@pytest.mark.parametrize("cells", [8, 1 << 20])
+@pytest.mark.parametrize("rows", [1, 3, 7, 1_000])
+def test_tiles_in_batches_of_any_size(monkeypatch, rows, cells):
+    """Tiles of many batches and many tiles of one batch: nothing is lost, nothing comes twice."""
+    import pyarrow as pa
+
+    from coordtab.operators import tiles
+
+    monkeypatch.setattr(tiles, "CELLS", cells)
+    rng, size = random.Random(3), 4
+    entries = {(rng.randrange(40), rng.randrange(50)): float(k + 1) for k in range(300)}
+    cut = sorted((i // size, j // size, i % size, j % size, a) for (i, j), a in entries.items())
+    kinds = zip(("_bi", "_bj", "_r", "_c", "_a"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))
+    table = pa.table({name: pa.array([r[k] for r in cut], kind) for k, (name, kind) in enumerate(kinds)})
+    made = pa.Table.from_batches(list(tiles.packed(size)(table.to_batches(max_chunksize=rows)))).combine_chunks()
+    places = list(zip(made["bi"].to_pylist(), made["bj"].to_pylist()))
+    assert len(places) == len(set(places)) == len({(bi, bj) for bi, bj, *_ in cut})
+    found = {}
+    for bi, bj, first, j, a in zip(*(made[c].to_pylist() for c in ("bi", "bj", "first", "j", "a"))):
+        found |= {(bi * size + r, bj * size + j[k]): a[k] for r in range(size) for k in range(first[r], first[r + 1])}
+    assert found == entries
+    x = [float(k % 5 + 1) for k in range(43)]  # the last block is short, and some tiles lie beyond it
+    blocks = pa.array([x[bj * size : (bj + 1) * size] for _, bj in places], pa.list_(pa.float64()))
+    y, expected = {}, {}
+    for out in tiles.multiplied(size)(made.select(["bi", "first", "j", "a"]).append_column("_x", blocks).to_batches(max_chunksize=rows)):
+        for i, a in zip(*(c.to_pylist() for c in out.columns)):
+            y[i] = y.get(i, 0) + a
+    for (i, j), a in entries.items():
+        if j < 43:
+            expected[i + 1] = expected.get(i + 1, 0) + a * x[j]
+    assert y == expected
