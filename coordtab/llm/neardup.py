@@ -89,13 +89,13 @@ def sign(n: int):
 
 
 def agreeing(batches):
-    """Whether the signatures of pairs agree often enough. Columns: _a, _b, _sig_a, _sig_b."""
+    """The pairs whose signatures agree often enough. Columns: _a, _b, _sig_a, _sig_b."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MINIMA) for k in (2, 3))
         keep = (x == y).sum(axis=1) >= SURE * MINIMA
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep)], names=["_a", "_b", "_likely"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_a", "_b"]).filter(pa.array(keep))
 
 
 def packed(n: int):
@@ -144,13 +144,13 @@ class Search:
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["_a", "_b"], "left_anti")
+        pairs = store.written(pairs, "pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         sig = self.reps.select("_id", "_sig")
         signed = pairs.join(sig.toDF("_a", "_sig_a"), "_a").join(sig.toDF("_b", "_sig_b"), "_b").select("_a", "_b", "_sig_a", "_sig_b")
-        pairs = store.written(signed.mapInArrow(store.trimmed(agreeing), PAIR_DDL + ", _likely boolean"), "pairs")
-        self.tested = pairs.select("_a", "_b") if self.tested is None else self.tested.unionByName(pairs.select("_a", "_b"))
-        likely = pairs.where("_likely").select("_a", "_b")
+        likely = store.written(signed.mapInArrow(store.trimmed(agreeing), PAIR_DDL), "likely")
         ids = likely.select(F.col("_a").alias("_id")).union(likely.select("_b")).distinct()
-        near = store.marked(self.texts, F.col("_id"), ids).join(ids, "_id", "left_semi")
+        near = store.marked(self.texts, F.col("_id"), ids).join(ids, "_id")  # Spark would push a semi join below the marks
         sets = store.written(near.mapInArrow(store.trimmed(packed(self.n)), "_id long, _set binary"), "sets")
         joined = likely.join(sets.toDF("_b", "_set_b"), "_b").join(sets.toDF("_a", "_set_a"), "_a").select("_a", "_b", "_set_a", "_set_b")
         found = store.written(joined.mapInArrow(store.trimmed(confirm(self.num, self.den)), PAIR_DDL), "links")
@@ -210,7 +210,8 @@ class Search:
         of = self.reps.select("_id").join(self.known.select(F.col("_b").alias("_id"), F.col("_a").alias("_component")), "_id", "left").select("_id", F.coalesce("_component", "_id").alias("_c"))
         comps = large.groupBy("_c").agg(F.max((F.col("_c") != F.col("_main")).cast("int")).alias("_s"))
         members = store.written(of.join(comps, "_c").select("_id", "_c", (F.col("_s") == 1).alias("_seeks")), "members")
-        near = store.marked(self.texts, F.col("_id"), members.select("_id")).join(members.select("_id"), "_id", "left_semi")
+        ids = members.select("_id").distinct()
+        near = store.marked(self.texts, F.col("_id"), ids).join(ids, "_id")
         each = near.mapInArrow(store.trimmed(listed(self.n)), "_id long, _s long, _n int")
         each = store.written(each, "shingles")
         rare = each.groupBy("_s").agg(F.count(F.lit(1)).alias("_df"))

@@ -61,3 +61,22 @@ def test_tiles_in_batches_of_any_size(monkeypatch, rows, cells):
         if j < 43:
             expected[i + 1] = expected.get(i + 1, 0) + a * x[j]
     assert y == expected
+
+
+def test_texts_are_marked_before_they_are_shuffled(spark, monkeypatch):
+    """A semi join with the wanted ids would be pushed below the test of marks, so that all texts were shuffled to it."""
+    from coordtab.llm import neardup, store
+
+    plans = {}
+
+    def written(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name)
+
+    kept = store.written
+    monkeypatch.setattr(store, "written", written)
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words"), (3, text + " y"), (4, None)], "doc_id long, text string")
+    assert {(r._id, r._n, r._component) for r in neardup.grouped(docs, 2).collect()} == {(1, 59, 1), (2, 60, 1), (3, 1, 1), (3, 60, 1), (4, 0, 4)}
+    joins = [line for line in plans["sets"].splitlines() if "Join" in line]
+    assert not any("LeftSemi" in line for line in joins) and "_m" in joins[1]
