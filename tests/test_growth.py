@@ -80,3 +80,12 @@ def test_texts_are_marked_before_they_are_shuffled(spark, monkeypatch):
     assert {(r._id, r._n, r._component) for r in neardup.grouped(docs, 2).collect()} == {(1, 59, 1), (2, 60, 1), (3, 1, 1), (3, 60, 1), (4, 0, 4)}
     joins = [line for line in plans["sets"].splitlines() if "Join" in line]
     assert not any("LeftSemi" in line for line in joins) and "_m" in joins[1]
+
+
+def test_entries_of_tiles_in_slices(spark, monkeypatch):
+    from coordtab.operators import tiles
+
+    monkeypatch.setattr(tiles, "CELLS", 16)
+    given = [(1, 1, 2.0), (9, 30, 3.0), (10, 30, 4.0), (40, 2, 5.0), (40, 3, 6.0)]
+    a = spark.createDataFrame(given, "i long, j long, a double").repartition(1)
+    assert sorted(map(tuple, tiles.entries_of(tiles.tiled(a, 4), 4).collect())) == given
