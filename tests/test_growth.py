@@ -89,3 +89,75 @@ def test_entries_of_tiles_in_slices(spark, monkeypatch):
     given = [(1, 1, 2.0), (9, 30, 3.0), (10, 30, 4.0), (40, 2, 5.0), (40, 3, 6.0)]
     a = spark.createDataFrame(given, "i long, j long, a double").repartition(1)
     assert sorted(map(tuple, tiles.entries_of(tiles.tiled(a, 4), 4).collect())) == given
+
+
+def grid_edges(spark, side):
+    n = side * side
+    pairs = [(v, v + d) for v in range(1, n + 1) for d in (1, side) if v + d <= n and (d > 1 or v % side)]
+    return n, spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long")
+
+
+def test_halves_of_a_small_graph_take_few_tables(spark, monkeypatch):
+    """Levels within the driver's bound aren't contracted by jobs, and no separator is larger than a middle level."""
+    from coordtab import storage
+    from coordtab.operators import multilevel
+
+    made = []
+    monkeypatch.setattr(storage, "written", lambda df, name, kept=storage.written: made.append(name) or kept(df, name))
+    n, edges = grid_edges(spark, 30)
+    vertices = spark.range(1, n + 1).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("piece"))
+    side = {r.v: r.side for r in multilevel.halves(vertices, edges).collect()}
+    assert len(side) == n and all({side[e.src], side[e.dst]} != {0, 1} for e in edges.collect())
+    assert list(side.values()).count(2) <= 30 and max(list(side.values()).count(k) for k in (0, 1)) <= 495
+    assert len(made) < 50 and "match" not in made
+
+
+def test_smallest_covers_on_the_driver(spark, monkeypatch):
+    from coordtab.operators import multilevel
+
+    rng = random.Random(5)
+    for _ in range(3):
+        border = sorted({(rng.randrange(12), 100 + rng.randrange(12)) for _ in range(18)})
+        sizes = []
+        for most in (1_000, 0):
+            monkeypatch.setattr(multilevel, "DRIVER_EDGES", most)
+            found = {r.v for r in multilevel.cover(spark.createDataFrame(border, "x long, y long")).collect()}
+            assert all(x in found or y in found for x, y in border)
+            sizes.append(len(found))
+        assert sizes[0] == sizes[1]
+
+
+def test_dense_levels_are_improved_within_their_bound():
+    from coordtab.operators import multilevel
+
+    rng = np.random.default_rng(2)
+    group, weight = np.repeat([0, 1, 2], 40), np.ones(120, np.int64)
+    a, b = np.triu_indices(120, 1)
+    tied = rng.random(len(a)) < np.where(group[a] == group[b], 0.6, 0.05)
+    src, dst = np.r_[a[tied], b[tied]], np.r_[b[tied], a[tied]]
+    level = multilevel.Small(src, dst, np.ones(len(src), np.int64), weight)
+    start = np.where(rng.random(120) < 0.2, rng.integers(0, 3, 120), group)
+    cap = max(level.cap(3, 1.1), int(np.bincount(start).max()))
+    got = multilevel.shifted(level, start, 3, cap)
+    assert level.cut(got) < level.cut(start) and np.bincount(got).max() <= cap
+
+
+def test_rounds_of_exchanges_broadcast_no_vertices(spark, monkeypatch):
+    from coordtab import storage
+    from coordtab.operators import graphs
+
+    plans = []
+
+    def written(df, name):
+        plans.append((name, plan_of(df)))
+        return kept(df, name)
+
+    kept = storage.written
+    monkeypatch.setattr(storage, "written", written)
+    n, edges = grid_edges(spark, 8)
+    parted = spark.range(1, n + 1).select(F.col("id").alias("v"), (F.col("id") % 2).cast("int").alias("part"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert graphs.refined(edges, parted, 2).count() == n
+    rounds = [plan for name, plan in plans if name == "parts"]
+    assert rounds and all(plan.count("BroadcastHashJoin") <= 2 for plan in rounds)  # those of a row a pair of parts
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
