@@ -307,3 +307,25 @@ def test_a_stream_that_is_stopped_and_repeated_adds_nothing_twice(spark, tmp_pat
     assert not stops and table.whole("upto")
     expected = spark.createDataFrame(rows, "i long, j long, a long").groupBy("i", "j").agg(F.sum("a").alias("a"))
     assert table.read().exceptAll(expected).isEmpty() and table.read().count() == expected.count()
+
+
+# ---------------------------------------------------------------- deep searches
+
+
+def test_deep_searches_go_on_by_blocks(spark, monkeypatch):
+    """A long narrow grid, a path apart and single vertices, their numbers shuffled in part: the rules of the driver's
+    form, in far fewer tables than there are levels."""
+    n, columns = 330, 3
+    at = lambda k: (k * 7 % 60 if k < 60 else k) + 1
+    edges = [(at(k), at(k + 1)) for k in range(269) if k % columns < columns - 1] + [(at(k), at(k + columns)) for k in range(267)]
+    edges += [(k, k + 1) for k in range(280, 320)]
+    a = spark.createDataFrame([(k, i, j, 1.0) for k, (i, j) in enumerate(edges)], "k long, i long, j long, a double")
+    near = storage.written(graphs.adjacency(a, n, n), "edges")
+    expected = [sorted(tuple(r) for r in f.collect()) for f in (graphs.levels(near, 1), graphs.order_of(near, n, 1))]
+    for name, value in (("DEEP", 4), ("BLOCK", 100), ("BAND", 60)):
+        monkeypatch.setattr(graphs, name, value)
+    tables, written = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df, name: tables.append(name) or written(df, name))
+    got = sorted(tuple(r) for r in graphs.levels(near, 1, 0).collect())
+    assert len(tables) < 60 and got == expected[0]
+    assert sorted(tuple(r) for r in graphs.order_of(near, n, 1, 0).collect()) == expected[1]
