@@ -161,3 +161,22 @@ def test_rounds_of_exchanges_broadcast_no_vertices(spark, monkeypatch):
     rounds = [plan for name, plan in plans if name == "parts"]
     assert rounds and all(plan.count("BroadcastHashJoin") <= 2 for plan in rounds)  # those of a row a pair of parts
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+@pytest.mark.parametrize("partitions", [3, 40])
+def test_products_of_near_inner_indices_are_added_up_before_the_shuffle(spark, monkeypatch, partitions):
+    """400 inner indices in 40 groups, each of which makes the same 25 places: blocks of them stay together."""
+    import re
+
+    from coordtab import storage
+    from coordtab.operators import products
+
+    a = spark.range(400 * 5).select((F.col("id") % 5 + F.expr("id div 50") * 5 + 1).alias("i"), (F.expr("id div 5") + 1).alias("j"), F.lit(1.0).alias("a"))
+    got = products.gemm(a, a, trans_b="trans", assembled=True)
+    assert got.count() == 40 * 25 and got.where("a <> 10").isEmpty()
+    plans, written = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df, name: plans.append(plan_of(df)) or written(df, name))
+    left, right = a.select("i", F.col("j").alias("_in"), F.col("a").alias("_a")), a.select(F.col("j").alias("_in"), F.col("i").alias("j"), F.col("a").alias("_b"))
+    products.summed(left.hint("merge"), right, 10, partitions)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plans[0])
+    assert sorted(re.sub(r"#\d+L?", "", d) for d in dealt) == sorted([f"_block, {partitions}"] * 2 + [f"i, j, {partitions}"])
