@@ -180,3 +180,25 @@ def test_products_of_near_inner_indices_are_added_up_before_the_shuffle(spark, m
     products.summed(left.hint("merge"), right, 10, partitions)
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plans[0])
     assert sorted(re.sub(r"#\d+L?", "", d) for d in dealt) == sorted([f"_block, {partitions}"] * 2 + [f"i, j, {partitions}"])
+
+
+@pytest.mark.parametrize("side", [4, 64])
+def test_dense_inner_indices_are_multiplied_in_tiles(spark, monkeypatch, side):
+    """Products of frequent inner indices aren't shuffled by place; zeros, infinities and complex values stay what they are."""
+    from coordtab.functions import cplx
+    from coordtab.operators import products
+
+    monkeypatch.setattr(products, "SIDE", side)
+    rng = random.Random(5)
+    places = {(rng.randrange(1, 90), 5 if rng.random() < 0.3 else rng.randrange(1, 40)) for _ in range(600)}
+    rows = [(i, j, float(rng.randrange(-2, 3))) for i, j in sorted(places)]
+    a = spark.createDataFrame(rows, "i long, j long, a double")
+    got, expected = products.gemm_grid(a, a, trans_b="trans", heavy=100, dense=400), products.gemm(a, a, trans_b="trans")
+    assert "FlatMapGroupsInArrow" in plan_of(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    z = a.withColumn("a", cplx.cx(F.col("a"), F.col("i").cast("double")))
+    got, expected = (sorted((r.i, r.j, r.a.re, r.a.im) for r in df.collect()) for df in (products.gemm_grid(z, z, trans_b="conjtrans", heavy=100, dense=400), products.gemm(z, z, trans_b="conjtrans")))
+    assert got == expected
+    far = spark.createDataFrame([(1, 5, float("inf")), (2, 5, 1.0), (70, 5, 3.0), (70, 6, 1.0)], "i long, j long, a double")
+    got, expected = products.gemm_grid(far, far, trans_b="trans", heavy=1, dense=1), products.gemm(far, far, trans_b="trans")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
