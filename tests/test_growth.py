@@ -163,6 +163,15 @@ def test_rounds_of_exchanges_broadcast_no_vertices(spark, monkeypatch):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
 
 
+def test_positions_come_without_broadcasts(spark):
+    """Each broadcast of a few rows takes a megabyte of the driver, and orders by levels need many positions."""
+    df = spark.range(5_000).select((F.col("id") * 7_919 % 5_003).alias("v"))
+    got = en.ranked(df, [F.col("v")])
+    assert "Broadcast" not in plan_of(got)
+    assert [r.k for r in got.orderBy("v").collect()] == list(range(5_000))
+    assert en.ranked(df.limit(0), [F.col("v")]).collect() == []
+
+
 @pytest.mark.parametrize("partitions", [3, 40])
 def test_products_of_near_inner_indices_are_added_up_before_the_shuffle(spark, monkeypatch, partitions):
     """400 inner indices in 40 groups, each of which makes the same 25 places: blocks of them stay together."""
