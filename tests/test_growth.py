@@ -211,3 +211,26 @@ def test_dense_inner_indices_are_multiplied_in_tiles(spark, monkeypatch, side):
     far = spark.createDataFrame([(1, 5, float("inf")), (2, 5, 1.0), (70, 5, 3.0), (70, 6, 1.0)], "i long, j long, a double")
     got, expected = products.gemm_grid(far, far, trans_b="trans", heavy=1, dense=1), products.gemm(far, far, trans_b="trans")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_rounds_leave_the_edges_where_they_are(spark, monkeypatch):
+    """Edges beyond the driver's bound stand in buckets of src: levels, places and exchanges shuffle what they find only."""
+    from coordtab import storage
+    from coordtab.operators import graphs
+
+    plans = []
+    monkeypatch.setattr(storage, "written", lambda df, name, kept=storage.written: plans.append((name, plan_of(df))) or kept(df, name))
+    monkeypatch.setattr(graphs, "FEW", 2)
+    side = 3
+    n = side * side
+    pairs = [(k, v, v + d) for k, (v, d) in enumerate((v, d) for v in range(1, n + 1) for d in (1, side) if v + d <= n and (d > 1 or v % side))]
+    a = spark.createDataFrame(pairs, "k long, i long, j long")
+    edges = graphs.stored(a, n, n, 0)
+    spread = {r.v: r.pos for r in graphs.order_of(edges, n, None, 0).collect()}
+    assert spread == {r.v: r.pos for r in graphs.order_of(graphs.stored(a, n, n), n, None).collect()}
+    parted = storage.written(spark.createDataFrame([(v, v % 2) for v in range(1, n + 1)], "v long, part int"), "start")
+    before = graphs.cut_of(edges, parted)
+    assert graphs.cut_of(edges, graphs.refined(edges, parted, 1)) <= before
+    assert {"first", "ties"} <= {name for name, _ in plans}
+    for plan in (plan for name, plan in plans if name in ("first", "ties")):
+        assert "Bucketed: true" in plan and "Exchange hashpartitioning(src#" not in plan.split("FileScan parquet spark_catalog")[0]
