@@ -234,3 +234,29 @@ def test_rounds_leave_the_edges_where_they_are(spark, monkeypatch):
     assert {"first", "ties"} <= {name for name, _ in plans}
     for plan in (plan for name, plan in plans if name in ("first", "ties")):
         assert "Bucketed: true" in plan and "Exchange hashpartitioning(src#" not in plan.split("FileScan parquet spark_catalog")[0]
+
+
+def test_levels_of_large_pieces_are_separators_too(spark, monkeypatch):
+    """The halves by levels of a grid, a path, a cycle and two vertices in one piece without an edge, in Spark and on the driver."""
+    from coordtab.operators import multilevel
+
+    n, grid = grid_edges(spark, 6)
+    line = [(v, v + 1) for v in range(101, 109)] + [(v, v + 1) for v in range(201, 209)] + [(201, 209)]
+    edges = grid.unionByName(spark.createDataFrame(line + [(b, a) for a, b in line], "src long, dst long"))
+    pieces = [(v, 0) for v in range(1, n + 1)] + [(v, 1) for v in range(101, 110)] + [(v, 2) for v in range(201, 210)] + [(301, 3), (302, 3)]
+    vertices = spark.createDataFrame(pieces, "v long, piece long")
+    got, expected = (sorted(map(tuple, f(vertices, edges, 1.1).collect())) for f in (multilevel.spread_level_halves, multilevel.level_halves))
+    assert got == expected and {p for _, p, _ in got} == {0, 1, 2}
+
+
+def test_halves_of_a_large_graph_are_none_larger_than_a_level(spark, monkeypatch):
+    from coordtab.operators import multilevel
+
+    n, edges = grid_edges(spark, 8)
+    vertices = spark.range(1, n + 1).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("piece"))
+    cut = spark.range(1, n + 1).select(F.col("id").alias("v"), (F.col("id") % 2).alias("part"))  # a poor one: stripes
+    monkeypatch.setattr(multilevel, "cut_up", lambda *_: cut)
+    monkeypatch.setattr(multilevel.graphs, "fits", lambda edges, most: False)
+    side = {r.v: r.side for r in multilevel.halves(vertices, edges).collect()}
+    assert len(side) == n and all({side[e.src], side[e.dst]} != {0, 1} for e in edges.collect())
+    assert list(side.values()).count(2) <= 8
