@@ -260,3 +260,24 @@ def test_halves_of_a_large_graph_are_none_larger_than_a_level(spark, monkeypatch
     side = {r.v: r.side for r in multilevel.halves(vertices, edges).collect()}
     assert len(side) == n and all({side[e.src], side[e.dst]} != {0, 1} for e in edges.collect())
     assert list(side.values()).count(2) <= 8
+
+
+def test_links_leave_the_edges_where_they_are(spark, monkeypatch):
+    from coordtab import storage
+    from coordtab.operators import graphs, multilevel
+
+    plans = []
+    monkeypatch.setattr(storage, "written", lambda df, name, kept=storage.written: plans.append((name, plan_of(df))) or kept(df, name))
+    one = F.lit(1).cast("long")
+    n, edges = grid_edges(spark, 4)
+    edges = storage.bucketed(edges.select("src", "dst", "src", one.alias("w")).toDF("src", "dst", "_", "w").drop("_"), "src", "edges")
+    parted = spark.range(1, n + 1).select(F.col("id").alias("v"), F.floor((F.col("id") - 1) / 8).alias("part"))
+    with storage.settings(spark, storage.NO_BROADCASTS):
+        got = sorted(map(tuple, multilevel.links(multilevel.Level(parted, edges, n), parted).collect()))
+    near: dict = {}
+    for e in edges.collect():
+        key = (e.src, (e.src - 1) // 8, (e.dst - 1) // 8)
+        near[key] = near.get(key, 0) + 1
+    assert got == sorted((*key, k) for key, k in near.items())
+    scan = next(line for line in dict(plans)["links"].splitlines() if "spark_catalog" in line)
+    assert "Bucketed: true" in scan
